@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, secret_scan, toxicity
+from . import piece_codec, quality_rules, secret_scan, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_secrets": secret_scan.op3_secrets,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op7_piece_codec": piece_codec.op7_piece_codec,
+        "op9_token_files": token_files.op9_token_files,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
