@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import piece_codec, quality_rules, secret_scan, token_files, toxicity
+from . import decontamination, piece_codec, quality_rules, secret_scan, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
         "op3_secrets": secret_scan.op3_secrets,
         "op4_toxicity": toxicity.op4_toxicity,
         "op7_piece_codec": piece_codec.op7_piece_codec,
@@ -20,4 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontamination": decontamination.OP1_SQL,
+    }
