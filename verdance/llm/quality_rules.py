@@ -18,11 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import WordHash, stored, table
 
 MIN_WORDS = 50
 #: A host is rejected at this shrunken share of failing documents.
@@ -31,21 +30,11 @@ _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
-class _WordHash(dict):
-    """64-bit hashes of words, kept for the words seen most lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def repeated_words(words: list[bytes], known: _WordHash) -> int:
+def repeated_words(words: list[bytes], known: WordHash) -> int:
     """Words inside three-word windows that the text holds twice or more."""
     if len(words) < 4:
         return 0
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = known.of(words)
     odd = np.uint64(0x9E3779B97F4A7C15)
     windows = ((h[:-2] * odd ^ h[1:-1]) * odd ^ h[2:]) * odd
     order = np.argsort(windows, kind="stable")
@@ -62,7 +51,7 @@ def repeated_words(words: list[bytes], known: _WordHash) -> int:
     return int(hit.sum())
 
 
-def counts(text: str | None, known: _WordHash) -> tuple[int, int, int, int, int]:
+def counts(text: str | None, known: WordHash) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -82,7 +71,7 @@ def document_counts(documents: DataFrame, host: str = "source") -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHash()
+        known = WordHash()
         for batch in batches:
             made = list(zip(*(counts(text, known) for text in batch.column("text").to_pylist()), strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *(pa.array(x, pa.int64()) for x in made)], ["doc_id", "host", *names])

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, piece_codec, quality_rules, secret_scan, token_files, toxicity
+from . import decontamination, near_duplicates, piece_codec, quality_rules, secret_scan, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op2_near_duplicates": near_duplicates.op2_near_duplicates,
         "op3_secrets": secret_scan.op3_secrets,
         "op4_toxicity": toxicity.op4_toxicity,
         "op7_piece_codec": piece_codec.op7_piece_codec,
