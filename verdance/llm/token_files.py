@@ -19,15 +19,16 @@ extra columns are ignored. Texts of any length are encoded whole.
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,48 +40,63 @@ from .common import new_path, table
 VOCABULARY = "byte_bpe_50k.json"
 SEQUENCE, BATCH = 2048, 128
 END_ID = 0
-KNOWN = 400_000
+#: Remembered words in one Python worker, and as many older ones.
+KNOWN = 500_000
 
 
-class WordEncoder:
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself where it is printable."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+def _plain_words() -> re.Pattern:
+    """The vocabulary's pattern, with its classes spelt out for the characters of _PLAIN."""
+    kinds = {"L": "", "N": ""}
+    for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]):
+        kind = unicodedata.category(c)[0]
+        if kind in kinds:
+            kinds[kind] += re.escape(c)
+    pattern = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{kinds['L']}{kinds['N']}]")
+    return re.compile(pattern.replace(r"\p{L}", f"[{kinds['L']}]").replace(r"\p{N}", f"[{kinds['N']}]"))
+
+
+_PLAIN = re.compile("[\n\r\t\x20-\x7e\u00a1-\u024f\u2010-\u2027\u20ac]*")
+
+
+class WordEncoder(dict):
     """Encodes with the tokenizers library, remembering the ids of words.
 
     The library cuts a text into words before it merges. A text of common
-    characters is cut here by the same pattern and only its new words go to
-    the library; any other text goes there whole.
+    characters is cut here by the same pattern and its new words go to the
+    library's model; any other text goes to the library whole.
     """
 
-    _plain = re.compile("[\n\r\t\x20-\x7e¡-ɏ‐-‧€]*")
-
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
-        self.words = regex.compile(public_tokenizers.PATTERN)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words, self.letters, self.older = _plain_words(), _byte_letters(), {}
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) >= KNOWN:
-            self.older, self.known = self.known, {}
-        known, older, dtype = self.known, self.older, self.dtype
-        cut = [self.words.findall(t) if self._plain.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        new = []
-        for word in {w for words in cut if words for w in words}.difference(known):
-            found = older.get(word)
-            if found is None:
-                new.append(word)
-            else:
-                known[word] = found
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, dtype=dtype).tobytes()
-        out = []
-        for text, words in zip(texts, cut, strict=True):
-            if words is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=dtype))
-            else:
-                out.append(np.frombuffer(b"".join([known[w] for w in words]), dtype=dtype))
-        return out
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            letters = word.encode().decode("latin-1").translate(self.letters)
+            found = array(self.code, [token.id for token in self.model.tokenize(letters)]).tobytes()
+        if len(self) >= KNOWN:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+    def encode(self, text: str) -> np.ndarray:
+        """All ids of a text."""
+        if _PLAIN.fullmatch(text) and not any(special in text for special in self.special):
+            return np.frombuffer(b"".join(map(self.__getitem__, self.words.findall(text))), dtype=self.dtype)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
 
 @lru_cache(maxsize=2)
@@ -148,7 +164,7 @@ def write_files(documents: DataFrame, folder: str, path: str | None = None, leng
                 if writers is None:
                     sinks = [store.open_output_stream(f"{root}/.{kind}-{part:06d}-{own}") for kind in ("ids", "docs")]
                     writers = _Sequences(sinks[0], codec.dtype, length), pa.ipc.new_file(sinks[1], _INDEX)
-                found = codec.encode_batch([text or "" for text in batch.column("text").to_pylist()])
+                found = [codec.encode(text or "") for text in batch.column("text").to_pylist()]
                 sizes = np.array([len(x) + 1 for x in found], dtype=np.int64)
                 for ids in found:
                     writers[0].add(np.append(ids, codec.dtype.type(END_ID)))
