@@ -21,8 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; lines of recurring templates stay in the first of their documents only."""
-    return line_templates.without_recurring(docs)
+    """Lines of recurring templates stay in the first of their documents only;
+    a document that consists of such lines alone goes."""
+    return line_templates.without_recurring(docs, drop_emptied=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,9 +82,11 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     return hit.groupBy("id", "hash", "at").agg(F.max("n_docs").alias("n_docs"))
 
 
-def without_recurring(documents: DataFrame) -> DataFrame:
+def without_recurring(documents: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """documents, all rows and columns, its texts without recurring lines.
 
+    With drop_emptied, a document of which nothing but white space is left goes
+    too; one that came so stays.
     n_chars, where there is such a column, is left as it came.
     """
     drops = dropped_lines(documents).groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg(F.collect_set("at").alias("_at"))
@@ -92,6 +94,8 @@ def without_recurring(documents: DataFrame) -> DataFrame:
     joined = documents.join(drops, same, "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_at", i))
     text = F.when(F.col("_at").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    if drop_emptied:
+        joined = joined.where(F.col("_at").isNull() | text.rlike(r"\S"))
     return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in documents.columns))
 
 
