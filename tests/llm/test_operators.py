@@ -1,0 +1,235 @@
+"""The training-data operators against plain versions and on odd inputs."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+from html import unescape
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from verdance.llm import decontamination, html_content, line_templates, near_duplicates, piece_codec, quality_rules, registry, secret_scan, token_files, toxicity, url_lists
+
+FOLDER = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, kept int, words string, key string, at string, spans string"
+LONG = "word " * 30_000 + "końcówka 😀"
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "One two three four five."), (4, "One two three four five."), (None, "no id at all here"), (None, None), (5, LONG), (6, "ÀÉ ſK ß 中文\x00\x1c\x85 <|endoftext|>▁  x"), (7, "a\n" * 50)]
+
+
+def frame(spark, rows):
+    """Documents with extra columns whose names operators use themselves."""
+    return spark.createDataFrame([(i, t, "en", "src0", 1, 0.5, 1, "w", "k", "a", "s") for i, t in rows], DOCS)
+
+
+def documents(spark):
+    return spark.read.parquet(f"{FOLDER}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_matches_sql(spark, name):
+    got = registry.queries()[name](spark, FOLDER)
+    columns = sorted(got.columns)
+    got = sorted(tuple(str(r[c]) for c in columns) for r in got.collect())
+    with duckdb.connect() as db:
+        for t in ("documents", "benchmark", "pages"):
+            db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+        result = db.sql(registry.oracle_sql()[name])
+        places = [result.columns.index(c) for c in columns]
+        assert got == sorted(tuple(str(row[i]) for i in places) for row in result.fetchall())
+
+
+def brute_components(rows, n, similarity):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("options", [{}, {"leaf": 3, "max_depth": 5}])
+def test_near_duplicates_equal_brute_force(spark, options):
+    rows = [(r["doc_id"], r["text"]) for r in documents(spark).collect()]
+    base = " ".join(f"w{k}" for k in range(120))
+    rows += [(10_000 + k, base.replace(f"w{k * 5}", "x", 1).replace(f"w{k * 3 + 1}", "y", 1)) for k in range(20)]
+    rows += [(10_100 + k, base) for k in range(5)]
+    want = brute_components(rows, 3, 85)
+    got = near_duplicates.near_duplicates(frame(spark, rows), 3, 85, **options).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert len(got) == len(rows) and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_near_duplicates_on_odd_rows(spark):
+    got = near_duplicates.near_duplicates(frame(spark, ODD), 3, 85).collect()
+    assert len(got) == len(ODD)
+    assert {(r["doc_id"], r["component_id"]) for r in got if r["n_shingles"] == 0} == {(1, 1), (2, 2), (3, 3), (None, None)}
+    assert [r["component_id"] for r in got if r["doc_id"] == 4] == [4, 4]
+    assert near_duplicates.near_duplicates(frame(spark, ODD).limit(0)).count() == 0
+    assert near_duplicates.one_of_each(frame(spark, ODD)).columns == frame(spark, ODD).columns
+
+
+def test_decontamination_on_odd_rows(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one"), (3, None), (4, ""), (5, "p q r s t u v w x y z")], "item_id long, text string")
+    rows = [(1, "x Alpha-beta, GAMMA one"), (2, "alpha beta"), (3, "o p q r s t u v w x y z"), (4, "p q r s t u v w x"), (5, None), (None, "one ONE")]
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontamination.report(frame(spark, rows), items).collect()}
+    assert got == {1: (5, 4, 2, True), 2: (2, 0, 0, False), 3: (12, 11, 1, True), 4: (9, 0, 0, False), 5: (0, 0, 0, False), None: (2, 2, 1, True)}
+    clean = decontamination.without_contaminated(frame(spark, rows), items)
+    assert sorted(r["doc_id"] for r in clean.collect()) == [2, 4, 5]
+    assert decontamination.report(frame(spark, ODD), items).count() == len(ODD)
+    assert decontamination.report(frame(spark, ODD), items.limit(0)).where("contaminated").count() == 0
+
+
+def test_decontamination_by_shuffle_is_the_same(spark, monkeypatch):
+    items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    want = sorted(map(tuple, decontamination.report(documents(spark), items).collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 0)
+    assert sorted(map(tuple, decontamination.report(documents(spark), items).collect())) == want
+
+
+def test_secrets(spark):
+    key = "zT9xQ2vLm4Rk8WpY1nBc7HdF"
+    texts = [f'API_KEY = "{key}" AKIA{"A1" * 8} {"0a" * 12}', f"see {key} here", "secret=abc token: deadbeef", "d41d8cd98f00b204e9800998ecf8427e", None, "123e4567-e89b-12d3-a456-426614174000 some-long-identifier-2024 AnOrdinaryIdentifier"]
+    got = {r["doc_id"]: r for r in secret_scan.scan(frame(spark, list(enumerate(texts)))).collect()}
+    assert [(got[k]["n_assign"], got[k]["n_access"], got[k]["n_hex"], got[k]["n_token"]) for k in range(6)] == [(1, 1, 1, 0), (0, 0, 0, 1), (1, 0, 0, 0), (0, 0, 1, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+    assert got[1]["spans"] == f"token:4:{4 + len(key)}"
+    assert got[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert secret_scan.scan(frame(spark, ODD)).count() == len(ODD)
+
+
+def test_toxicity_learns_and_takes_odd_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    rows = toxicity.score(docs, model).join(labels, "doc_id").where("held_out").collect()
+    good, bad = [r["score"] for r in rows if r["toxic"]], [r["score"] for r in rows if not r["toxic"]]
+    assert np.mean([g > b for g in good for b in bad]) > 0.8
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    odd = toxicity.score(frame(spark, ODD).drop("score"), model).collect()
+    assert len(odd) == len(ODD) and all(0 <= r["score"] <= 1 for r in odd)
+    empty = toxicity.train(docs, labels.limit(0))
+    assert toxicity.score(frame(spark, ODD[:2]), empty).count() == 2
+    assert toxicity.without_toxic(frame(spark, ODD), model).columns == frame(spark, ODD).columns
+
+
+def test_lines(spark):
+    passage = "this passage of many words stands in several documents and is longer than twenty words so that two are enough for it ok"
+    rows = [(1, f"own line one is here\n{passage}"), (2, f"another own line is here\n{passage}\ntail"), (3, None), (4, ""), (5, passage.replace("several", "7")), (6, "user 17 logged in from here today again and again now then"), (None, passage)]
+    got = {r["doc_id"]: r["text"] for r in line_templates.without_recurring(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "another own line is here\ntail", 3: None, 4: "", 5: "", 6: rows[5][1], None: ""}
+    left = line_templates.without_recurring(frame(spark, rows), drop_emptied=True)
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 3, 4, 6] and left.columns == frame(spark, rows).columns
+    assert line_templates.without_recurring(frame(spark, ODD)).count() == len(ODD)
+
+
+def test_lists(spark):
+    stamp = lambda s: F.lit(s).cast("timestamp")
+    captures = spark.createDataFrame([(1, "https://u@Sub.Bad.com:8/x", "2024-01-05"), (2, "http://bad.com", "2024-01-15"), (3, None, "2024-01-05"), (4, "nonsense", "2024-01-05"), (5, "http://bad.com/", None)], "page_id long, url string, t string").select("page_id", "url", F.col("t").cast("timestamp").alias("fetched_at"))
+    entries = spark.createDataFrame([("bad.com", "spam", "add", "2024-01-01"), ("bad.com", "spam", "add", "2024-01-03"), ("bad.com", "spam", "remove", "2024-01-10"), (None, "spam", "add", "2024-01-01")], "name string, category string, action string, t string")
+    entries = entries.withColumn("at", F.col("t").cast("timestamp")).drop("t")
+    got = {r["page_id"]: (r["host"], r["blocked"], r["matched"]) for r in url_lists.evaluate(captures, entries).collect()}
+    assert got == {1: ("sub.bad.com", True, "bad.com"), 2: ("bad.com", False, ""), 3: (None, False, ""), 4: (None, False, ""), 5: ("bad.com", False, "")}
+    assert url_lists.evaluate(captures, entries.where(F.col("at") > stamp("2030-01-01"))).where("blocked").count() == 0
+
+
+def test_pieces_equal_the_library(spark):
+    codec = piece_codec.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    draw = np.random.RandomState(5)
+    letters = list("abcdeèß \n\t.,#01▁<s>中😀ﬁ\x00")
+    texts = ["".join(draw.choice(letters, draw.randint(0, 40))) for _ in range(800)] + [" " * k for k in range(36)] + [LONG]
+    for text in texts:
+        assert codec.encode(text).tolist() == library.encode(text)
+    rows = piece_codec.digests(piece_codec.encode_and_decode(frame(spark, ODD))).collect()
+    want = Counter()
+    for i, t in ODD:
+        ids = library.encode(t or "")
+        want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()] += 1
+    assert Counter(map(tuple, rows)) == want
+
+
+def test_token_files_round_trip(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [r for r in ODD if r[0] is not None and r[0] != 4] + [(r["doc_id"] + 100, r["text"]) for r in documents(spark).collect()]
+    folder = f"file://{tmp_path}/tokens"
+    manifest = token_files.write_files(frame(spark, rows), folder, length=64)
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_files(manifest, folder).collect()}
+    start = 0
+    for i, text in sorted(rows):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    files = sorted(p.name for p in (tmp_path / "tokens").iterdir())
+    assert all(re.fullmatch(r"(ids|docs)-\d{6}\.arrow|\..*\.crc", f) for f in files)
+    odd = token_files.write_files(frame(spark, ODD), f"file://{tmp_path}/odd")
+    assert token_files.read_files(odd, f"file://{tmp_path}/odd").count() == len(ODD)
+    none = token_files.write_files(frame(spark, ODD).limit(0), f"file://{tmp_path}/none")
+    assert token_files.read_files(none, f"file://{tmp_path}/none").count() == 0
+
+
+def test_html_text_equals_the_article(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    model = html_content.train(pages)
+    for r in html_content.extract(pages, model).join(pages.select("page_id", "html"), "page_id").collect():
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.DOTALL)[1]
+        blocks = [" ".join(unescape(re.sub(r"</?b>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:h1|p)>", article)]
+        assert r["text"] == "\n\n".join(b for b in blocks if b)
+        assert r["n_chars"] == len(r["text"])
+
+
+def test_html_blocks(spark):
+    model = html_content.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    page = (
+        "<html><head><title>t</title></head><body><header><h1>Site</h1></header><div class='cookie-notice'>We use cookies.</div><nav><a href=/>Home</a></nav>"
+        "<article><h1>Head &amp; more</h1><p>First <b>bold</b>\n text.<p>Second one here.<div class='ad'>Buy now</div><div class=comments><p>I liked this a lot, thank you very much.</p></div></article>"
+        "<aside><p>Recent posts</p></aside><form><input><p>Mail</p></form><footer>&copy; 2024</footer><script>var x = '<p>no</p>'"
+    )
+    assert model.extract(page) == "Head & more\n\nFirst bold text.\n\nSecond one here."
+    odd = [(1, None), (2, ""), (3, "<"), (4, "<div><div><p>"), (5, "</p></div>text"), (None, "<article>" * 2000), (6, "<!-- open <p>x")]
+    rows = spark.createDataFrame([(i, "u", h, "x") for i, h in odd], "page_id long, url string, html string, text string")
+    assert html_content.extract(rows, model).count() == len(odd)
+    assert html_content.extract(rows, html_content.train(rows.limit(0))).where("page_id = 5").first()["text"] == "text"
+
+
+def test_quality_rules(spark):
+    def plain(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        seen, dup = set(), 0
+        for line in (text or "").split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in seen
+                seen.add(line)
+        grams = Counter(zip(words, words[1:], words[2:]))
+        hit = {k + j for k in range(len(words) - 2) if grams[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit)
+
+    rows = ODD + [(r["doc_id"] + 100, r["text"]) for r in documents(spark).collect()] + [(900, "a b c a b c d\na b\na b\n \n "), (901, "x y z " * 40)]
+    got = quality_rules.apply_rules(frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == Counter((i, *plain(t)) for i, t in rows)
+    assert all(r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and not (r["base_failed"] and r["kept"]) for r in got)
+    assert quality_rules.apply_rules(frame(spark, ODD).limit(0)).count() == 0
+
+
+def test_bad_hosts_go(spark):
+    docs = [(k, "short") for k in range(40)] + [(k + 50, "good " + " ".join(f"w{j}" for j in range(60))) for k in range(60)]
+    rows = spark.createDataFrame([(i, t, "bad" if i < 41 or i == 50 else "fine") for i, t in docs], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(rows).collect()}
+    assert got[50] is False and got[60] is True

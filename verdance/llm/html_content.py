@@ -36,6 +36,9 @@ from .common import table
 
 #: Bound of the labelled sample: pages, chosen by a hash of their id.
 SAMPLE_PAGES = 400
+#: Exponents of the features' potentials: tags and text features depend on each
+#: other and count for less than the names that a page gives its blocks.
+NAME_WEIGHT, OTHER_WEIGHT = 1.5, 0.5
 
 # HTML element names.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -260,7 +263,8 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Model:
     odds = {}
     for f in set(seen[True]) | set(seen[False]):
         kind = "e" if f.partition(":")[0] in ("tag", "under", "name") else "#"
-        odds[f] = math.log((seen[True][f] + 0.5) / (total[kind, True] + 1)) - math.log((seen[False][f] + 0.5) / (total[kind, False] + 1))
+        weight = NAME_WEIGHT if f.startswith("name:") else OTHER_WEIGHT
+        odds[f] = weight * (math.log((seen[True][f] + 0.5) / (total[kind, True] + 1)) - math.log((seen[False][f] + 0.5) / (total[kind, False] + 1)))
     edge = {k: tuple((edges[k, p, True] + 0.5) / (edges[k, p, True] + edges[k, p, False] + 1) for p in (False, True)) for k in ("#", "e")}
     return Model(odds, {"root": math.log((roots[True] + 1) / (roots[False] + 1))}, edge)
 
