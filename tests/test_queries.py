@@ -5,6 +5,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+from verdance.plans import more_queries  # noqa: F401
 from verdance.plans.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
