@@ -89,11 +89,11 @@ def host_verdicts(counted: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFr
     """
     hosts = counted.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
     share = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg((F.sum("host_failed") / F.sum("host_docs")).alias("m"), F.var_pop(share).alias("v"))
-    strength = F.least(F.lit(1e6), F.greatest(F.lit(1.0), F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(F.lit(1e6))))
-    rated = hosts.crossJoin(F.broadcast(prior.select("m", strength.alias("k"))))
-    rate = (F.col("host_failed") + F.col("m") * F.col("k")) / (F.col("host_docs") + F.col("k"))
-    return rated.select("host", "host_docs", "host_failed", rate.alias("host_rate"), (rate > max_rate).alias("host_rejected"))
+    prior = hosts.agg((F.sum("host_failed") / F.sum("host_docs")).alias("m"), F.var_pop(share).alias("v")).first()
+    m, v = prior["m"] or 0.0, prior["v"] or 0.0
+    k = min(1e6, max(1.0, m * (1 - m) / v - 1)) if v > 0 else 1e6
+    rate = (F.col("host_failed") + m * k) / (F.col("host_docs") + k)
+    return hosts.select("host", "host_docs", "host_failed", rate.alias("host_rate"), (rate > max_rate).alias("host_rejected"))
 
 
 def apply_rules(documents: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:

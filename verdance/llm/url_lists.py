@@ -59,10 +59,10 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     distinct = base.where("host is not null and fetched_at is not null").select("host", "fetched_at").distinct()
     asked = distinct.withColumn("name", F.explode(names)).withColumn("bucket", F.floor(F.unix_timestamp("fetched_at") / BUCKET))
     spans = intervals(entries)
-    seen = asked.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
+    seen = distinct.agg(F.min("fetched_at").alias("lo"), F.max("fetched_at").alias("hi")).select(*(F.floor(F.unix_timestamp(c) / BUCKET).alias(c) for c in ("lo", "hi"))).first()
+    lo, hi = (F.lit(0 if v is None else v).cast("long") for v in seen)
     first, last = (F.floor(F.unix_timestamp(c) / BUCKET) for c in ("valid_from", "valid_to"))
-    spans = spans.crossJoin(F.broadcast(seen)).where((first <= F.col("hi")) & (last >= F.col("lo")))
-    spans = spans.withColumn("bucket", F.explode(F.sequence(F.greatest(first, "lo"), F.least(last, "hi"))))
+    spans = spans.where((first <= hi) & (last >= lo)).withColumn("bucket", F.explode(F.sequence(F.greatest(first, lo), F.least(last, hi))))
     active = (
         asked.join(spans.select("name", "bucket", "category", "valid_from", "valid_to"), ["name", "bucket"])
         .where("valid_from <= fetched_at and fetched_at < valid_to")
