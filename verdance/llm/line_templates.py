@@ -14,9 +14,8 @@ a line may occur in any share of the documents.
 
 Defined results: a null text stays null and an empty one empty; lines of fewer
 than MIN_TOKENS tokens are never dropped; copies within one document count
-once, and each is kept or dropped alike; rows are told apart by doc_id and a
-hash of their text, repeated rows being one document; a null doc_id is larger
-than all others. Other columns are unchanged; names of extra columns don't
+once, and each is kept or dropped alike; rows of one doc_id are one document,
+those of a null doc_id too, which is larger than all others. Other columns are unchanged; names of extra columns don't
 matter.
 """
 
@@ -51,34 +50,35 @@ def templates(at: str) -> Column:
     longer lines, one for each third that varies."""
     n, head = F.size(at), F.slice(at, 1, LEADING)
     step = F.ceil(F.greatest(n - LEADING, F.lit(0)) / THIRDS).cast("int")
-    own = F.xxhash64(F.lit(-1), n, F.array_join(at, " "))
+    own = F.xxhash64(F.lit(-1), n, at)
     varied = [
-        F.xxhash64(F.lit(k), n, F.concat_ws(" ", head, F.slice(at, LEADING + 1, F.lit(k) * step), F.lit(FIELD), F.slice(at, F.lit(LEADING + 1) + F.lit(k + 1) * step, F.greatest(n, F.lit(1)))))
+        F.xxhash64(F.lit(k), n, head, F.slice(at, LEADING + 1, F.lit(k) * step), F.slice(at, F.lit(LEADING + 1) + F.lit(k + 1) * step, F.greatest(n, F.lit(1))))
         for k in range(THIRDS)
     ]
     return F.when(n >= GENERAL_TOKENS, F.array(own, *varied)).otherwise(F.array(own))
 
 
-def _lines(documents: DataFrame) -> DataFrame:
+def lines(documents: DataFrame) -> DataFrame:
     """id and hash of a document, place, length class and templates of each line that can recur."""
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     found = documents.select(at.alias("id"), F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     found = found.select("id", "hash", "at", tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    return found.select("id", "hash", "at", (F.size("tokens") >= LONG).alias("long"), F.explode(templates("tokens")).alias("template"))
+    return found.select("id", "hash", "at", (F.size("tokens") >= LONG).alias("long"), templates("tokens").alias("templates"))
 
 
-def recurring(documents: DataFrame) -> DataFrame:
-    """template, n_docs, first: each template that recurs, and its first document."""
-    each = _lines(documents).select("template", "long", "id", "hash").distinct()
-    counted = each.groupBy("template").agg(F.count("*").alias("n_docs"), F.min(F.struct("id", "hash")).alias("first"), F.bool_or("long").alias("long"))
+def recurring(found: DataFrame) -> DataFrame:
+    """template, n_docs, first: each template that recurs, and the smallest id of its documents."""
+    each = found.select(F.explode("templates").alias("template"), "long", "id").distinct()
+    counted = each.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("id").alias("first"), F.bool_or("long").alias("long"))
     return counted.where(F.col("n_docs") >= F.when(F.col("long"), LONG_DOCS).otherwise(MIN_DOCS)).select("template", "n_docs", "first")
 
 
 def dropped_lines(documents: DataFrame) -> DataFrame:
     """id, hash, at, n_docs: the lines to drop, and how many documents have their template."""
-    found, _ = stored(recurring(documents), "templates")
-    found = F.broadcast(found) if found.count() <= BROADCAST_TEMPLATES else found
-    hit = _lines(documents).join(found, "template").where((F.col("id") != F.col("first.id")) | (F.col("hash") != F.col("first.hash")))
+    found, _ = stored(lines(documents), "lines")
+    often, _ = stored(recurring(found), "templates")
+    often = F.broadcast(often) if often.count() <= BROADCAST_TEMPLATES else often
+    hit = found.select("id", "hash", "at", F.explode("templates").alias("template")).join(often, "template").where("id <> first")
     return hit.groupBy("id", "hash", "at").agg(F.max("n_docs").alias("n_docs"))
 
 
