@@ -247,7 +247,9 @@ def _marked(html: str) -> tuple[Tree, list[bool]]:
 
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Model:
     """Count potentials on pages that mark their article, at most sample_pages of them."""
-    chosen = pages.where(F.col("html").rlike("(?i)<article[ >]")).orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).select("html")
+    marked = pages.where(F.col("html").rlike("(?i)<article[ >]"))
+    ids = marked.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)  # ids alone meet in the driver
+    chosen = marked.join(F.broadcast(ids), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
     seen, total, edges, roots = {True: Counter(), False: Counter()}, Counter(), Counter(), Counter()
     for number, html in enumerate(sorted(r["html"] for r in chosen.collect())):
         for variant in _variants(html, number):
