@@ -14,6 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from verdance.llm import decontamination, html_content, line_templates, near_duplicates, piece_codec, quality_rules, registry, secret_scan, token_files, toxicity, url_lists
 
 FOLDER = "/root/testdata/sf0.001"
@@ -140,6 +141,24 @@ def test_lines(spark):
     assert line_templates.without_recurring(frame(spark, ODD)).count() == len(ODD)
 
 
+def test_copies_go_whole_by_runs(spark):
+    copy = "a short line\n\nyes\nthis one has a few more words than four\nno\n" + " ".join(f"word{chr(97 + k)}" for k in range(24)) + "\nthe end"
+    rows = [(1, "yes\nown text of another kind stands here"), (2, copy), (3, copy), (4, copy), (5, "tiny text\nok"), (6, "tiny text\nok"), (7, "tiny text\nbut not ok"), (8, "yes\nno"), (9, copy + "\nand a tail of its own")]
+    rows += [(9, copy + "\nand a tail of its own")]
+    left = sorted((r["doc_id"], r["text"]) for r in line_templates.without_recurring(frame(spark, rows), drop_emptied=True, with_runs=True).collect())
+    assert left == [rows[0], rows[1], rows[4], rows[6], rows[7], (9, "and a tail of its own"), (9, "and a tail of its own")]
+    assert line_templates.without_recurring(frame(spark, ODD), with_runs=True).count() == len(ODD)
+
+
+def test_pipeline_stage_leaves_no_fragments_of_copies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    first, copies = {}, set()
+    for i, t in sorted((r["doc_id"], r["text"]) for r in docs.collect() if (r["text"] or "").strip()):
+        if first.setdefault(t, i) != i:
+            copies.add(i)
+    assert copies and not copies & {r["doc_id"] for r in corpus_pipeline.drop_recurring_lines(spark, docs, "").select("doc_id").collect()}
+
+
 def test_lists(spark):
     stamp = lambda s: F.lit(s).cast("timestamp")
     captures = spark.createDataFrame([(1, "https://u@Sub.Bad.com:8/x", "2024-01-05"), (2, "http://bad.com", "2024-01-15"), (3, None, "2024-01-05"), (4, "nonsense", "2024-01-05"), (5, "http://bad.com/", None)], "page_id long, url string, t string").select("page_id", "url", F.col("t").cast("timestamp").alias("fetched_at"))

@@ -9,11 +9,18 @@ only. A line is recurring if one of its templates occurs in enough documents;
 it is dropped from all of them but the one of the smallest doc_id, the first
 to say it, so that no passage is lost.
 
-All steps are hash aggregations with partial sums over lines or templates, so
-a line may occur in any share of the documents.
+On request runs are judged too: the shortest run of neighbouring lines from or
+up to each line that reaches LONG tokens. A run that occurs in LONG_DOCS
+documents goes, short lines included, from all of them but the first; so does
+the whole text where it is shorter than that and equals another. All lines of
+a copy lie in such runs, so nothing of it is left.
+
+All steps are hash aggregations with partial sums over lines, runs or
+templates, so a line may occur in any share of the documents; runs are found
+within one row's lines.
 
 Defined results: a null text stays null and an empty one empty; lines of fewer
-than MIN_TOKENS tokens are never dropped; copies within one document count
+than MIN_TOKENS tokens are dropped as part of a run only; copies within one document count
 once, and each is kept or dropped alike; rows of one doc_id are one document,
 those of a null doc_id too, which is larger than all others. Other columns are unchanged; names of extra columns don't
 matter.
@@ -21,7 +28,7 @@ matter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -34,7 +41,7 @@ MIN_DOCS, LONG_DOCS, LONG = 5, 2, 20
 FIELD = "<*>"
 
 
-#: More recurring templates than this are joined by a shuffle.
+#: More recurring templates or runs than this are joined by a shuffle.
 BROADCAST_TEMPLATES = 1_000_000
 
 
@@ -58,38 +65,73 @@ def templates(at: str) -> Column:
     return F.when(n >= GENERAL_TOKENS, F.array(own, *varied)).otherwise(F.array(own))
 
 
-def lines(documents: DataFrame) -> DataFrame:
-    """id and hash of a document, place, length class and templates of each line that can recur."""
+def lines(documents: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
+    """row, id and hash of a document, place, token count and templates of each line of at least so many tokens."""
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    found = documents.select(at.alias("id"), F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    found = found.select("id", "hash", "at", tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    return found.select("id", "hash", "at", (F.size("tokens") >= LONG).alias("long"), templates("tokens").alias("templates"))
+    # In one select with the explode, each line would get a row number of its own.
+    found = documents.select(F.monotonically_increasing_id().alias("row"), at.alias("id"), "text")
+    found = found.select("row", "id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    found = found.select("row", "id", "hash", "at", tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= least)
+    return found.select("row", "id", "hash", "at", F.size("tokens").alias("n"), templates("tokens").alias("templates"))
 
 
 def recurring(found: DataFrame) -> DataFrame:
     """template, n_docs, first: each template that recurs, and the smallest id of its documents."""
-    each = found.select(F.explode("templates").alias("template"), "long", "id").distinct()
+    each = found.where(F.col("n") >= MIN_TOKENS).select(F.explode("templates").alias("template"), (F.col("n") >= LONG).alias("long"), "id").distinct()
     counted = each.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("id").alias("first"), F.bool_or("long").alias("long"))
     return counted.where(F.col("n_docs") >= F.when(F.col("long"), LONG_DOCS).otherwise(MIN_DOCS)).select("template", "n_docs", "first")
 
 
-def dropped_lines(documents: DataFrame) -> DataFrame:
-    """id, hash, at, n_docs: the lines to drop, and how many documents have their template."""
-    found, _ = stored(lines(documents), "lines")
-    often, _ = stored(recurring(found), "templates")
-    often = F.broadcast(often) if often.count() <= BROADCAST_TEMPLATES else often
-    hit = found.select("id", "hash", "at", F.explode("templates").alias("template")).join(often, "template").where("id <> first")
+def runs(found: DataFrame) -> DataFrame:
+    """id, hash, run, start, stop: the runs of each row's lines, hashes of own templates, and their first and last places."""
+    row = Window.partitionBy("row")
+    end = F.sum("n").over(row.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    placed = found.select("row", "id", "hash", "at", "n", F.col("templates")[0].alias("own"), end.alias("end"), F.sum("n").over(row).alias("all"))
+    placed = placed.withColumn("begin", F.col("end") - F.col("n"))
+
+    def run(window) -> Column:
+        reached = F.when(F.sum("n").over(window) >= LONG, F.xxhash64(F.collect_list("own").over(window)))
+        # A text shorter than a run is one if it equals another as a whole.
+        key = F.when(F.col("all") < LONG, F.xxhash64(F.lit(-2), "hash")).otherwise(reached)
+        return F.struct(key.alias("run"), F.min("at").over(window).alias("start"), F.max("at").over(window).alias("stop"))
+
+    both = placed.select("id", "hash", run(row.orderBy("begin").rangeBetween(0, LONG - 1)).alias("a"), run(row.orderBy("end").rangeBetween(1 - LONG, 0)).alias("b"))
+    return both.select("id", "hash", F.inline(F.array("a", "b"))).where(F.col("run").isNotNull())
+
+
+def recurring_runs(each: DataFrame) -> DataFrame:
+    """run, n_docs, first: each run that recurs, and the smallest id of its documents."""
+    counted = each.select("run", "id").distinct().groupBy("run").agg(F.count("*").alias("n_docs"), F.min("id").alias("first"))
+    return counted.where(F.col("n_docs") >= LONG_DOCS)
+
+
+def _often(counted: DataFrame, name: str) -> DataFrame:
+    often, _ = stored(counted, name)
+    return F.broadcast(often) if often.count() <= BROADCAST_TEMPLATES else often
+
+
+def dropped_lines(documents: DataFrame, with_runs: bool = False) -> DataFrame:
+    """id, hash, at, n_docs: the lines to drop, and how many documents have their template or run."""
+    found, _ = stored(lines(documents, 1 if with_runs else MIN_TOKENS), "lines")
+    often = _often(recurring(found), "templates")
+    single = found.where(F.col("n") >= MIN_TOKENS).select("id", "hash", "at", F.explode("templates").alias("template"))
+    hit = single.join(often, "template").where("id <> first").select("id", "hash", "at", "n_docs")
+    if with_runs:
+        each, _ = stored(runs(found), "runs")
+        held = each.join(_often(recurring_runs(each), "recurring-runs"), "run").where("id <> first")
+        hit = hit.unionByName(held.select("id", "hash", F.explode(F.sequence("start", "stop")).alias("at"), "n_docs"))
     return hit.groupBy("id", "hash", "at").agg(F.max("n_docs").alias("n_docs"))
 
 
-def without_recurring(documents: DataFrame, drop_emptied: bool = False) -> DataFrame:
-    """documents, all rows and columns, its texts without recurring lines.
+def without_recurring(documents: DataFrame, drop_emptied: bool = False, with_runs: bool = False) -> DataFrame:
+    """documents, all rows and columns, its texts without recurring lines and,
+    with_runs, without recurring runs of lines.
 
     With drop_emptied, a document of which nothing but white space is left goes
     too; one that came so stays.
     n_chars, where there is such a column, is left as it came.
     """
-    drops = dropped_lines(documents).groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg(F.collect_set("at").alias("_at"))
+    drops = dropped_lines(documents, with_runs).groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg(F.collect_set("at").alias("_at"))
     same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)) == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     joined = documents.join(drops, same, "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_at", i))
