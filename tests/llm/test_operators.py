@@ -79,6 +79,23 @@ def test_near_duplicates_equal_brute_force(spark, options):
     assert len(got) == len(rows) and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("similarity", [80, 85])
+def test_trees_miss_few_pairs_at_the_threshold(similarity):
+    draw, trees = np.random.RandomState(similarity), near_duplicates.trees_for(similarity)
+    missed, rows = 0, 50_000
+    for _ in range(8):
+        a, b = (draw.randint(0, 2**32, (rows, trees * near_duplicates.WIDTH), dtype=np.uint32) for _ in range(2))
+        b = np.where(draw.random_sample(a.shape) < similarity / 100, a, b)
+        apart = np.ones(rows, dtype=bool)
+        for tree in range(trees):
+            x = y = near_duplicates._first_paths(tree, rows)
+            for level in range(near_duplicates.START_DEPTH):
+                x, y = near_duplicates._step(x, a, level), near_duplicates._step(y, b, level)
+            apart &= x != y
+        missed += apart.sum()
+    assert missed <= 10  # 2 are expected; 12 trees of shared coordinates missed 1067 and 128 of 2,000,000
+
+
 def test_near_duplicates_on_odd_rows(spark):
     got = near_duplicates.near_duplicates(frame(spark, ODD), 3, 85).collect()
     assert len(got) == len(ODD)
