@@ -133,6 +133,21 @@ def test_secrets(spark):
     assert secret_scan.scan(frame(spark, ODD)).count() == len(ODD)
 
 
+def test_random_letters_are_secrets_and_words_are_not():
+    path, draw = public_tokenizers.path(secret_scan.VOCABULARY), np.random.RandomState(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def share(alphabet, size):
+        texts = ["".join(draw.choice(list(alphabet), size)) for _ in range(1000)]
+        return sum(secret_scan.token_spans(t, [], path) == [(0, 3, size)] for t in texts) / len(texts)
+
+    assert all(share(letters + letters.upper() + "0123456789", size) > 0.99 for size in (16, 20, 24))
+    assert all(share(letters + letters.upper(), size) > 0.98 for size in (16, 20, 24))
+    assert all(share(letters, size) > 0.85 for size in (16, 20, 24))
+    words = ["AnOrdinaryIdentifier", "internationalization", "some-long-identifier-2024", "docs/reference/index", "Geschwindigkeitsbegrenzung", "MAX_CONNECTION_TIMEOUT", "2024-01-05/2024-02-05", "0054994038693466"]
+    assert [w for w in words if secret_scan.token_spans(w, [], path)] == []
+
+
 def test_toxicity_learns_and_takes_odd_rows(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

@@ -1,10 +1,10 @@
 """Secret scans: three fixed patterns and a token-efficiency test.
 
 A vocabulary of a byte-pair tokenizer spends few tokens on ordinary words and
-many on random strings. A run of token characters that holds letters and
-digits and gets few characters per token is reported as kind ``token``, unless
-it has the shape of a known digest or identifier or overlaps a span that the
-patterns report.
+many on random strings. A run of token characters, of letters alone too, that
+gets few characters per token is reported as kind ``token``, unless it is a
+digest, a UUID or a plain number or overlaps a span that the patterns report.
+Words, dashed or in camel case, need fewer characters per token than others.
 
 Defined results: a null text counts as empty and has no spans; offsets are
 code points, the end exclusive; repeated rows each get a row; a null doc_id is
@@ -30,6 +30,8 @@ from .common import table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fewer characters a token than this is random.
 MAX_CHARS_PER_TOKEN = 2.0
+#: The same for the shape of words, which some long words of languages unlike the vocabulary's fall below.
+MAX_WORD_CHARS_PER_TOKEN = 1.85
 KINDS = ("assign", "access", "hex", "token")
 
 _ASSIGN = re.compile(
@@ -39,14 +41,15 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Digests (MD5, SHA-1, SHA-2) and identifiers (UUIDs, numbers, dates, plain
-#: or dashed words) that are no secrets.
+#: Digests (MD5, SHA-1, SHA-2), UUIDs, numbers and dates, which are no secrets.
 _KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}"
     r"|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
-    r"|[0-9+/_=-]+|[A-Za-z+/_=-]+|(?:[A-Za-z]+[0-9]{0,4}[/_=-]+)*[A-Za-z]+[0-9]{0,4})"
+    r"|[0-9+/_=-]+)"
 )
+#: Plain, dashed or camel-case words, with short numbers.
+_WORDS = re.compile(r"[A-Za-z+/_=-]+|(?:[A-Za-z]+[0-9]{0,4}[/_=-]+)*[A-Za-z]+[0-9]{0,4}")
 
 
 @lru_cache(maxsize=2)
@@ -64,13 +67,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def token_spans(text: str, base: list[tuple[int, int, int]], path: str, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
+def token_spans(text: str, base: list[tuple[int, int, int]], path: str, most: float = MAX_CHARS_PER_TOKEN, most_words: float = MAX_WORD_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """Spans of random strings outside the base spans."""
     found = []
     for m in _CANDIDATE.finditer(text):
         if _KNOWN.fullmatch(m[0]) or any(start < m.end() and m.start() < end for start, _, end in base):
             continue
-        if len(m[0]) < most * len(_encoding(path).encode_ordinary(m[0])):
+        if len(m[0]) < (most_words if _WORDS.fullmatch(m[0]) else most) * len(_encoding(path).encode_ordinary(m[0])):
             found.append((m.start(), 3, m.end()))
     return found
 
