@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of one Arrow batch that a task hands to its Python worker.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
@@ -18,13 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Where that is unset, as in
-    tests, a new temporary folder is made and set for the session.
+    It is what ``spark.checkpoint.dir`` names. Where that is unset, a local
+    session, as in tests, gets a new temporary folder; a cluster has no folder
+    that all its machines see, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("verdance.shared.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="verdance-")
         spark.conf.set("verdance.shared.dir", found)
     return found.rstrip("/")
@@ -35,12 +44,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/verdance-{name}-{uuid.uuid4().hex}"
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """What is written at path goes when the application ends, at the latest."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: lineage is cut and a
     lost executor costs no recomputation. Returns the frame and its path."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -52,13 +69,55 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow in batches of few rows and bytes, so that long texts don't pile up in a worker.
+
+    The bounds are settings of the session that Spark reads when the result is
+    run, so they stay set; smaller ones that the session has are kept.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            given = int(conf.get(key))
+        except (TypeError, ValueError):
+            given = 0
+        if not 0 < given <= most:
+            conf.set(key, str(most))
+
+    def freed(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(freed, schema)
+
+
 class WordHash(dict):
-    """64-bit hashes of words, kept for the words seen most lately."""
+    """64-bit hashes of words; those seen since it last held ROOM bytes are kept."""
+
+    ROOM = 24 << 20
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.held = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if self.held > self.ROOM:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+            self.held = 0
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= 256:
+            self[word] = value
+            self.held += len(word) + 200
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
