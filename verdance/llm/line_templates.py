@@ -2,12 +2,12 @@
 
 A line's tokens lead down the tree: its token count is the first level, its
 leading tokens, with variable fields masked, the next. A leaf's templates
-generalise what still varies: tokens with digits are fields everywhere, and
-one third of the tokens behind the leading ones may vary as a whole. So a line
-has at most four templates, and lines of one template differ in its fields
-only. A line is recurring if one of its templates occurs in enough documents;
-it is dropped from all of them but the one of the smallest doc_id, the first
-to say it, so that no passage is lost.
+generalise what still varies: tokens with digits are fields everywhere; behind
+the leading tokens any one token of a shorter line may vary, and any one third
+of a longer line's. So a line has few templates, and lines of one template
+differ in its fields only. A line is recurring if one of its templates occurs
+in enough documents; it is dropped from all of them but the one of the
+smallest doc_id, the first to say it, so that no passage is lost.
 
 On request runs are judged too: the shortest run of neighbouring lines from or
 up to each line that reaches LONG tokens. A run that occurs in LONG_DOCS
@@ -17,13 +17,16 @@ a copy lie in such runs, so nothing of it is left.
 
 All steps are hash aggregations with partial sums over lines, runs or
 templates, so a line may occur in any share of the documents; runs are found
-within one row's lines.
+within one row's lines. Recurring templates are three numbers each, so those
+of a broadcast stay under 100 MB; beyond the bound Spark's adaptive execution
+splits the hot keys of the join.
 
 Defined results: a null text stays null and an empty one empty; lines of fewer
-than MIN_TOKENS tokens are dropped as part of a run only; copies within one document count
-once, and each is kept or dropped alike; rows of one doc_id are one document,
-those of a null doc_id too, which is larger than all others. Other columns are unchanged; names of extra columns don't
-matter.
+than MIN_TOKENS tokens are dropped as part of a run only; copies within one
+document count once, and each is kept or dropped alike; rows of one doc_id are
+one document, those of a null doc_id too, which is larger than all others; an
+empty table gives no rows. Other columns are unchanged; names of extra columns
+don't matter. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -31,17 +34,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import remove, stored, table, unused
 
 MIN_TOKENS, LEADING, THIRDS = 4, 3, 3
-#: Generalised templates need this many tokens.
-GENERAL_TOKENS = 12
+#: From so many tokens on one token of a line may vary, and from so many on a third of them.
+SINGLE_TOKENS, GENERAL_TOKENS = 6, 12
 #: Documents in which a template recurs: shorter lines, and those of LONG tokens or more.
 MIN_DOCS, LONG_DOCS, LONG = 5, 2, 20
 FIELD = "<*>"
 
 
-#: More recurring templates or runs than this are joined by a shuffle.
+#: More recurring templates or runs than this, of 24 bytes each, are joined by a shuffle.
 BROADCAST_TEMPLATES = 1_000_000
 
 
@@ -53,23 +56,25 @@ def tokens(line: Column) -> Column:
 
 
 def templates(at: str) -> Column:
-    """Hashes of the templates of an array of tokens: the line's own and, for
-    longer lines, one for each third that varies."""
+    """Hashes of the templates of an array of tokens: the line's own and one
+    for each token, or in longer lines each third, that varies."""
     n, head = F.size(at), F.slice(at, 1, LEADING)
     step = F.ceil(F.greatest(n - LEADING, F.lit(0)) / THIRDS).cast("int")
+
+    def template(first: Column, width: Column | int) -> Column:
+        """The template in which so many tokens from first on, counted behind the leading ones, vary."""
+        return F.xxhash64(first, n, head, F.slice(at, LEADING + 1, first), F.slice(at, F.lit(LEADING + 1) + first + width, F.greatest(n, F.lit(1))))
+
     own = F.xxhash64(F.lit(-1), n, at)
-    varied = [
-        F.xxhash64(F.lit(k), n, head, F.slice(at, LEADING + 1, F.lit(k) * step), F.slice(at, F.lit(LEADING + 1) + F.lit(k + 1) * step, F.greatest(n, F.lit(1))))
-        for k in range(THIRDS)
-    ]
-    return F.when(n >= GENERAL_TOKENS, F.array(own, *varied)).otherwise(F.array(own))
+    thirds = F.array(own, *(template(F.lit(k) * step, step) for k in range(THIRDS)))
+    single = F.concat(F.array(own), F.transform(F.sequence(F.lit(0), n - LEADING - 1), lambda k: template(k, 1)))
+    return F.when(n >= GENERAL_TOKENS, thirds).when(n >= SINGLE_TOKENS, single).otherwise(F.array(own))
 
 
 def lines(documents: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
     """row, id and hash of a document, place, token count and templates of each line of at least so many tokens."""
-    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     # In one select with the explode, each line would get a row number of its own.
-    found = documents.select(F.monotonically_increasing_id().alias("row"), at.alias("id"), "text")
+    found = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
     found = found.select("row", "id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     found = found.select("row", "id", "hash", "at", tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= least)
     return found.select("row", "id", "hash", "at", F.size("tokens").alias("n"), templates("tokens").alias("templates"))
@@ -105,22 +110,28 @@ def recurring_runs(each: DataFrame) -> DataFrame:
     return counted.where(F.col("n_docs") >= LONG_DOCS)
 
 
-def _often(counted: DataFrame, name: str) -> DataFrame:
-    often, _ = stored(counted, name)
-    return F.broadcast(often) if often.count() <= BROADCAST_TEMPLATES else often
+def _often(counted: DataFrame, name: str) -> tuple[DataFrame, str]:
+    often, path = stored(counted, name)
+    return F.broadcast(often) if often.count() <= BROADCAST_TEMPLATES else often, path
 
 
 def dropped_lines(documents: DataFrame, with_runs: bool = False) -> DataFrame:
-    """id, hash, at, n_docs: the lines to drop, and how many documents have their template or run."""
-    found, _ = stored(lines(documents, 1 if with_runs else MIN_TOKENS), "lines")
-    often = _often(recurring(found), "templates")
+    """id, hash, drop: the places of the lines to drop of each document and text."""
+    spark = documents.sparkSession
+    found, lines_path = stored(lines(documents, 1 if with_runs else MIN_TOKENS), "lines")
+    often, often_path = _often(recurring(found), "templates")
+    paths, elsewhere = [lines_path, often_path], ~F.col("id").eqNullSafe(F.col("first"))
     single = found.where(F.col("n") >= MIN_TOKENS).select("id", "hash", "at", F.explode("templates").alias("template"))
-    hit = single.join(often, "template").where("id <> first").select("id", "hash", "at", "n_docs")
+    hit = single.join(often, "template").where(elsewhere).select("id", "hash", "at")
     if with_runs:
-        each, _ = stored(runs(found), "runs")
-        held = each.join(_often(recurring_runs(each), "recurring-runs"), "run").where("id <> first")
-        hit = hit.unionByName(held.select("id", "hash", F.explode(F.sequence("start", "stop")).alias("at"), "n_docs"))
-    return hit.groupBy("id", "hash", "at").agg(F.max("n_docs").alias("n_docs"))
+        each, runs_path = stored(runs(found), "runs")
+        often_runs, often_runs_path = _often(recurring_runs(each), "recurring-runs")
+        held = each.join(often_runs, "run").where(elsewhere)
+        hit = hit.unionByName(held.select("id", "hash", F.explode(F.sequence("start", "stop")).alias("at")))
+        paths += [runs_path, often_runs_path]
+    drops, _ = stored(hit.groupBy("id", "hash").agg(F.collect_set("at").alias("drop")), "drops")
+    remove(spark, *paths)
+    return drops
 
 
 def without_recurring(documents: DataFrame, drop_emptied: bool = False, with_runs: bool = False) -> DataFrame:
@@ -131,13 +142,14 @@ def without_recurring(documents: DataFrame, drop_emptied: bool = False, with_run
     too; one that came so stays.
     n_chars, where there is such a column, is left as it came.
     """
-    drops = dropped_lines(documents, with_runs).groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg(F.collect_set("at").alias("_at"))
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)) == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    own, of_text, drop = unused(documents, "drop_id", "drop_hash", "drop_at")
+    drops = dropped_lines(documents, with_runs).select(F.col("id").alias(own), F.col("hash").alias(of_text), F.col("drop").alias(drop))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(of_text))
     joined = documents.join(drops, same, "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_at", i))
-    text = F.when(F.col("_at").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col(drop), i))
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     if drop_emptied:
-        joined = joined.where(F.col("_at").isNull() | text.rlike(r"\S"))
+        joined = joined.where(F.col(drop).isNull() | text.rlike(r"\S"))
     return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in documents.columns))
 
 
@@ -157,7 +169,10 @@ template AS (
   SELECT doc_id, i, n, -1 AS k, array_to_string(w, ' ') AS t FROM sized
   UNION ALL
   SELECT doc_id, i, n, k, array_to_string(list_concat(w[1:3], w[4:3 + k * s], ['<*>'], w[4 + (k + 1) * s:]), ' ')
-  FROM sized, (SELECT unnest(range(0, 3)) AS k) WHERE n >= 12),
+  FROM sized, (SELECT unnest(range(0, 3)) AS k) WHERE n >= 12
+  UNION ALL
+  SELECT doc_id, i, n, k, array_to_string(list_concat(w[1:3 + k], ['<*>'], w[5 + k:]), ' ')
+  FROM (SELECT *, unnest(range(0, n - 3)) AS k FROM sized WHERE n >= 6 AND n < 12)),
 found AS (
   SELECT n, k, t, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first FROM template GROUP BY ALL
   HAVING count(DISTINCT doc_id) >= CASE WHEN n >= 20 THEN 2 ELSE 5 END),
