@@ -7,8 +7,10 @@ digest, a UUID or a plain number or overlaps a span that the patterns report.
 Words, dashed or in camel case, need fewer characters per token than others.
 
 Defined results: a null text counts as empty and has no spans; offsets are
-code points, the end exclusive; repeated rows each get a row; a null doc_id is
-kept; extra columns are ignored. Texts of any length are scanned whole.
+code points, the end exclusive; spans of one start stand in the order of
+KINDS; repeated rows each get a row; a null doc_id is kept; extra columns are
+ignored; an empty table gives no rows. Texts of any length are scanned whole,
+in time that grows as their length.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fewer characters a token than this is random.
@@ -69,9 +71,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def token_spans(text: str, base: list[tuple[int, int, int]], path: str, most: float = MAX_CHARS_PER_TOKEN, most_words: float = MAX_WORD_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """Spans of random strings outside the base spans."""
-    found = []
+    found, at, reached = [], 0, 0
     for m in _CANDIDATE.finditer(text):
-        if _KNOWN.fullmatch(m[0]) or any(start < m.end() and m.start() < end for start, _, end in base):
+        # Both are in order of their starts: base spans that begin before this run ends, and the last end among them.
+        while at < len(base) and base[at][0] < m.end():
+            reached, at = max(reached, base[at][2]), at + 1
+        if reached > m.start() or _KNOWN.fullmatch(m[0]):
             continue
         if len(m[0]) < (most_words if _WORDS.fullmatch(m[0]) else most) * len(_encoding(path).encode_ordinary(m[0])):
             found.append((m.start(), 3, m.end()))
@@ -89,8 +94,8 @@ def scan(documents: DataFrame, path: str | None = None) -> DataFrame:
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
+            for text in batch.column("text"):
+                text = text.as_py() or ""
                 base = base_spans(text)
                 kinds = [kind for _, kind, _ in base]
                 spans = sorted(base + token_spans(text, base, path))
@@ -100,7 +105,7 @@ def scan(documents: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs, pa.array(made[4], pa.string()), pa.array(made[5], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "n_token", "base_sha256", "spans"])
 
     ready = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return ready.mapInArrow(scanned, "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string")
+    return in_arrow(ready, scanned, "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
