@@ -9,20 +9,28 @@ upward and then downward, give each run's exact marginal; runs at one half or
 more are the page's text.
 
 All potentials are counts over labelled pages: a bounded sample of pages that
-mark their article, labelled by that mark, and variants of them in which the
-article bears another usual name and usual kinds of other blocks are added
-around and inside it.
+mark their one article, labelled by that mark, and variants of them in which
+the article bears another usual name and usual kinds of other blocks are added
+around and inside it. The lists of usual names are prior knowledge; a name that
+neither they nor the pages have says nothing, and a block's tag, place, length
+and links decide. Counts of features are tempered by fixed exponents, since
+features of one node depend on each other.
 
 Defined results: null, empty or textless html gives an empty text; unclosed,
-stray and nested tags are repaired as they come; repeated rows each get a row;
-extra columns are ignored. Without labelled pages every visible run is content.
-Pages of any length are parsed whole.
+stray and nested tags are repaired as they come; white space is what
+str.split() takes for it, no-break spaces too; repeated rows each get a row;
+extra columns are ignored; an empty table gives no rows. Of pages of one id
+the smallest is taken for the sample; a run whose states are equally likely is
+content. Where no page marks its article, the model is counted on examples
+made by rule. Pages of any length are parsed whole, in time that grows as
+their length.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,10 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, table
 
 #: Bound of the labelled sample: pages, chosen by a hash of their id.
 SAMPLE_PAGES = 400
+#: Pages made by rule where no page marks its article.
+EXAMPLES = 60
 #: Exponents of the features' potentials: tags and text features depend on each
 #: other and count for less than the names that a page gives its blocks.
 NAME_WEIGHT, OTHER_WEIGHT = 1.5, 0.5
@@ -47,7 +57,7 @@ _HIDDEN = frozenset("head title script style noscript template svg math iframe o
 _CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SIBLING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select", "datalist"}}
 # Usual names of an article's element and of other blocks.
-_ARTICLE = ('article class="post"', 'main id="main"', 'div class="article-body"', 'div id="content"', 'div class="entry-content"', 'section class="story"', 'div class="post-content"', 'div role="main"', 'div itemprop="articleBody"')
+_ARTICLE = ('article class="post"', 'main id="main"', 'div class="article-body"', 'div id="content"', 'div class="entry-content"', 'section class="story"', 'div class="post-content"', 'div role="main"', 'div itemprop="articleBody"', "div")
 _OTHER = (
     "aside", 'div class="sidebar"', 'div id="sidebar"', "header", 'div class="header"', 'header class="site-header"', 'div class="cookie-notice"', 'div class="cookie-banner"', 'div class="notice"', 'div role="alert"',
     'div class="comments"', 'section class="comments"', 'section id="comments"', 'ol class="comment-list"', 'div class="comment"', 'div id="respond"', "form", 'form class="search"', 'form class="newsletter"', 'div class="subscribe"',
@@ -55,14 +65,12 @@ _OTHER = (
     'ul class="breadcrumb"', 'div class="menu"', 'ul class="menu"', "nav", "footer", 'div class="footer"', 'div id="footer"', 'div class="widget"', 'div class="tags"', 'div class="social"', 'div class="login"', 'div class="pagination"',
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|(?P<text>[^<]+|<)",
-    re.DOTALL | re.IGNORECASE,
-)
+_TAG = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_STOP = re.compile(r"[>\"']")
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s>/])", re.IGNORECASE) for tag in ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "title")}
+_LONG_NUMBER = re.compile(r"&#([0-9]{10,});?")
+#: Elements nested deeper are taken as children of the one at this depth, as browsers do.
+MAX_NESTING = 512
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -84,16 +92,71 @@ class Tree:
         return len(self.parent) - 1
 
 
+def _tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) of each tag and run of text, in one pass.
+
+    A quote after an equals sign hides what is in it; one that never closes is
+    an ordinary character. Where no > follows, the rest is text. A comment or
+    raw element that never closes takes the rest.
+    """
+    at, text, size, last = 0, 0, len(html), html.rfind(">")
+    closes = {q: html.rfind(q) for q in "\"'"}
+    while True:
+        at = html.find("<", at)
+        if at < 0 or at > last:
+            break
+        m = _TAG.match(html, at + 1)
+        if not m and html[at + 1 : at + 2] not in ("!", "?", "/"):
+            at += 1
+            continue
+        if text < at:
+            yield "text", html[text:at], ""
+        if not m:
+            start = html.startswith("<!--", at)
+            end = html.find("-->", at + 2) if start else html.find(">", at)
+            at = text = size if end < 0 else end + (3 if start else 1)
+            continue
+        end = seen = m.end()
+        while True:
+            stop = _STOP.search(html, end)
+            if not stop:
+                end = last  # all others are quoted
+                break
+            end = stop.start()
+            if stop[0] == ">":
+                break
+            if end < closes[stop[0]] and html[seen:end].rstrip()[-1:] == "=":
+                end = html.find(stop[0], end + 1)
+            end = seen = end + 1
+        tag, attributes = m[2].lower(), html[m.end() : end]
+        at = text = end + 1
+        if tag in _RAW:  # goes with what is in it
+            close = None if m[1] else _RAW[tag].search(html, at)
+            end = html.find(">", close.end()) if close else -1
+            at = text = at if m[1] else end + 1 if end >= 0 else size
+            continue
+        yield ("end" if m[1] else "start"), tag, attributes
+    if text < size:
+        yield "text", html[text:], ""
+
+
+def _plain(text: str) -> str:
+    """Character references decoded, white space, no-break spaces too, as single blanks."""
+    if "&" in text:
+        text = unescape(_LONG_NUMBER.sub(lambda m: f"&#{m[1].lstrip('0') or 0};" if len(m[1].lstrip("0")) < 10 else "\ufffd", text))
+    return " ".join(text.split())
+
+
 def parse(html: str | None) -> Tree:
     """The block elements of a page and their runs of text."""
-    tree, stack, inline, run, linked = Tree(), [0], [], [], 0
-    hidden = 0
+    tree, stack, run, linked, links = Tree(), [0], [], 0, 0
+    hidden, opened = 0, Counter()
 
     def close_run() -> None:
         nonlocal linked
         if run:
-            text = " ".join(unescape("".join(run)).split())
-            if text and not hidden:
+            text = "" if hidden else _plain("".join(run))
+            if text:
                 words, tag = text.count(" ") + 1, tree.tag[stack[-1]]
                 share = min(1.0, linked / max(1, len(text)))
                 features = [f"words:{min(7, words.bit_length())}", f"links:{int(share * 3.999)}", f"in:{tag}", f"stop:{text[-1] in '.!?:;…'}"]
@@ -107,54 +170,43 @@ def parse(html: str | None) -> Tree:
         nonlocal hidden
         close_run()
         while len(stack) > depth:
-            hidden -= tree.tag[stack.pop()] in _HIDDEN
-
-    for m in _TOKEN.finditer(html or ""):
-        text = m["text"]
-        if text is not None:
-            run.append(text)
-            if "a" in inline:
-                linked += len(text)
-            continue
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            continue
-        if tag in _INLINE:
+            tag = tree.tag[stack.pop()]
+            hidden -= tag in _HIDDEN
+            opened[tag] -= 1
+
+    for kind, tag, attributes in _tokens(html or ""):
+        if kind == "text":
+            run.append(tag)
+            if links:
+                linked += len(tag)
+        elif tag in _INLINE:
             if tag == "br":
                 run.append(" ")
-            elif tag not in _VOID:
-                if not m["end"]:
-                    inline.append(tag)
-                elif tag in inline:
-                    inline.reverse()
-                    inline.remove(tag)
-                    inline.reverse()
-            continue
-        if m["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[depth]] == tag:
+            elif tag == "a":
+                links = max(0, links + (1 if kind == "start" else -1))
+        elif kind == "end":
+            close_run()
+            if opened[tag] > 0:
+                pop_to(next(d for d in range(len(stack) - 1, 0, -1) if tree.tag[stack[d]] == tag))
+            links = 0
+        else:
+            close_run()
+            links = 0
+            if tag in _CLOSES_P and tree.tag[stack[-1]] == "p":
+                pop_to(len(stack) - 1)
+            for depth in range(len(stack) - 1, 0, -1) if tag in _SIBLING else ():
+                if tree.tag[stack[depth]] in _SIBLING[tag]:
+                    break
+                if tree.tag[stack[depth]] == tag or {tag, tree.tag[stack[depth]]} <= {"dt", "dd", "td", "th"}:
                     pop_to(depth)
                     break
-            else:
-                close_run()
-            inline.clear()
-            continue
-        close_run()
-        inline.clear()
-        if tag in _CLOSES_P and tree.tag[stack[-1]] == "p":
-            pop_to(len(stack) - 1)
-        for depth in range(len(stack) - 1, 0, -1) if tag in _SIBLING else ():
-            if tree.tag[stack[depth]] in _SIBLING[tag]:
-                break
-            if tree.tag[stack[depth]] == tag or {tag, tree.tag[stack[depth]]} <= {"dt", "dd", "td", "th"}:
-                pop_to(depth)
-                break
-        names = [w.lower() for found in _NAMED.findall(m["attrs"] or "") for w in _WORD.findall("".join(found))]
-        features = [f"tag:{tag}", f"under:{tree.tag[stack[-1]]}", *(f"name:{w}" for w in dict.fromkeys(names))]
-        node = tree.add(stack[-1], tag, features)
-        if tag not in _VOID and not (m["attrs"] or "").endswith("/"):
-            stack.append(node)
-            hidden += tag in _HIDDEN
+            names = [w.lower() for found in _NAMED.findall(attributes) for w in _WORD.findall("".join(found))]
+            features = [f"tag:{tag}", f"under:{tree.tag[stack[-1]]}", *(f"name:{w}" for w in dict.fromkeys(names))]
+            node = tree.add(stack[-1], tag, features)
+            if tag not in _VOID and not attributes.endswith("/") and len(stack) <= MAX_NESTING:
+                stack.append(node)
+                hidden += tag in _HIDDEN
+                opened[tag] += 1
     close_run()
     return tree
 
@@ -187,8 +239,6 @@ class Model:
 
     def extract(self, html: str | None) -> str:
         tree = parse(html)
-        if not self.edge:
-            return "\n\n".join(t for t in tree.text if t)
         return "\n\n".join(t for t, b in zip(tree.text, self.marginals(tree), strict=True) if t and b >= 0)
 
 
@@ -205,15 +255,26 @@ def _labels(tree: Tree, starts: set[int], stops: set[int]) -> list[bool]:
 
 
 _MARK = "x-verdance"
+#: A page of exactly one article: what stands before, in and behind it.
+_ONE_ARTICLE = re.compile(r"((?:(?!<article\b).)*)<article\b[^>]*>((?:(?!</?article\b).)*)</article\s*>((?:(?!</?article\b).)*)", re.DOTALL | re.IGNORECASE)
+
+
+def _example(number: int) -> str:
+    """A page made by rule, for where no page marks its article: a menu, an article of some paragraphs, a footer."""
+    words = [a + b for a in ("ba", "do", "ki", "lu", "me", "so", "ta") for b in ("na", "ri", "ve", "lo", "sti", "mer")]
+    text = lambda k, n: " ".join(words[(number * 13 + k * 7 + j * j) % len(words)] for j in range(n)).capitalize() + "."
+    menu = "".join(f"<li><a href='/{k}'>{words[(number + k) % len(words)]}</a></li>" for k in range(3 + number % 5))
+    body = "".join(f"<p>{text(k, 8 + (number * 5 + k * 11) % 60)}</p>" for k in range(1 + number % 9))
+    return f"<html><body><nav><ul>{menu}</ul></nav><div class='ad'>{text(1, 12)}</div><article><h1>{text(2, 5)}</h1>{body}</article><footer>&copy; {text(3, 6)}</footer></body></html>"
 
 
 def _variants(html: str, number: int) -> Iterator[str]:
     """The page, and variants with other names and further blocks; marked in their attributes."""
-    found = re.search(r"<article\b[^>]*>(.*)</article\s*>", html, re.DOTALL | re.IGNORECASE)
+    found = _ONE_ARTICLE.fullmatch(html)
     if not found:
         return
-    yield html[: found.start()] + f"<article {_MARK}=1>" + found[1] + "</article>" + html[found.end() :]
-    paragraphs = re.findall(r"<p\b[^>]*>([^<]{20,})", found[1])[:40] or ["text"]
+    yield found[1] + f"<article {_MARK}=1>" + found[2] + "</article>" + found[3]
+    paragraphs = re.findall(r"<p\b[^>]*>([^<]{20,})", found[2])[:40] or ["text"]
     for k in range(3):
         name = _ARTICLE[(number * 3 + k) % len(_ARTICLE)]
         extra = []
@@ -223,9 +284,9 @@ def _variants(html: str, number: int) -> Iterator[str]:
             words = words[: (30, 90, 400)[(number + j) % 3]]
             child = ("{}", "<p>{}</p>", "<div><p>{}</p></div>", "<ul><li><a href='/'>{}</a></li></ul>", "<h3>{0}</h3><p>{0}</p>", "<h1>{}</h1>", "<h2>{}</h2><div>{}</div>".replace("{}", "{0}"))[(number + k + j) % 7].format(words)
             extra.append(f"<{other} {_MARK}=0>{child}</{other.split()[0]}>")
-        own = ("<ul>" + 8 * "<li>{0}</li>" + "</ul>", "<table><tr><th>{0}</th><td>{0}</td></tr></table>", "<blockquote>{0}</blockquote><h2>{0}</h2>", "<div><p>{0}</p></div><ol>" + 8 * "<li>{0}</li>" + "</ol>", "")[(number + k) % 5]
-        body = found[1] + own.format(paragraphs[-1]) + (extra[0] if k % 2 else "")
-        yield html[: found.start()] + extra[1] + extra[2] + f"<{name} {_MARK}=1>" + body + f"</{name.split()[0]}>" + extra[3] + extra[4] + html[found.end() :]
+        own = ("<ul>" + 4 * "<li>{0}</li><li>{1}</li>" + "</ul>", "<table><tr><th>{0}</th><td>{0}</td></tr></table>", "<blockquote>{0}</blockquote><h2>{0}</h2>", "<div><p>{0}</p></div><ol>" + 6 * "<li>{1}</li>" + "</ol><h3>{1}</h3>", "")[(number + k) % 5]
+        body = found[2] + own.format(paragraphs[-1], paragraphs[0][:25]) + (extra[0] if k % 2 else "")
+        yield found[1] + extra[1] + extra[2] + f"<{name} {_MARK}=1>" + body + f"</{name.split()[0]}>" + extra[3] + extra[4] + found[3]
 
 
 def _marked(html: str) -> tuple[Tree, list[bool]]:
@@ -245,30 +306,54 @@ def _marked(html: str) -> tuple[Tree, list[bool]]:
     return tree, _labels(tree, starts, stops)
 
 
+def _counts(html: str, number: int) -> Counter:
+    """What the variants of a page add to the counts of roots, edges, states and features."""
+    out = Counter()
+    for variant in _variants(html, number):
+        tree, state = _marked(variant)
+        out["root", "", "", state[0]] += 1
+        for c in range(1, len(state)):
+            kind = "#" if tree.tag[c] == "#" else "e"
+            out["edge", kind, str(int(state[tree.parent[c]])), state[c]] += 1
+            out["state", kind, "", state[c]] += 1
+            out.update(("feature", kind, f, state[c]) for f in tree.features[c])
+    return out
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = Counter()
+        for html in batch.column("html"):
+            html = html.as_py()
+            out.update(_counts(html, zlib.crc32(html.encode("utf-8", "surrogatepass"))))
+        what, kind, name, state = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in (what, kind, name)), pa.array(state, pa.bool_()), pa.array(out.values(), pa.int64())], ["what", "kind", "name", "state", "n"])
+
+
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Model:
-    """Count potentials on pages that mark their article, at most sample_pages of them."""
-    marked = pages.where(F.col("html").rlike("(?i)<article[ >]"))
+    """Count potentials on pages that mark their one article, at most sample_pages of them.
+
+    The pages are read and counted in tasks; the driver gets a number for each
+    feature that they show. Where no page marks its article, examples made by
+    rule are counted instead.
+    """
+    marked = pages.where(F.col("html").rlike("(?is)<article[ >]") & ~F.col("html").rlike("(?is)<article[ >].*<article[ >]"))
     ids = marked.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)  # ids alone meet in the driver
     chosen = marked.join(F.broadcast(ids), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
-    seen, total, edges, roots = {True: Counter(), False: Counter()}, Counter(), Counter(), Counter()
-    for number, html in enumerate(sorted(r["html"] for r in chosen.collect())):
-        for variant in _variants(html, number):
-            tree, state = _marked(variant)
-            roots[state[0]] += 1
-            for c in range(1, len(state)):
-                kind = "#" if tree.tag[c] == "#" else "e"
-                edges[kind, state[tree.parent[c]], state[c]] += 1
-                total[kind, state[c]] += 1
-                seen[state[c]].update(tree.features[c])
-    if not roots:
-        return Model({}, {}, {})
+    rows = in_arrow(chosen.select("html"), _counted, "what string, kind string, name string, state boolean, n long")
+    found = Counter({(r["what"], r["kind"], r["name"], r["state"]): r["n"] for r in rows.groupBy("what", "kind", "name", "state").agg(F.sum("n").alias("n")).collect()})
+    for number in range(0 if found else EXAMPLES):
+        found.update(_counts(_example(number), number))
+    total = lambda kind, state: found["state", kind, "", state] + 1
     odds = {}
-    for f in set(seen[True]) | set(seen[False]):
-        kind = "e" if f.partition(":")[0] in ("tag", "under", "name") else "#"
+    for kind, f in sorted({(kind, name) for what, kind, name, _ in found if what == "feature"}):
         weight = NAME_WEIGHT if f.startswith("name:") else OTHER_WEIGHT
-        odds[f] = weight * (math.log((seen[True][f] + 0.5) / (total[kind, True] + 1)) - math.log((seen[False][f] + 0.5) / (total[kind, False] + 1)))
-    edge = {k: tuple((edges[k, p, True] + 0.5) / (edges[k, p, True] + edges[k, p, False] + 1) for p in (False, True)) for k in ("#", "e")}
-    return Model(odds, {"root": math.log((roots[True] + 1) / (roots[False] + 1))}, edge)
+        odds[f] = weight * sum(sign * (math.log((found["feature", kind, f, state] + 0.5) / total(kind, state))) for sign, state in ((1, True), (-1, False)))
+    edge = {}
+    for kind in ("#", "e"):
+        yes, no = ([found["edge", kind, str(p), state] for p in (0, 1)] for state in (True, False))
+        edge[kind] = tuple((y + 0.5) / (y + n + 1) for y, n in zip(yes, no, strict=True))
+    return Model(odds, {"root": math.log((found["root", "", "", True] + 1) / (found["root", "", "", False] + 1))}, edge)
 
 
 def extract(pages: DataFrame, model: Model) -> DataFrame:
@@ -276,11 +361,11 @@ def extract(pages: DataFrame, model: Model) -> DataFrame:
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [model.extract(html) for html in batch.column("html").to_pylist()]
+            texts = [model.extract(html.as_py()) for html in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     ready = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return ready.mapInArrow(extracted, "page_id long, url string, text string, n_chars long")
+    return in_arrow(ready, extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
