@@ -7,13 +7,16 @@ at the end). The footer gives each batch's place, all sequences have one
 length, and nothing is compressed, so any sequence is read in place, without
 a copy. A second file holds each document's first position and length.
 
-Files go to the shared folder under names of their partition; a task writes
-to a name of its own attempt first and renames it, so that a repeated or
-speculative task leaves one whole file.
+Files go to the shared folder under names of their partition and attempt, and
+are never renamed: the manifest names those of the attempt that Spark took, so
+a repeated or speculative task needs nothing of an earlier one's. Files that
+the manifest doesn't name are removed.
 
 Defined results: a null or empty text has only the end id; documents of one id
 stay next to each other, ordered by a hash of their text; null ids come first;
-extra columns are ignored. Texts of any length are encoded whole.
+equal rows each have their ids, and may lie in several files; extra columns
+are ignored; an empty table gives no files and no rows. Texts of any length
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -35,13 +38,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import new_path, table
+from .common import in_arrow, new_path, remove, table, until_exit
 
 VOCABULARY = "byte_bpe_50k.json"
 SEQUENCE, BATCH = 2048, 128
 END_ID = 0
-#: Remembered words in one Python worker, and as many older ones.
-KNOWN = 500_000
+#: Bytes of remembered words in one Python worker, and of as many older ones; what a word takes beside its letters and ids.
+KNOWN, ENTRY = 32 << 20, 200
 
 
 def _byte_letters() -> dict[int, str]:
@@ -77,7 +80,7 @@ class WordEncoder(dict):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
-        self.words, self.letters, self.older = _plain_words(), _byte_letters(), {}
+        self.words, self.letters, self.older, self.held = _plain_words(), _byte_letters(), {}, 0
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
 
@@ -86,10 +89,12 @@ class WordEncoder(dict):
         if found is None:
             letters = word.encode().decode("latin-1").translate(self.letters)
             found = array(self.code, [token.id for token in self.model.tokenize(letters)]).tobytes()
-        if len(self) >= KNOWN:
-            self.older = dict(self)
+        if self.held >= KNOWN:
+            self.older, self.held = dict(self), 0
             self.clear()
-        self[word] = found
+        if len(word) <= 256:
+            self[word] = found
+            self.held += len(word) + len(found) + ENTRY
         return found
 
     def encode(self, text: str) -> np.ndarray:
@@ -148,7 +153,8 @@ class _Sequences:
 def write_files(documents: DataFrame, folder: str, path: str | None = None, length: int = SEQUENCE) -> DataFrame:
     """Write the ids of all texts below folder, in ascending doc_id order.
 
-    Returns part, n_docs, n_tokens: one row for each file, in order of part.
+    Returns part, name, n_docs, n_tokens: one row for each pair of files, in
+    order of part.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     spark = documents.sparkSession
@@ -157,32 +163,42 @@ def write_files(documents: DataFrame, folder: str, path: str | None = None, leng
         codec, part = word_encoder(path), TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        own, docs, total, writers = uuid.uuid4().hex, 0, 0, None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                if writers is None:
-                    sinks = [store.open_output_stream(f"{root}/.{kind}-{part:06d}-{own}") for kind in ("ids", "docs")]
-                    writers = _Sequences(sinks[0], codec.dtype, length), pa.ipc.new_file(sinks[1], _INDEX)
-                found = [codec.encode(text or "") for text in batch.column("text").to_pylist()]
-                sizes = np.array([len(x) + 1 for x in found], dtype=np.int64)
-                for ids in found:
-                    writers[0].add(np.append(ids, codec.dtype.type(END_ID)))
-                first = total + np.cumsum(sizes) - sizes
-                writers[1].write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(first), pa.array(sizes)], schema=_INDEX))
-                docs, total = docs + len(found), total + int(sizes.sum())
+        name, docs, total, writers = f"{part:06d}-{uuid.uuid4().hex}", 0, 0, None
+        for batch in batches:
+            if writers is None:
+                sinks = [store.open_output_stream(f"{root}/{kind}-{name}.arrow") for kind in ("ids", "docs")]
+                writers = _Sequences(sinks[0], codec.dtype, length), pa.ipc.new_file(sinks[1], _INDEX)
+            sizes = np.empty(batch.num_rows, dtype=np.int64)
+            for k, text in enumerate(batch.column("text")):
+                ids = codec.encode(text.as_py() or "")
+                sizes[k] = len(ids) + 1
+                writers[0].add(np.append(ids, codec.dtype.type(END_ID)))
+            first = total + np.cumsum(sizes) - sizes
+            writers[1].write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(first), pa.array(sizes)], schema=_INDEX))
+            docs, total = docs + len(sizes), total + int(sizes.sum())
         if writers is not None:
-            for writer, sink, kind in zip(writers, sinks, ("ids", "docs"), strict=True):
+            for writer, sink in zip(writers, sinks, strict=True):
                 writer.close()
                 sink.close()
-                store.move(f"{root}/.{kind}-{part:06d}-{own}", f"{root}/{kind}-{part:06d}.arrow")
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n_docs": pa.array([docs], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "name": [name], "n_docs": pa.array([docs], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ready = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    ready = ready.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    rows = ready.mapInArrow(written, "part long, n_docs long, n_tokens long").collect()
-    return spark.createDataFrame(sorted(tuple(r) for r in rows), "part long, n_docs long, n_tokens long")
+    # The last key lets equal rows, however many, part over several files; their order is no one's.
+    ready = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("copy"))
+    ready = ready.repartitionByRange(parts, "doc_id", "tie", "copy").sortWithinPartitions("doc_id", "tie", "copy").select("doc_id", "text")
+    rows = sorted(tuple(r) for r in in_arrow(ready, written, "part long, name string, n_docs long, n_tokens long").collect())
+    _remove_others(spark, folder, {name for _, name, _, _ in rows})
+    return spark.createDataFrame(rows, "part long, name string, n_docs long, n_tokens long")
+
+
+def _remove_others(spark: SparkSession, folder: str, names: set[str]) -> None:
+    """Remove the files of attempts that Spark didn't take."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.listStatus(at) if store.exists(at) else ():
+        found = re.fullmatch(r"(?:ids|docs)-(\d{6}-[0-9a-f]{32})\.arrow", status.getPath().getName())
+        if found and found[1] not in names:
+            remove(spark, status.getPath().toString())
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -191,15 +207,15 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     start counts the ids of all documents before it, over all parts.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = manifest.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    parts = manifest.select("part", "name", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     tasks = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         local = isinstance(store, fs.LocalFileSystem)
         for batch in batches:
-            for part, base in zip(batch.column("part").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                opened = [pa.memory_map(name) if local else store.open_input_file(name) for name in (f"{root}/ids-{part:06d}.arrow", f"{root}/docs-{part:06d}.arrow")]
+            for own, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):
+                opened = [pa.memory_map(name) if local else store.open_input_file(name) for name in (f"{root}/ids-{own}.arrow", f"{root}/docs-{own}.arrow")]
                 ids, docs = map(pa.ipc.open_file, opened)
                 length = ids.schema.field("ids").type.list_size
                 views: dict[int, np.ndarray] = {}
@@ -224,10 +240,11 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                     start = pa.array(index.column("first").to_numpy() + base)
                     yield pa.RecordBatch.from_arrays([index.column("doc_id"), start, index.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return parts.repartition(tasks, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_arrow(parts.repartition(tasks, "part"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     folder = new_path(spark, "tokens")
-    return read_files(write_files(table(spark, sf_dir, "documents"), folder), folder)
+    manifest = write_files(table(spark, sf_dir, "documents"), folder)
+    return read_files(manifest, until_exit(spark, folder))
