@@ -13,7 +13,10 @@ prefixes and checks then need that small table alone.
 Defined results: a null or empty text has no words and no hits; an item
 without words has no windows; items of one id and different texts count as one
 item; documents are told apart by doc_id and text, so repeated rows each get
-the same row; a null doc_id is kept; extra columns are ignored.
+the same row; a null doc_id is kept; extra columns are ignored, whatever their
+names; an empty table of documents gives no rows, one of items no hits. Of
+equally rare shingles the smaller hash is the prefix. Texts of any length are
+read whole.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import remove, stored, table, unused
 
 WINDOW, SHINGLE = 10, 3
-#: A benchmark of more distinct shingles is joined by a shuffle.
-BROADCAST_SHINGLES = 2_000_000
+#: A benchmark of more distinct shingles (8 bytes each), or more windows (ten words each), is joined by a shuffle.
+BROADCAST_SHINGLES, BROADCAST_PREFIXES = 2_000_000, 200_000
+#: Tasks that one shingle's places in documents are dealt out to where the windows are joined by a shuffle.
+SALTS = 16
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -44,64 +49,67 @@ def _shingles(at: str, n: int) -> Column:
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """One row for each window of each item: item, words, n (its words), start, size (its shingles' words)."""
+    """One row for each distinct window of each item: item, part (its words), n, size (its shingles' words)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
-    items = items.withColumn("n", F.least(F.size("words"), F.lit(window))).withColumn("size", F.least("n", F.lit(shingle)))
-    return items.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("n"))))
+    items = items.withColumn("n", F.least(F.size("words"), F.lit(window)))
+    each = items.withColumn("start", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)))
+    return each.select("item", F.slice("words", F.col("start"), F.col("n")).alias("part"), "n", F.least("n", F.lit(shingle)).alias("size")).distinct()
 
 
 def _window_shingles(found: DataFrame, sizes: list[int]) -> DataFrame:
     """found with a row for each shingle of each window: offset in the window, h."""
     at = F.array(*(F.when(F.col("size") == n, _shingles("part", n)) for n in sizes))
-    parts = found.withColumn("part", F.slice("words", F.col("start") + 1, F.col("n")))
     hashes = F.flatten(F.filter(at, lambda x: x.isNotNull()))
-    return parts.select("item", "words", "n", "start", "size", F.posexplode(hashes).alias("offset", "h"))
+    return found.select("item", "part", "n", "size", F.posexplode(hashes).alias("offset", "h"))
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame | None]:
     """Word counts of all documents, and their verified window occurrences.
 
     The first frame has doc_id, text_hash, n_words for every row; the second
     doc_id, text_hash, item, at, n: an item's window of n words begins at
-    word at of the document.
+    word at of the document. It is None where the benchmark has no words.
     """
     found = windows(benchmark, window, shingle)
     sizes = sorted(r["size"] for r in found.select("size").distinct().collect())
     tokens = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
     if not sizes:
         return tokens.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words")), None
-    grams, _ = stored(_window_shingles(found, sizes), "grams")
-    wanted = grams.select("h").distinct().withColumn("wanted", F.lit(True))
-    small = wanted.count() <= BROADCAST_SHINGLES
+    grams, grams_path = stored(_window_shingles(found, sizes), "grams")
+    wanted = grams.select("h").distinct()
     hashes = F.flatten(F.array(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("h"))), *(F.transform(_shingles("words", n), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for n in sizes)))
     each = tokens.withColumn("token", F.explode(hashes)).select("doc_id", "text_hash", "words", F.col("token.pos").alias("pos"), F.col("token.h").alias("h"))
-    if small:
-        near = each.join(F.broadcast(wanted), "h", "left").where(F.col("wanted") | (F.col("pos") < 0))
-    else:
-        near = each.where(F.col("pos") >= 0).join(wanted, "h").unionByName(each.where(F.col("pos") < 0).withColumn("wanted", F.lit(False)))
     first = F.greatest(F.col("pos") - window + 1, F.lit(0))
     around = F.when(F.col("pos") >= 0, F.slice("words", first + 1, F.lit(2 * window)))
-    near, _ = stored(near.select("doc_id", "text_hash", "pos", "h", F.size("words").alias("n_words"), first.alias("first"), around.alias("around")), "near")
-    counted = near.where(F.col("pos") < 0).select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"))
-    held = near.where(F.col("pos") >= 0)
+    shaped = lambda rows: rows.select("doc_id", "text_hash", "pos", "h", F.size("words").alias("n_words"), first.alias("first"), around.alias("around"))
+    if wanted.count() <= BROADCAST_SHINGLES:
+        near = shaped(each.join(F.broadcast(wanted.withColumn("wanted", F.lit(True))), "h", "left").where(F.col("wanted") | (F.col("pos") < 0)))
+    else:  # only the words around a place go through the shuffle, not the text
+        near = shaped(each.where("pos >= 0")).join(wanted, "h").unionByName(shaped(each.where("pos < 0")))
+    near, _ = stored(near, "near")
+    counted = near.where("pos < 0").select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"))
+    held = near.where("pos >= 0").select("doc_id", "text_hash", "pos", "h", "n_words", "first", "around")
     rarity = held.groupBy("h").agg(F.count("*").alias("count"))
     prefixes = (
         grams.join(rarity, "h")
-        .groupBy("item", "words", "n", "start")
-        .agg(F.count("*").alias("present"), F.first("size").alias("size"), F.min(F.struct("count", "h", "offset")).alias("rarest"))
+        .groupBy("item", "part", "n", "size")
+        .agg(F.count("*").alias("present"), F.min(F.struct("count", "h", "offset")).alias("rarest"))
         .where(F.col("present") == F.col("n") - F.col("size") + 1)  # a shingle that no document holds rules its window out
-        .groupBy("item", "words", "n", F.col("rarest.h").alias("h"))
-        .agg(F.collect_list(F.struct("start", F.col("rarest.offset").alias("offset"))).alias("starts"))
+        .select("item", "part", F.col("n").alias("length"), F.col("rarest.h").alias("h"), F.col("rarest.offset").alias("offset"))
     )
-    begins = F.col("pos") - F.col("x.offset")
-    same = F.slice("around", begins - F.col("first") + 1, F.col("n")) == F.slice("words", F.col("x.start") + 1, F.col("n"))
+    prefixes, _ = stored(prefixes, "prefixes")
+    if prefixes.count() <= BROADCAST_PREFIXES:
+        pairs = held.join(F.broadcast(prefixes), "h")
+    else:  # a shingle of many documents is dealt out over SALTS tasks
+        salts = prefixes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = held.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "pos"), F.lit(SALTS)).cast("int")).join(salts, ["h", "salt"])
+    begins = F.col("pos") - F.col("offset")
     verified = (
-        held.join(prefixes, "h")
-        .withColumn("x", F.explode("starts"))
-        .where((begins >= 0) & (begins + F.col("n") <= F.col("n_words")))
-        .where(same)
-        .select("doc_id", "text_hash", "item", begins.alias("at"), "n")
+        pairs.where((begins >= 0) & (begins + F.col("length") <= F.col("n_words")))
+        .where(F.slice("around", begins - F.col("first") + 1, F.col("length")) == F.col("part"))
+        .select("doc_id", "text_hash", "item", begins.alias("at"), F.col("length").alias("n"))
     )
+    remove(documents.sparkSession, grams_path)
     return counted, verified
 
 
@@ -132,8 +140,9 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int
     _, found = matches(documents, benchmark, window)
     if found is None:
         return documents
-    hit = found.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
-    return documents.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("text") == F.col("_hit_hash")), "left_anti")
+    own, of_text = unused(documents, "hit_id", "hit_hash")
+    hit = found.select(F.col("doc_id").alias(own), F.col("text_hash").alias(of_text)).distinct()
+    return documents.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(of_text)), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

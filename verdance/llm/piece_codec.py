@@ -14,7 +14,10 @@ vocabulary is loaded), and the parts' ids are remembered.
 
 Defined results: a null or empty text has no ids and decodes to an empty text;
 repeated rows each get a row; a null doc_id is kept; extra columns are
-ignored. Texts of any length are encoded whole.
+ignored; an empty table gives no rows. Of the pieces that end at one place
+exactly one fits, so there are no ties.
+Texts of any length are encoded whole. A model that normalises texts is an
+error.
 """
 
 from __future__ import annotations
@@ -32,12 +35,14 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, table
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-#: Remembered parts (those of late, and as many older ones) and pairs in one Python worker.
-PARTS, PAIRS, PART_LENGTH = 300_000, 1_000_000, 48
+#: Bytes of remembered parts (those of late, and as many older ones) and of pairs in one Python worker, and the longest such part.
+PARTS, PAIRS, PART_LENGTH = 32 << 20, 32 << 20, 48
+#: What an entry takes beside its characters and ids.
+ENTRY = 280
 
 
 class PieceEncoder:
@@ -57,9 +62,14 @@ class PieceEncoder:
         breaks = "" if any("\n" in piece for piece in self.ids) else "\n"
         self.parts = re.compile(f".+|{MARK}" if inner else f"{breaks or '(?!)'}|{MARK}*[^{MARK}{breaks}]+|{MARK}+", re.DOTALL)
         self.whole = inner
+        probe = "Aﬁ①Å\u3000x\u00a0é\t \u200b  ß½"
+        normal = sentencepiece.SentencePieceNormalizer(model_file=path).normalize(probe)
+        if normal.lstrip(MARK) != probe.replace(" ", MARK):
+            raise ValueError(f"{path} changes texts before it encodes them")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def merged(self, text: str) -> list[str]:
         """The merges replayed on a short text: the best pair first, then the leftmost."""
@@ -79,7 +89,7 @@ class PieceEncoder:
         """Whether the pair encodes its own concatenation; left may be empty."""
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) >= PAIRS:
+            if len(self.pairs) >= PAIRS // ENTRY:
                 self.pairs.clear()
             found = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return found
@@ -121,10 +131,11 @@ class PieceEncoder:
             if ids is None:
                 ids = self.older.get(part) or self.part_ids(part)
                 if len(part) <= PART_LENGTH:
-                    if len(known) >= PARTS:
-                        self.older, known = known, {}
+                    if self.held >= PARTS:
+                        self.older, known, self.held = known, {}, 0
                         self.known = known
                     known[part] = ids
+                    self.held += len(part) + len(ids) + ENTRY
             out.append(ids)
         return np.frombuffer(b"".join(out), dtype="<i4")
 
@@ -144,16 +155,16 @@ def encode_and_decode(documents: DataFrame, path: str | None = None) -> DataFram
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids = [codec.encode(text or "") for text in batch.column("text").to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array([codec.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = [codec.encode(text.as_py() or "") for text in batch.column("text")]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array([codec.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     ready = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return ready.mapInArrow(coded, "doc_id long, ids array<int>, decoded string")
+    return in_arrow(ready, coded, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ the rows. The host column is a parameter; documents carry it in ``source``.
 
 Defined results: a null or empty text has no words and fails; a null host is a
 host of its own; repeated rows each count and get a row; a null doc_id is
-kept; with no rows nothing is returned; extra columns are ignored.
+kept; an empty table gives no rows; extra columns are ignored. A host whose
+share is the limit exactly is kept. Texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, stored, table
+from .common import WordHash, in_arrow, stored, table
 
 MIN_WORDS = 50
 #: A host is rejected at this shrunken share of failing documents.
 MAX_HOST_RATE = 0.8
+#: More hosts than this are joined by a shuffle, each over so many tasks.
+BROADCAST_HOSTS, SALTS = 500_000, 16
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -73,11 +76,11 @@ def document_counts(documents: DataFrame, host: str = "source") -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for batch in batches:
-            made = list(zip(*(counts(text, known) for text in batch.column("text").to_pylist()), strict=True)) or [()] * 5
+            made = list(zip(*(counts(text.as_py(), known) for text in batch.column("text")), strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *(pa.array(x, pa.int64()) for x in made)], ["doc_id", "host", *names])
 
     ready = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
-    out = ready.mapInArrow(counted, "doc_id long, host string, " + ", ".join(f"{n} long" for n in names))
+    out = in_arrow(ready, counted, "doc_id long, host string, " + ", ".join(f"{n} long" for n in names))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -99,8 +102,13 @@ def host_verdicts(counted: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFr
 def apply_rules(documents: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """Counts, base verdict and final verdict of every row of documents."""
     counted, _ = stored(document_counts(documents, host), "counts")
-    verdicts = host_verdicts(counted, max_rate)
-    joined = counted.join(verdicts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")), "left")
+    verdicts, _ = stored(host_verdicts(counted, max_rate).withColumnRenamed("host", "of"), "verdicts")
+    if verdicts.count() <= BROADCAST_HOSTS:
+        joined = counted.join(F.broadcast(verdicts), F.col("host").eqNullSafe(F.col("of")), "left")
+    else:  # a host's documents are dealt out over SALTS tasks
+        salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
+        joined = counted.join(salted, F.col("host").eqNullSafe(F.col("of")) & (own == F.col("salt")), "left")
     kept = ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host", "host_rate", "host_rejected")
 

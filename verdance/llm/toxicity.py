@@ -8,8 +8,12 @@ reach the driver, where the regression is fitted.
 
 Defined results: a null or empty text has no n-grams and gets the score of
 the intercept; a null doc_id is not held out and is scored like any other;
-repeated rows each get a row; extra columns are ignored. With no labelled
-rows, or one class only, every score is the smoothed share of label 1.
+repeated rows each get a row; extra columns are ignored; an empty table gives
+no rows. Texts of any length are read whole. A labelled doc_id counts once,
+with the smallest of its texts; one that is labelled both ways counts for
+both. Ties in the choice of the sample or of bins go to the smaller id or bin.
+With no labelled rows, or one class only, every score is the smoothed share of
+label 1.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, remove, stored, table
 
 SIZES = (3, 4, 5)
 BITS = 18
@@ -83,10 +87,18 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Model:
     """Fit on the labelled rows that are not held out, at most sample_rows of them."""
     text = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = labels.where(F.col("toxic").isin(0, 1)).where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
-    sample = text.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    bins = sample.mapInArrow(_class_counts, "bin long, negative long, positive long")
+    known = labels.where(F.col("toxic").isin(0, 1)).where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows))
+    texts = text.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sample, path = stored(texts.join(chosen, "doc_id").select("text", "toxic"), "sample")
+    model = _fitted(sample, features)
+    remove(documents.sparkSession, path)
+    return model
+
+
+def _fitted(sample: DataFrame, features: int) -> Model:
+    """The model of a sample of text, toxic."""
+    bins = in_arrow(sample, _class_counts, "bin long, negative long, positive long")
     bins = bins.groupBy("bin").agg(F.sum("negative").alias("q"), F.sum("positive").alias("p"))
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_neg, n_pos = totals.get(0, 0), totals.get(1, 0)
@@ -111,7 +123,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
                 found.append(np.unique(slots[slots >= 0]).astype("<i4").tobytes())
             yield pa.RecordBatch.from_pydict({"slots": pa.array(found, pa.binary()), "toxic": batch.column(1)})
 
-    drawn = sample.mapInArrow(active, "slots binary, toxic int").toPandas()
+    drawn = in_arrow(sample, active, "slots binary, toxic int").toPandas()
     order = sorted(range(len(drawn)), key=lambda i: (drawn["slots"].iat[i], drawn["toxic"].iat[i]))
     fitted, intercept = _logistic([np.frombuffer(drawn["slots"].iat[i], "<i4") for i in order], drawn["toxic"].to_numpy()[order].astype(float), rows["ratio"].to_numpy(), prior)
     weights[rows["bin"].to_numpy()] = fitted
@@ -144,11 +156,11 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(text) for text in batch.column("text").to_pylist()]
+            scores = [model.score(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
     ready = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    out = ready.mapInArrow(scored, "doc_id long, held_out boolean, score double")
+    out = in_arrow(ready, scored, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -157,10 +169,10 @@ def without_toxic(documents: DataFrame, model: Model, threshold: float = THRESHO
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = [model.score(text) < threshold for text in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            clean = [model.score(text.as_py()) < threshold for text in batch.column(batch.schema.get_field_index("text"))]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return documents.mapInArrow(kept, documents.schema)
+    return in_arrow(documents, kept, documents.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

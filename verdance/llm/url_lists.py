@@ -13,8 +13,10 @@ copied into the buckets that it covers.
 
 Defined results: a capture with a null or unreadable URL, or a null fetch
 time, matches nothing and is allowed; an entry without a name or time is
-ignored; of an addition and a removal at one time the removal holds; repeated
-rows each get a row; extra columns are ignored.
+ignored; of an addition and a removal at one time the removal holds; a null
+or empty category is a category of its own that isn't named; repeated rows each get a
+row; extra columns are ignored; an empty table of captures gives no rows, one
+of entries blocks nothing. URLs of any length are read whole.
 """
 
 from __future__ import annotations
@@ -39,13 +41,24 @@ def intervals(entries: DataFrame) -> DataFrame:
     """name, category, valid_from, valid_to of a log of name, category, action, at.
 
     An addition opens an interval that the next removal of the same name and
-    category closes; further additions in between change nothing.
+    category closes; further additions in between change nothing. Entries are
+    ordered within time buckets, and only the buckets of a name across them, so
+    a name may hold any share of the log.
     """
     known = entries.where(F.col("name").isNotNull() & F.col("at").isNotNull() & F.col("action").isin("add", "remove"))
-    known = known.groupBy("name", "category", "at").agg(F.min(F.when(F.col("action") == "add", 1).otherwise(0)).alias("on"))
-    order = Window.partitionBy("name", "category").orderBy("at")
-    changes = known.withColumn("was", F.lag("on", 1, 0).over(order)).where("on <> was")
-    closed = changes.withColumn("valid_to", F.coalesce(F.lead("at").over(order), F.lit(FOREVER).cast("timestamp")))
+    known = known.groupBy("name", F.coalesce("category", F.lit("")).alias("category"), "at").agg(F.min(F.when(F.col("action") == "add", 1).otherwise(0)).alias("on"))
+    known = known.withColumn("span", F.floor(F.unix_timestamp("at") / BUCKET))
+    key = ["name", "category", "span"]
+    order = Window.partitionBy(*key).orderBy("at")
+    # What holds before a bucket's first entry is the last entry of the bucket before it that has one.
+    last = known.groupBy(*key).agg(F.max_by("on", "at").alias("on"))
+    spans = Window.partitionBy("name", "category").orderBy("span")
+    before = last.select(*key, F.lag("on", 1, 0).over(spans).alias("before"))
+    changes = known.join(before, key).withColumn("was", F.coalesce(F.lag("on").over(order), F.col("before"))).where("on <> was")
+    # A bucket's last change holds until the first change of the next bucket that has one.
+    first = changes.groupBy(*key).agg(F.min("at").alias("at"))
+    after = first.select(*key, F.lead("at").over(spans).alias("after"))
+    closed = changes.join(after, key).withColumn("valid_to", F.coalesce(F.lead("at").over(order), F.col("after"), F.lit(FOREVER).cast("timestamp")))
     return closed.where("on = 1").select("name", "category", F.col("at").alias("valid_from"), "valid_to")
 
 
@@ -67,7 +80,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
         asked.join(spans.select("name", "bucket", "category", "valid_from", "valid_to"), ["name", "bucket"])
         .where("valid_from <= fetched_at and fetched_at < valid_to")
         .groupBy(F.col("host").alias("_host"), F.col("fetched_at").alias("_at"))
-        .agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("matched"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
+        .agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("matched"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("category") != "", F.col("category")))), ",").alias("categories"))
     )
     joined = base.join(active, (F.col("host") == F.col("_host")) & (F.col("fetched_at") == F.col("_at")), "left")
     return joined.select("page_id", "url", "host", "fetched_at", F.coalesce("matched", F.lit("")).alias("matched"), F.coalesce("categories", F.lit("")).alias("categories"), F.col("matched").isNotNull().alias("blocked"))
