@@ -106,9 +106,24 @@ def three_way_lookup(rows: DataFrame, label: Column, table: DataFrame, table_lab
     return out.withColumn("match_status", status).withColumn("matched_id", F.when(F.col("_n") == 1, F.col("_id"))).drop("_wanted", "_label", "_n", "_id")
 
 
+#: Values that the right side of missing_pairs may have.
+REGISTRY_VALUES = 10_000
+
+
 def missing_pairs(left: DataFrame, right: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of two small registries that a table lacks."""
-    return left.crossJoin(F.broadcast(right)).join(present.select(*keys).distinct(), keys, "left_anti")
+    """Pairs that a table lacks of each left key and each value of a registry.
+
+    The registry's values, REGISTRY_VALUES at most, are read first; then each
+    left key needs only the set of values that it has, and no pairs are made
+    but those returned.
+    """
+    key, value = keys
+    values = sorted(r[0] for r in right.select(value).where(F.col(value).isNotNull()).distinct().limit(REGISTRY_VALUES + 1).collect())
+    if len(values) > REGISTRY_VALUES:
+        raise ValueError(f"{value} has more than {REGISTRY_VALUES} values")
+    has = present.groupBy(key).agg(F.collect_set(value).alias("_has"))
+    lacks = F.array_except(F.array(*map(F.lit, values)), F.coalesce("_has", F.array().cast(has.schema["_has"].dataType)))
+    return left.join(has, key, "left").select(key, F.explode(lacks).alias(value))
 
 
 def conversion_parameters(parameters: DataFrame, facility: str | None, country: str | None, at: Column) -> DataFrame:

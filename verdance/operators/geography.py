@@ -26,22 +26,28 @@ def closure(spark: SparkSession, tree: DataFrame, proxies: DataFrame | None = No
 
 
 def best_fit(requests: DataFrame, factors: DataFrame, closed: DataFrame) -> DataFrame:
-    """For each request row (request_id, country) and factor (factor_id, geo_code,
-    fit): the nearest code of the request's chain that the factor names.
+    """Of each request (request_id, country) the best of the factors (factor_id,
+    geo_code, fit) that its chain reaches: the nearest code, then the greatest
+    score, then the smallest factor_id; and how many factors are eligible.
 
-    eligible factors only: matched_code, fallback_rank (0 for the code itself), geographic_score.
+    Factors are summed up for each code, codes for each distinct country, and
+    a request joins its country's row; requests and factors never meet in pairs.
     """
-    chain = requests.join(F.broadcast(closed), F.col("country") == F.col("requested")).select("request_id", "country", "candidate", "depth")
-    found = chain.join(factors, F.col("candidate") == F.col("geo_code"))
-    best = found.groupBy("request_id", "factor_id").agg(F.min_by("candidate", "depth").alias("matched_code"), F.min("depth").alias("fallback_rank"), F.first("fit").alias("fit"))
-    return best.withColumn("geographic_score", fit_score(F.col("fit")))
+    score = fit_score(F.col("fit"))
+    codes = factors.groupBy("geo_code").agg(F.min(F.struct((-score).alias("order"), "factor_id")).alias("best"), F.count("*").alias("n"))
+    reached = requests.select("country").distinct().join(closed, F.col("country") == F.col("requested")).join(codes, F.col("candidate") == F.col("geo_code"))
+    best = F.min(F.struct("depth", "best.order", "best.factor_id", "candidate"))
+    countries = reached.groupBy("country").agg(best.alias("b"), F.sum("n").alias("n_eligible"))
+    return requests.join(countries, "country").select(
+        "request_id", F.col("b.factor_id").alias("factor_id"), F.col("b.candidate").alias("matched_code"), F.col("b.depth").alias("fallback_rank"), (-F.col("b.order")).alias("geographic_score"), "n_eligible"
+    )
 
 
 def resolve_code(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     """rows with geo_code and geo_status by a label table (code, label): resolved, ambiguous, unknown."""
     table = labels.select(words_form(F.col("label")).alias("_label"), "code").unionByName(labels.select(words_form(F.col("code")).alias("_label"), "code"))
     table = table.groupBy("_label").agg(F.count_distinct("code").alias("_n"), F.min("code").alias("_code"))
-    out = rows.withColumn("_form", words_form(F.col(column))).join(F.broadcast(table), F.col("_form") == F.col("_label"), "left")
+    out = rows.withColumn("_form", words_form(F.col(column))).join(table, F.col("_form") == F.col("_label"), "left")
     status = F.when(F.col("_n").isNull(), "unknown").when(F.col("_n") > 1, "ambiguous").otherwise("resolved")
     return out.withColumn("geo_status", status).withColumn("geo_code", F.when(F.col("_n") == 1, F.col("_code"))).drop("_form", "_label", "_n", "_code")
 
@@ -56,7 +62,7 @@ def country_mentions(texts: DataFrame, key: str, column: str, labels: DataFrame,
     starts = texts.select(key, words.alias("_w")).select(key, "_w", F.explode(F.sequence(F.lit(1), F.size("_w"))).alias("_i"))
     runs = starts.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("_w") - F.col("_i") + 1)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("_w", F.col("_i"), n), " ").alias("run")))).alias("_r"))
     table = labels.select(words_form(F.col("label")).alias("_label"), "code").distinct()
-    found = runs.join(F.broadcast(table), F.col("_r.run") == F.col("_label")).select(key, F.col("_r.n").alias("n"), "code").distinct()
+    found = runs.join(table, F.col("_r.run") == F.col("_label")).select(key, F.col("_r.n").alias("n"), "code").distinct()
     longest = found.groupBy(key, "n").agg(F.count("*").alias("codes"), F.min("code").alias("geo_code"))
     best = longest.groupBy(key).agg(F.max_by(F.struct("codes", "geo_code"), "n").alias("best"))
     return best.where("best.codes = 1").select(key, F.col("best.geo_code").alias("geo_code"))

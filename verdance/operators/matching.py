@@ -21,7 +21,7 @@ def scored_candidates(pairs: DataFrame) -> DataFrame:
     """
     c = F.col
     parts = {
-        "activity": scores.activity_score(c("activity"), c("taxonomy_code"), c("activity_type"), c("name"), c("concept_code")),
+        "activity": scores.activity_score(c("activity"), c("taxonomy_code"), c("activity_type"), c("name"), c("concept_code"), **({"resolved": c("resolved_concept")} if "resolved_concept" in pairs.columns else {})),
         "unit": scores.unit_score(c("unit_status")),
         "geography": scores.fit_score(c("fit")),
         "year": scores.year_score(c("year"), c("reference_year"), c("data_quality")),
@@ -38,13 +38,13 @@ def hard_rejected(reasons: Column) -> Column:
     return F.arrays_overlap(reasons, F.array(*map(F.lit, HARD_REASONS)))
 
 
-def ranked(candidates: DataFrame, order: list[Column], keep: int, key: str = "request_id") -> DataFrame:
-    """The first rows of each request, with their rank."""
+def ranked(candidates: DataFrame, order: list[Column], keep: int | None, key: str = "request_id") -> DataFrame:
+    """The first rows of each request, or all of them, with their rank."""
     out = candidates.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return out.where(F.col("rank") <= keep)
+    return out if keep is None else out.where(F.col("rank") <= keep)
 
 
-def match(scored: DataFrame, keep: int = SHOWN) -> DataFrame:
+def match(scored: DataFrame, keep: int | None = SHOWN) -> DataFrame:
     """Rank 1 is the selected factor, the others its alternatives; requests
     without an eligible candidate have no rows."""
     eligible = scored.where(F.col("eligible") & (F.size("reasons") == 0))
@@ -95,14 +95,18 @@ def calculation(rows: DataFrame, quantity: Column, factor: Column, status: Colum
 
 
 def concept_matches(queries: DataFrame, labels: DataFrame) -> DataFrame:
-    """query_id, concept, confidence, position: equal labels 100, contained 85,
-    shared words 60. The label registry is of fixed size and is broadcast; it
-    meets the distinct queries in one scan."""
-    l, q = words_form(F.col("label")), words_form(F.col("query"))
-    pairs = queries.crossJoin(F.broadcast(labels))
-    score = F.when(q == l, 100).when((q != "") & (F.contains(q, l) | F.contains(l, q)), 85).when(F.arrays_overlap(F.split(q, " "), F.split(l, " ")) & (q != ""), 60)
-    found = pairs.select("query_id", "concept", "position", score.alias("confidence")).where("confidence is not null")
-    return found.groupBy("query_id", "concept").agg(F.max("confidence").alias("confidence"), F.min("position").alias("position"))
+    """query_id, concept, confidence, position: equal labels 100, labels that
+    hold the query's text or the other way round 85, shared words 60.
+
+    A label scores only if it shares a word, so words are the join's key; the
+    texts themselves are compared once for each pair that shares some.
+    """
+    asked = queries.select("query_id", words_form(F.col("query")).alias("q")).where("q <> ''").distinct()
+    known = labels.select("concept", "position", words_form(F.col("label")).alias("l")).where("l <> ''").distinct()
+    by_word = lambda rows, text: rows.select("*", F.explode(F.array_distinct(F.split(text, " "))).alias("word"))
+    pairs = by_word(asked, "q").join(by_word(known, "l"), "word").drop("word").distinct()
+    score = F.when(F.col("q") == F.col("l"), 100).when(F.contains("q", "l") | F.contains("l", "q"), 85).otherwise(60)
+    return pairs.groupBy("query_id", "concept").agg(F.max(score).alias("confidence"), F.min("position").alias("position"))
 
 
 def resolved_concept(matches: DataFrame) -> DataFrame:
@@ -113,14 +117,25 @@ def resolved_concept(matches: DataFrame) -> DataFrame:
 def trigram_candidates(queries: DataFrame, items: DataFrame, least: float = 0.3) -> DataFrame:
     """query_id, item_id, similarity: shared trigrams over all trigrams.
 
-    An equi-join on trigrams finds the pairs that share one; counts of each
-    side's trigrams give the union, so no arrays are shuffled.
+    Texts of a similarity of least share one at least of their rarest trigrams,
+    of n trigrams the first n - ceil(least n) + 1, so only those are joined,
+    and pairs are compared on their whole sets once.
     """
-    cut = lambda df, key, text: df.select(key, F.explode(trigrams(F.col(text))).alias("gram"), F.size(trigrams(F.col(text))).alias(f"n_{key}"))
-    both = cut(queries, "query_id", "query").join(cut(items, "item_id", "text"), "gram")
-    shared = both.groupBy("query_id", "item_id", "n_query_id", "n_item_id").agg(F.count("*").alias("shared"))
-    similarity = F.col("shared") / (F.col("n_query_id") + F.col("n_item_id") - F.col("shared"))
-    return shared.select("query_id", "item_id", similarity.alias("similarity")).where(F.col("similarity") >= least)
+    grams = lambda df, key, text: df.select(F.col(key).alias("id"), trigrams(F.col(text)).alias("grams")).where(F.size("grams") > 0)
+    asked, known = grams(queries, "query_id", "query"), grams(items, "item_id", "text")
+    counts = asked.unionByName(known).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("held"))
+
+    def prefix(sets: DataFrame, key: str) -> DataFrame:
+        each = sets.select("id", F.explode("grams").alias("gram")).join(counts, "gram")
+        ordered = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "gram"))).alias("o"))
+        n = F.size("o")
+        return ordered.select(F.col("id").alias(key), F.explode(F.slice("o", F.lit(1), (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int"))).alias("x")).select(key, F.col("x.gram").alias("gram"))
+
+    pairs = prefix(asked, "query_id").join(prefix(known, "item_id"), "gram").select("query_id", "item_id").distinct()
+    whole = pairs.join(asked.select(F.col("id").alias("query_id"), F.col("grams").alias("g")), "query_id").join(known.select(F.col("id").alias("item_id"), F.col("grams").alias("h")), "item_id")
+    both = F.size(F.array_intersect("g", "h"))
+    similarity = both / (F.size("g") + F.size("h") - both)
+    return whole.select("query_id", "item_id", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def full_text_candidates(queries: DataFrame, items: DataFrame) -> DataFrame:

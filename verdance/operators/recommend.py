@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdance.functions.text import words_form
 from verdance.functions.units import conversion_status, registry
-from verdance.operators.matching import ranked
 
 
 def family_of(text: Column, families: list[tuple[str, list[str]]]) -> Column:
@@ -85,7 +84,7 @@ def unit_compatibility(factors: DataFrame) -> DataFrame:
     pairs = distinct.crossJoin(F.broadcast(registry(spark).select(F.col("code").alias("unit"))))
     kinds = conversion_status(pairs, "unit", "activity_unit").select("activity_unit", "unit", F.when(F.col("status") == "exact_conversion", "direct").when(F.col("status") == "conditional_conversion", "parameterized").otherwise("unsupported").alias("kind"))
     lists = kinds.groupBy("activity_unit", "kind").agg(F.array_join(F.array_sort(F.collect_list("unit")), ",").alias("units"))
-    return factors.select("factor_id", "activity_unit").join(F.broadcast(lists), "activity_unit").select("factor_id", "kind", "units")
+    return factors.select("factor_id", "activity_unit").join(lists, "activity_unit").select("factor_id", "kind", "units")
 
 
 def variants(activities: DataFrame, changes: list[dict[str, str]]) -> DataFrame:
@@ -97,11 +96,27 @@ def variants(activities: DataFrame, changes: list[dict[str, str]]) -> DataFrame:
 
 
 def alternatives(factors: DataFrame, keep: int = 3) -> DataFrame:
-    """factor_id, alternative_id, rank: factors of the same taxonomy and unit, nearest in year, itself left out."""
-    a = factors.select("factor_id", "taxonomy_code", "activity_unit", "reference_year")
-    b = a.select(F.col("factor_id").alias("alternative_id"), "taxonomy_code", "activity_unit", F.col("reference_year").alias("_year"))
-    pairs = a.join(b, ["taxonomy_code", "activity_unit"]).where("factor_id <> alternative_id")
-    return ranked(pairs, [F.abs(F.col("reference_year") - F.col("_year")), F.col("alternative_id")], keep, "factor_id").select("factor_id", "alternative_id", "rank")
+    """factor_id, alternative_id, rank: factors of the same taxonomy and unit, nearest in year, itself left out.
+
+    The nearest of a factor are among the smallest keep + 1 ids of each year of
+    its group, so only those lists, a bounded number an id, meet a factor; the
+    lists are built by partial aggregation, whatever a group's size.
+    """
+    key = ["taxonomy_code", "activity_unit"]
+    ids = factors.select(*key, "reference_year", "factor_id")
+    w = Window.partitionBy(*key, "reference_year", "part").orderBy("factor_id")
+    dealt = ids.withColumn("part", F.pmod(F.xxhash64("factor_id"), F.lit(64)))  # first within parts of a group, then among those that are left
+    some = dealt.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep + 1).drop("r", "part")
+    first = Window.partitionBy(*key, "reference_year").orderBy("factor_id")
+    least = some.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep + 1)
+    years = least.groupBy(*key).agg(F.collect_list(F.struct(F.col("reference_year").alias("year"), F.col("factor_id").alias("id"))).alias("offers"))
+    distinct = ids.select(*key, "reference_year").distinct().join(years, key)
+    # Of each group and year the nearest keep + 1: one of them may be the factor itself.
+    ordered = F.slice(F.array_sort(F.transform("offers", lambda o: F.struct(F.abs(o["year"] - F.col("reference_year")).alias("apart"), o["id"].alias("id")))), 1, keep + 1)
+    near = distinct.select(*key, "reference_year", ordered.alias("near"))
+    chosen = F.slice(F.filter("near", lambda o: o["id"] != F.col("factor_id")), 1, keep)
+    out = ids.join(near, [*key, "reference_year"]).select("factor_id", F.posexplode(chosen).alias("at", "o"))
+    return out.select("factor_id", F.col("o.id").alias("alternative_id"), (F.col("at") + 1).alias("rank"))
 
 
 def regression_summary(cases: DataFrame) -> DataFrame:

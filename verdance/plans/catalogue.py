@@ -27,11 +27,11 @@ def factor_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     fv = line.groupBy("l_partkey", "l_suppkey", F.year("l_shipdate").alias("reference_year")).agg(F.max(F.col("l_extendedprice").cast("decimal(12,2)")).alias("price"))
     supplier = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    supplier = supplier.select("s_suppkey", "s_name", "n_name", "r_name")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    supplier = supplier.select("s_suppkey", "s_name", "s_acctbal", "n_name", "r_name")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
     p, s, year = F.col("l_partkey"), F.col("l_suppkey"), F.col("reference_year")
     logical = F.concat_ws("-", p.cast("string"), s.cast("string"))
-    rows = fv.join(F.broadcast(supplier), s == F.col("s_suppkey")).join(part, p == F.col("p_partkey"))
+    rows = fv.join(supplier, s == F.col("s_suppkey")).join(part, p == F.col("p_partkey"))
     last = F.max("reference_year").over(_by("l_partkey", "l_suppkey"))
     return rows.select(
         logical.alias("logical_id"),
@@ -45,6 +45,9 @@ def factor_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("name"),
         F.replace(F.lower("p_type"), F.lit(" "), F.lit(".")).alias("taxonomy_code"),
         F.lower("p_brand").alias("activity_type"),
+        F.concat_ws(".", F.lower("p_name"), F.lower("p_type")).alias("concept_code"),
+        F.when(F.col("p_size") < 20, "cradle-to-gate").when(F.col("p_size") < 40, "gate-to-gate").alias("factor_boundary"),
+        F.when(F.col("s_acctbal") >= 5000, "ghg protocol").when(F.col("s_acctbal") >= 0, "ISO 14064").alias("factor_methodology"),
         F.when(p % 5 == 0, "lca_result").otherwise("emission_factor").alias("entity_type"),
         F.when(p % 7 == 0, "ch4").otherwise("co2e_total").alias("factor_value_kind"),
         F.when(s % 6 == 0, "reference").otherwise("inventory").alias("intended_use"),
@@ -72,11 +75,26 @@ def geography_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as activities: part, country, quantity, unit and year."""
-    orders, customer, nation = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
-    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    k = F.col("o_orderkey")
-    return rows.select(k.alias("request_id"), (k % 200 + 1).alias("part"), F.col("n_name").alias("country"), F.col("o_totalprice").cast("decimal(12,2)").alias("quantity"), _pick(k % 4, REQUEST_UNITS).alias("unit"), F.year("o_orderdate").alias("year"))
+    """Orders as activities: the part of their own lines with the smallest key,
+    a text about the part with the largest, country, quantity, unit, year,
+    boundary and methodology."""
+    orders, customer, nation, line, part = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "lineitem", "part"))
+    parts = line.groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"), F.max("l_partkey").alias("other"))
+    rows = orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey")).join(part, F.col("other") == F.col("p_partkey"))
+    rows = rows.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.when(F.col("o_orderstatus") == "F", F.lower("p_type")).when(F.col("o_orderstatus") == "O", F.lower("p_brand")).otherwise(F.lower("p_name"))
+    segment, priority = F.col("c_mktsegment"), F.substring("o_orderpriority", 1, 1)
+    return rows.select(
+        F.col("o_orderkey").alias("request_id"),
+        "part",
+        text.alias("activity"),
+        F.col("n_name").alias("country"),
+        F.col("o_totalprice").cast("decimal(12,2)").alias("quantity"),
+        _pick(F.col("o_orderkey") % 4, REQUEST_UNITS).alias("unit"),
+        F.year("o_orderdate").alias("year"),
+        F.when(segment == "BUILDING", "Cradle-to-gate").when(segment == "MACHINERY", "gate-to-gate").alias("boundary"),
+        F.when(priority == "1", "GHG Protocol").when(priority == "2", "iso 14064").alias("methodology"),
+    )
 
 
 FV_SQL = """
@@ -85,7 +103,9 @@ fv AS (
     CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '@' || CAST(y AS VARCHAR) AS factor_id,
     s_name AS source_code, l_partkey, l_suppkey, y AS reference_year, price * CAST(0.001 AS DECIMAL(4,3)) AS factor_value,
     CASE l_partkey % 4 WHEN 0 THEN 'kg' WHEN 1 THEN 'tonne' WHEN 2 THEN 'kWh' ELSE 'l' END AS activity_unit,
-    p_name AS name, replace(lower(p_type), ' ', '.') AS taxonomy_code, lower(p_brand) AS activity_type,
+    p_name AS name, replace(lower(p_type), ' ', '.') AS taxonomy_code, lower(p_brand) AS activity_type, lower(p_name) || '.' || lower(p_type) AS concept_code,
+    CASE WHEN p_size < 20 THEN 'cradle-to-gate' WHEN p_size < 40 THEN 'gate-to-gate' END AS factor_boundary,
+    CASE WHEN s_acctbal >= 5000 THEN 'ghg protocol' WHEN s_acctbal >= 0 THEN 'ISO 14064' END AS factor_methodology,
     CASE WHEN l_partkey % 5 = 0 THEN 'lca_result' ELSE 'emission_factor' END AS entity_type,
     CASE WHEN l_partkey % 7 = 0 THEN 'ch4' ELSE 'co2e_total' END AS factor_value_kind,
     CASE WHEN l_suppkey % 6 = 0 THEN 'reference' ELSE 'inventory' END AS intended_use,
@@ -101,9 +121,13 @@ fv AS (
 """
 ACT_SQL = """
 act AS (
-  SELECT o_orderkey AS request_id, o_orderkey % 200 + 1 AS part, n_name AS country, r_name AS region, CAST(o_totalprice AS DECIMAL(12,2)) AS quantity,
-    CASE o_orderkey % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'kg' WHEN 2 THEN 'MJ' ELSE 'm3' END AS unit, CAST(year(o_orderdate) AS INTEGER) AS year
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+  SELECT o_orderkey AS request_id, part, CASE o_orderstatus WHEN 'F' THEN lower(p_type) WHEN 'O' THEN lower(p_brand) ELSE lower(p_name) END AS activity,
+    n_name AS country, r_name AS region, CAST(o_totalprice AS DECIMAL(12,2)) AS quantity,
+    CASE o_orderkey % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'kg' WHEN 2 THEN 'MJ' ELSE 'm3' END AS unit, CAST(year(o_orderdate) AS INTEGER) AS year,
+    CASE c_mktsegment WHEN 'BUILDING' THEN 'Cradle-to-gate' WHEN 'MACHINERY' THEN 'gate-to-gate' END AS boundary,
+    CASE o_orderpriority[1] WHEN '1' THEN 'GHG Protocol' WHEN '2' THEN 'iso 14064' END AS methodology
+  FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS part, max(l_partkey) AS other FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey JOIN part ON other = p_partkey
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 """
 CHAIN_SQL = """
 chain AS (

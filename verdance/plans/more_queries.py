@@ -36,11 +36,11 @@ def projection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {FV_SQL}, c AS (SELECT * FROM fv WHERE version_status = 'current' AND l_partkey % 20 = 0), p AS (SELECT a.factor_id, b.factor_id AS alternative_id, row_number() OVER (PARTITION BY a.factor_id ORDER BY abs(a.reference_year - b.reference_year), b.factor_id) AS rank
+    f"""WITH {FV_SQL}, c AS (SELECT * FROM fv WHERE version_status = 'current'), p AS (SELECT a.factor_id, b.factor_id AS alternative_id, row_number() OVER (PARTITION BY a.factor_id ORDER BY abs(a.reference_year - b.reference_year), b.factor_id) AS rank
 FROM c a JOIN c b USING (taxonomy_code, activity_unit) WHERE a.factor_id <> b.factor_id) SELECT factor_id, alternative_id, CAST(rank AS INTEGER) AS rank FROM p WHERE rank <= 3"""
 )
 def factor_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.alternatives(factor_versions(spark, sf_dir).where("version_status = 'current' and l_partkey % 20 = 0"))
+    return R.alternatives(factor_versions(spark, sf_dir).where("version_status = 'current'"))
 
 
 @query("SELECT o_orderkey, variant, CASE variant WHEN 1 THEN 'TR' ELSE o_orderstatus END AS country, CASE variant WHEN 2 THEN 'kWh' ELSE o_orderpriority END AS unit FROM orders, (SELECT unnest([0, 1, 2]) AS variant)")

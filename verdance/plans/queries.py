@@ -46,28 +46,31 @@ _UNIT_CASE = """CASE
     WHEN (unit = 'MJ' AND activity_unit = 'kWh') THEN 1000000.0 / 3600000.0 WHEN (unit = 'm3' AND activity_unit = 'l') THEN 1.0 / 0.001 END"""
 
 
-def _match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each activity with the published current factors of its part that its country's chain reaches, scored."""
+def _match_pairs(spark: SparkSession, sf_dir: str, calculable: bool = False) -> DataFrame:
+    """Each activity with the published current factors of its part, scored.
+
+    With calculable only pairs that may be calculated with: factors that the
+    profile admits, of a code in the country's chain, of a compatible unit.
+    They are filtered before the join, and the code is part of its key.
+    """
     acts = activities(spark, sf_dir)
     factors = C.published_and_current(factor_versions(spark, sf_dir))
-    closed = G.closure(spark, geography_tree(spark, sf_dir), max_depth=3).select("requested", "candidate", "depth")
-    pairs = acts.join(factors, acts["part"] == factors["l_partkey"]).join(F.broadcast(closed), (F.col("country") == F.col("requested")) & (F.col("geo_code") == F.col("candidate")), "left")
+    refused = F.filter(C.profile_reasons(PROFILES[0], X.words_form(F.col("scope"))), lambda r: r != "scope_denied")
+    factors = factors.withColumn("refused", refused)
+    closed = F.broadcast(G.closure(spark, geography_tree(spark, sf_dir), max_depth=3).select("requested", "candidate", "depth"))
+    if calculable:
+        asked = acts.join(closed, F.col("country") == F.col("requested"))
+        pairs = asked.join(factors.where(F.size("refused") == 0), (F.col("part") == F.col("l_partkey")) & (F.col("candidate") == F.col("geo_code")))
+    else:
+        pairs = acts.join(factors, F.col("part") == F.col("l_partkey")).join(closed, (F.col("country") == F.col("requested")) & (F.col("geo_code") == F.col("candidate")), "left")
     pairs = U.conversion_status(pairs, "unit", "activity_unit")
-    pairs = pairs.drop(*(c for c in pairs.columns if c.startswith(("_f_", "_t_"))))
-    profile = PROFILES[0]
-    reasons = F.concat(
-        F.filter(C.profile_reasons(profile, X.words_form(F.col("scope"))), lambda r: r != "scope_denied"),
-        F.filter(F.array(F.when(F.col("status") == "incompatible", "unit_incompatible")), lambda r: r.isNotNull()),
-    )
+    pairs = pairs.drop(*(c for c in pairs.columns if c.startswith(("_f_", "_t_")))).where(F.lit(not calculable) | (F.col("status") != "incompatible"))
     pairs = pairs.select(
         "*",
         F.col("depth").isNotNull().alias("eligible"),
         F.coalesce("depth", F.lit(99)).alias("fallback_rank"),
-        reasons.alias("reasons"),
-        F.col("taxonomy_code").alias("activity"),
+        F.concat("refused", F.filter(F.array(F.when(F.col("status") == "incompatible", "unit_incompatible")), lambda r: r.isNotNull())).alias("reasons"),
         F.col("status").alias("unit_status"),
-        F.lit("").alias("concept_code"),
-        *(F.lit(None).cast("string").alias(c) for c in ("boundary", "methodology", "factor_boundary", "factor_methodology")),
     )
     return M.scored_candidates(pairs)
 
@@ -85,14 +88,18 @@ scored AS (
   SELECT *, coalesce(depth, 99) AS fallback_rank,
     array_to_string(list_filter([CASE WHEN entity_type <> 'emission_factor' THEN 'entity_type_denied' END, CASE WHEN factor_value_kind <> 'co2e_total' THEN 'factor_kind_denied' END,
       CASE WHEN intended_use <> 'inventory' THEN 'intended_use_denied' END, CASE WHEN status = 'incompatible' THEN 'unit_incompatible' END], lambda x: x IS NOT NULL), ',') AS reasons,
-    30 * 100 + 15 * CASE status WHEN 'exact_conversion' THEN 100 WHEN 'conditional_conversion' THEN 60 ELSE 0 END
+    30 * CASE WHEN a = x OR a = c OR suffix(x, ' ' || a) THEN 100 WHEN a = k THEN 90 WHEN len(words) > 0 AND list_has_all(string_split(n, ' '), words) THEN 80 ELSE 60 END
+    + 15 * CASE status WHEN 'exact_conversion' THEN 100 WHEN 'conditional_conversion' THEN 60 ELSE 0 END
     + 20 * CASE fit WHEN 'country_specific' THEN 100 WHEN 'regional' THEN 75 ELSE 50 END
     + 10 * CASE WHEN abs(year - reference_year) <= 2 OR (abs(year - reference_year) <= 5 AND data_quality = 'official annual statistics') THEN 100
         WHEN abs(year - reference_year) = 3 THEN 85 ELSE greatest(0, 70 - 5 * abs(year - reference_year)) END
-    + 10 * 100 + 5 * 100
+    + 10 * CASE WHEN boundary IS NULL THEN 100 WHEN factor_boundary IS NULL THEN 50 WHEN lower(boundary) = lower(factor_boundary) THEN 100 ELSE 25 END
+    + 5 * CASE WHEN methodology IS NULL THEN 100 WHEN factor_methodology IS NULL THEN 50 WHEN lower(methodology) = lower(factor_methodology) THEN 100 ELSE 25 END
     + 5 * CASE source_health WHEN 'healthy' THEN 100 WHEN 'warning' THEN 75 WHEN 'stale' THEN 50 ELSE 0 END
     + 5 * CASE data_quality WHEN 'default' THEN 85 WHEN 'modelled' THEN 60 ELSE 100 END AS score
-  FROM pair)
+  FROM (SELECT *, list_filter(string_split(a, ' '), lambda w: w <> '') AS words FROM (
+    SELECT *, trim(regexp_replace(lower(activity), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(lower(taxonomy_code), '[^a-z0-9]+', ' ', 'g')) AS x, trim(regexp_replace(lower(activity_type), '[^a-z0-9]+', ' ', 'g')) AS k,
+      trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS n, trim(regexp_replace(lower(concept_code), '[^a-z0-9]+', ' ', 'g')) AS c FROM pair)))
 """
 
 
@@ -108,7 +115,7 @@ FROM best WHERE rank = 1
 """
 )
 def calculate_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = M.match(_match_pairs(spark, sf_dir), keep=1)
+    best = M.match(_match_pairs(spark, sf_dir, calculable=True), keep=1)
     best = U.convert(best.drop("parameter", "status"), "quantity", "unit", "activity_unit")
     out = M.calculation(best, F.col("quantity").cast("double"), F.col("factor_value").cast("double"), F.col("status"), F.col("multiplier"), F.lit("kgCO2e/kg"))
     return out.select("request_id", "factor_id", "status", "calc_status", F.round("emissions", 4).alias("emissions"))
@@ -123,7 +130,7 @@ WHERE rank <= 4
 """
 )
 def match_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.match(_match_pairs(spark, sf_dir)).select("request_id", "factor_id", "rank", F.col("score").cast("long").alias("score"))
+    return M.match(_match_pairs(spark, sf_dir, calculable=True)).select("request_id", "factor_id", "rank", F.col("score").cast("long").alias("score"))
 
 
 @query(
@@ -144,7 +151,7 @@ SELECT request_id, 'no_calculation_eligible_candidate' AS status FROM act ANTI J
 )
 def match_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = activities(spark, sf_dir).select("request_id")
-    return M.unmatched(acts, M.match(_match_pairs(spark, sf_dir), keep=1)).select("request_id", "status")
+    return M.unmatched(acts, _match_pairs(spark, sf_dir, calculable=True)).select("request_id", "status")
 
 
 @query(
@@ -157,7 +164,7 @@ WHERE CASE WHEN d AND NOT s AND p IS NOT NULL AND l = 2 THEN rank < 2 OR rank =
 """
 )
 def primary_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = M.match(_match_pairs(spark, sf_dir), keep=1_000_000)
+    ranked = M.match(_match_pairs(spark, sf_dir, calculable=True), keep=None)
     flagged = ranked.withColumns({"is_derived": F.col("l_suppkey") % 2 == 1, "is_primary": F.col("l_suppkey") % 5 == 0})
     return M.with_primary_source(flagged, keep=2).select("request_id", "factor_id", "rank")
 
@@ -260,19 +267,19 @@ def limited_then_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT p_brand AS label, count(DISTINCT p_size) AS n, min(p_size) AS id FROM part WHERE p_partkey % 9 < 2 GROUP BY 1)
-SELECT p_partkey, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS match_status, CASE WHEN n = 1 THEN id END AS matched_id FROM part LEFT JOIN t ON p_brand = label"""
+    """WITH t AS (SELECT s_nationkey AS label, count(DISTINCT s_suppkey) AS n, min(s_suppkey) AS id FROM supplier GROUP BY 1)
+SELECT c_custkey, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS match_status, CASE WHEN n = 1 THEN id END AS matched_id FROM customer LEFT JOIN t ON c_nationkey = label"""
 )
 def lookup_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    return C.three_way_lookup(part, F.col("p_brand"), part.where("p_partkey % 9 < 2"), F.col("p_brand"), "p_size").select("p_partkey", "match_status", "matched_id")
+    customer = table(spark, sf_dir, "customer")
+    return C.three_way_lookup(customer, F.col("c_nationkey"), table(spark, sf_dir, "supplier"), F.col("s_nationkey"), "s_suppkey").select("c_custkey", "match_status", "matched_id")
 
 
-@query("SELECT r_name, c_mktsegment FROM (SELECT r_name, c_mktsegment FROM region, (SELECT DISTINCT c_mktsegment FROM customer)) ANTI JOIN (SELECT DISTINCT r_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 9900) USING (r_name, c_mktsegment)")
+@query("WITH p AS (SELECT p_partkey, p_brand || ' ' || p_type AS kind FROM part) SELECT s_suppkey, kind FROM (SELECT s_suppkey, kind FROM supplier, (SELECT DISTINCT kind FROM p)) ANTI JOIN (SELECT DISTINCT l_suppkey AS s_suppkey, kind FROM lineitem JOIN p ON l_partkey = p_partkey) USING (s_suppkey, kind)")
 def missing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer, nation, region = (table(spark, sf_dir, n) for n in ("customer", "nation", "region"))
-    present = customer.where("c_acctbal > 9900").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
-    return C.missing_pairs(region.select("r_name"), customer.select("c_mktsegment").distinct(), present, ["r_name", "c_mktsegment"])
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").withColumn("kind", F.concat_ws(" ", "p_brand", "p_type"))
+    present = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("s_suppkey"), "kind")
+    return C.missing_pairs(table(spark, sf_dir, "supplier").select("s_suppkey"), part.select("kind"), present, ["s_suppkey", "kind"])
 
 
 # ---- versions
@@ -469,11 +476,15 @@ def denominator_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- geography
 
-@query(f"WITH {CHAIN_SQL}, c AS (SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey), s AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN n_name WHEN 1 THEN r_name ELSE 'GLOBAL' END AS code, CASE s_suppkey % 3 WHEN 0 THEN 100 WHEN 1 THEN 75 ELSE 50 END AS score FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT c_custkey AS request_id, s_suppkey AS factor_id, code AS matched_code, depth AS fallback_rank, score AS geographic_score FROM c JOIN chain ON n_name = requested JOIN s ON candidate = code")
+@query(
+    f"""WITH {CHAIN_SQL}, c AS (SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey), s AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN n_name WHEN 1 THEN r_name ELSE 'GLOBAL' END AS code, CASE s_suppkey % 3 WHEN 0 THEN 100 WHEN 1 THEN 75 ELSE 50 END AS score FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+g AS (SELECT n_name, s_suppkey, code, depth, score, count(*) OVER w AS n_eligible, row_number() OVER (w ORDER BY depth, score DESC, s_suppkey) AS r FROM (SELECT DISTINCT n_name FROM c) JOIN chain ON n_name = requested JOIN s ON candidate = code WINDOW w AS (PARTITION BY n_name))
+SELECT c_custkey AS request_id, s_suppkey AS factor_id, code AS matched_code, depth AS fallback_rank, score AS geographic_score, n_eligible FROM c JOIN g USING (n_name) WHERE r = 1"""
+)
 def geo_fallback_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     requests = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("request_id"), F.col("n_name").alias("country"))
-    return G.best_fit(requests, _supplier_geographies(spark, sf_dir), G.closure(spark, geography_tree(spark, sf_dir), max_depth=3)).select("request_id", "factor_id", "matched_code", "fallback_rank", "geographic_score")
+    return G.best_fit(requests, _supplier_geographies(spark, sf_dir), G.closure(spark, geography_tree(spark, sf_dir), max_depth=3))
 
 
 def _supplier_geographies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -576,16 +587,16 @@ def sector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.projection_coverage(sectors, projected, "p_partkey", "2", "other")
 
 
-@query("SELECT l_suppkey, 6 AS expected, len(y) AS present, array_to_string(list_filter(range(1996, 2002), lambda x: NOT list_contains(y, x)), ',') AS missing, len(y) / 6 AS ratio FROM (SELECT l_suppkey, list(DISTINCT CAST(year(l_shipdate) AS BIGINT)) AS y FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 2001 AND l_partkey % 50 = 0 GROUP BY 1)")
+@query("SELECT l_suppkey, 6 AS expected, len(y) AS present, array_to_string(list_filter(range(1996, 2002), lambda x: NOT list_contains(y, x)), ',') AS missing, len(y) / 6 AS ratio FROM (SELECT l_suppkey, list(DISTINCT CAST(year(l_shipdate) AS BIGINT)) AS y FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 2001 GROUP BY 1)")
 def year_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 50 = 0").withColumn("y", F.year("l_shipdate"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("y", F.year("l_shipdate"))
     return P.year_completeness(rows, "l_suppkey", "y", 1996, 2001)
 
 
-@query("SELECT l, count(DISTINCT c) FILTER (s = 'approved') AS approved, count(DISTINCT c) FILTER (s = 'draft') AS draft, (SELECT count(DISTINCT p_type) FROM part) AS total, greatest((SELECT count(DISTINCT p_type) FROM part) - count(DISTINCT c) FILTER (s = 'approved') - count(DISTINCT c) FILTER (s = 'draft'), 0) AS missing FROM (SELECT 'l' || p_size % 3 AS l, p_type AS c, CASE WHEN p_partkey % 2 = 0 THEN 'approved' ELSE 'draft' END AS s FROM part WHERE p_size < 10) GROUP BY 1")
+@query("SELECT l, count(DISTINCT c) FILTER (s = 'approved') AS approved, count(DISTINCT c) FILTER (s = 'draft') AS draft, (SELECT count(DISTINCT p_type) FROM part) AS total, greatest((SELECT count(DISTINCT p_type) FROM part) - count(DISTINCT c) FILTER (s = 'approved') - count(DISTINCT c) FILTER (s = 'draft'), 0) AS missing FROM (SELECT 'l' || p_size % 3 AS l, p_type AS c, CASE WHEN p_partkey % 2 = 0 THEN 'approved' ELSE 'draft' END AS s FROM part) GROUP BY 1")
 def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    labels = part.where("p_size < 10").select(F.concat(F.lit("l"), (F.col("p_size") % 3).cast("string")).alias("language"), F.col("p_type").alias("concept"), F.when(F.col("p_partkey") % 2 == 0, "approved").otherwise("draft").alias("status"))
+    labels = part.select(F.concat(F.lit("l"), (F.col("p_size") % 3).cast("string")).alias("language"), F.col("p_type").alias("concept"), F.when(F.col("p_partkey") % 2 == 0, "approved").otherwise("draft").alias("status"))
     out = P.label_coverage(part.select(F.col("p_type").alias("concept")), labels)
     return out.select(F.col("language").alias("l"), "approved", "draft", "total", "missing")
 
@@ -646,34 +657,49 @@ _TRIGRAM_SQL = "list_distinct(flatten(list_transform(list_filter(string_split(tr
 
 
 @query(
-    "WITH q AS (SELECT p_name AS query_id, " + _TRIGRAM_SQL.format(c="p_name") + " AS g FROM (SELECT DISTINCT p_name FROM part)), i AS (SELECT query_id AS item_id, g AS h FROM q) "
-    "SELECT query_id, item_id, round(len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))), 9) AS similarity FROM q, i WHERE len(list_intersect(g, h)) > 0 AND len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) >= 0.3"
+    "WITH q AS (SELECT p_name, min(p_partkey) AS class_id, count(*) AS copies, " + _TRIGRAM_SQL.format(c="p_name") + " AS g FROM part GROUP BY p_name), "
+    "l AS (SELECT a.p_name, a.class_id, sum(b.copies) - 1 AS n_links FROM q a, q b WHERE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.3 GROUP BY ALL) "
+    "SELECT p_partkey, class_id, CAST(n_links AS BIGINT) AS n_links FROM part JOIN l USING (p_name)"
 )
 def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    queries = names.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("query"))
-    items = names.select(F.col("p_name").alias("item_id"), F.col("p_name").alias("text"))
-    return M.trigram_candidates(queries, items, 0.3).withColumn("similarity", F.round("similarity", 9))
+    """Each part with the class of its name, the smallest part of that name, and the number of other parts of a similar name."""
+    part = table(spark, sf_dir, "part")
+    names = part.groupBy("p_name").agg(F.min("p_partkey").alias("class_id"), F.count("*").alias("copies"))
+    queries = names.select(F.col("class_id").alias("query_id"), F.col("p_name").alias("query"))
+    items = names.select(F.col("class_id").alias("item_id"), F.col("p_name").alias("text"))
+    found = M.trigram_candidates(queries, items, 0.3).join(names.select(F.col("class_id").alias("item_id"), "copies"), "item_id")
+    links = found.groupBy(F.col("query_id").alias("class_id")).agg((F.sum("copies") - 1).alias("n_links"))
+    return part.join(names.select("p_name", "class_id"), "p_name").join(links, "class_id").select("p_partkey", "class_id", "n_links")
 
 
-@query("WITH w AS (SELECT p_partkey AS item_id, list_filter(string_split(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM part), q(query_id, t) AS (VALUES (1, ['widget']), (2, ['small', 'widget']), (3, ['large', 'bolt'])) SELECT query_id, item_id, len(list_filter(w, lambda x: list_contains(t, x))) AS hits FROM q, w WHERE list_has_all(w, t)")
+@query(
+    "WITH w AS (SELECT p_name, min(p_partkey) AS class_id, count(*) AS n_items, list_filter(string_split(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM part GROUP BY p_name), "
+    "q AS (SELECT p_partkey AS query_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')) AS t FROM part WHERE p_partkey % 50 = 0) "
+    "SELECT query_id, class_id, n_items, len(list_filter(w, lambda x: list_contains(t, x))) AS hits FROM q JOIN w ON list_has_all(w, t) WHERE len(t) > 0"
+)
 def full_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = spark.createDataFrame([(1, "widget"), (2, "Small widget!"), (3, "large  bolt")], "query_id int, query string")
-    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text"))
-    return M.full_text_candidates(queries, items)
+    """The names of the parts whose key is divisible by 50, searched in all names: each class of equal names that holds all words, with its size."""
+    part = table(spark, sf_dir, "part")
+    items = part.groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("item_id"), F.count("*").alias("n_items"))
+    asked = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("row"), F.col("p_name").alias("query"))
+    queries = asked.groupBy("query").agg(F.min("row").alias("query_id"))
+    found = M.full_text_candidates(queries, items).join(items.select("item_id", "n_items"), "item_id").join(queries, "query_id")
+    return asked.join(found, "query").select(F.col("row").alias("query_id"), F.col("item_id").alias("class_id"), "n_items", "hits")
 
 
 @query(
-    """WITH l AS (SELECT DISTINCT lower(p_name) AS label FROM part WHERE p_size > 5), c AS (SELECT label, row_number() OVER (ORDER BY label) AS pos FROM l), q AS (SELECT p_brand AS query_id, lower(min(p_name)) AS q FROM part GROUP BY 1),
-s AS (SELECT query_id, label, pos, CASE WHEN q = label THEN 100 WHEN contains(q, label) OR contains(label, q) THEN 85 WHEN list_has_any(string_split(q, ' '), string_split(label, ' ')) THEN 60 END AS conf FROM q, c)
-SELECT query_id, label AS concept, conf AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY conf DESC, pos, label) AS r FROM s WHERE conf IS NOT NULL) WHERE r = 1"""
+    """WITH c AS (SELECT DISTINCT lower(p_name) AS label FROM part), q AS (SELECT p_partkey AS query_id, lower(p_name) || ' ' || lower(p_type) AS q FROM part WHERE p_partkey % 50 = 0),
+s AS (SELECT query_id, label, CASE WHEN q = label THEN 100 WHEN NOT list_has_any(string_split(q, ' '), string_split(label, ' ')) THEN NULL WHEN contains(q, label) OR contains(label, q) THEN 85 ELSE 60 END AS conf FROM q, c)
+SELECT query_id, label AS concept, conf AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY conf DESC, label) AS r FROM s WHERE conf IS NOT NULL) WHERE r = 1"""
 )
 def concept_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best label of all names for the parts whose key is divisible by 50, by name and type."""
     part = table(spark, sf_dir, "part")
-    labels = part.where("p_size > 5").select(F.lower("p_name").alias("label")).distinct()
-    labels = labels.withColumn("position", F.row_number().over(Window.orderBy("label"))).withColumn("concept", F.col("label"))
-    queries = part.groupBy(F.col("p_brand").alias("query_id")).agg(F.min("p_name").alias("query"))
-    return M.resolved_concept(M.concept_matches(queries, labels)).select("query_id", "concept", "confidence")
+    labels = part.select(F.lower("p_name").alias("label")).distinct().select("label", F.col("label").alias("position"), F.col("label").alias("concept"))
+    asked = part.where("p_partkey % 50 = 0").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("query"))
+    queries = asked.select("query").distinct().withColumn("query_id", F.col("query"))
+    best = M.resolved_concept(M.concept_matches(queries, labels)).select(F.col("query_id").alias("query"), "concept", "confidence")
+    return asked.join(best, "query").select(F.col("p_partkey").alias("query_id"), "concept", "confidence")
 
 
 @query("SELECT c_custkey, substr(sha256(coalesce(c_name, '') || '|' || coalesce(c_mktsegment, '')), 1, 24) AS stable_id, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, trim(split_part(c_mktsegment || ' > x', '>', 1)) AS root FROM customer")
