@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdance.functions.text import alias_form
-from verdance.registries import BRIDGES, units
+from verdance.registries import ACTIVITY_ALIASES, BRIDGES, COMPONENT_DENOMINATORS, FRENCH_UNITS, INVENTORY_UNITS, MASS_TO_KG, units
 
 SCALE = "decimal(38,18)"
 # Denominators of published factors, the unit they become and how many of it they are.
@@ -157,3 +157,137 @@ def normalize_denominator(frame: DataFrame, value: str, unit: str) -> DataFrame:
     out = frame.join(known.withColumnRenamed("unit", "normal_unit"), F.col(unit) == F.col("raw_unit"), "left").drop("raw_unit")
     out = out.withColumn("normal_value", F.col(value).cast("double") / F.col("per").cast("double"))
     return out.withColumn("status", F.when(F.col("normal_unit").isNull(), "unknown_unit").otherwise("normalized")).drop("per")
+
+
+def _ratio(frame: DataFrame, column: str, prefix: str) -> DataFrame:
+    """frame with numerator and denominator of a unit expression: codes, dimensions, scales and the quantity, under a prefix."""
+    parsed = parse(frame.select(F.col(column).alias("_u")).distinct(), "_u").drop("canonical")
+    known = F.broadcast(registry(frame.sparkSession))
+    for side in ("numerator", "denominator"):
+        own = known.select(F.col("code").alias(side), *(F.col(c).alias(f"{prefix}_{side}_{c}") for c in ("dimension", "scale", "qualifiers")))
+        parsed = parsed.join(own, side, "left")
+    parsed = parsed.withColumnsRenamed({c: f"{prefix}_{c}" for c in ("numerator", "denominator", "den_quantity")})
+    return frame.join(parsed, F.col(column).eqNullSafe(F.col("_u")), "left").drop("_u")
+
+
+def conversion_multiplier(frame: DataFrame, from_unit: str, to_unit: str, parameters: str, at: Column) -> DataFrame:
+    """frame with status, parameter, multiplier; parameters is an array of name, value, unit, valid_from, valid_to.
+
+    A conditional conversion takes the first parameter of the bridge's name. If
+    it is missing, not valid at the date or of a unit that doesn't fit, the
+    multiplier is null and parameter says what is required; that isn't an error.
+    """
+    c, d = F.col, lambda name: F.col(name).cast("double")
+    out = conversion_status(frame, from_unit, to_unit)
+    out = out.withColumn("_p", F.get(F.filter(parameters, lambda p: p["name"] == c("parameter")), 0))
+    out = _ratio(out.withColumn("_p_unit", c("_p.unit")), "_p_unit", "_r")
+    valid = at.isNull() | ((c("_p.valid_from").isNull() | (c("_p.valid_from") <= at)) & (c("_p.valid_to").isNull() | (c("_p.valid_to") >= at)))
+    value, f, t = d("_p.value"), d("_f_scale"), d("_t_scale")
+    base = value * d("_r_numerator_scale") / d("_r_denominator_scale") / d("_r_den_quantity")
+    is_ratio = lambda a, b: (c("_r_numerator_dimension") == a) & (c("_r_denominator_dimension") == b)
+    pair = lambda a, b: (c("_f_dimension") == a) & (c("_t_dimension") == b)
+    bridged = (
+        F.when(pair("volume", "mass"), F.when(is_ratio("mass", "volume"), f * base / t))
+        .when(pair("mass", "volume"), F.when(is_ratio("mass", "volume"), f / base / t))
+        .when(c("parameter") == "calorific_value", F.when(is_ratio("energy", c("_f_dimension")), f * base / t))
+        .when(c("parameter") == "load", f * value * 1000 / t)
+        .when(c("parameter") == "occupancy", f * value / t)
+        .when(c("parameter") == "distance", F.when((c("_r_numerator_dimension") == "distance") & c("_r_denominator_dimension").isNull(), f * value * d("_r_numerator_scale") / t))
+        .when(c("parameter") == "exchange_rate", value)
+    )
+    multiplier = F.when(c("status") == "exact_conversion", f / t).when(c("status") == "conditional_conversion", F.when(valid, bridged))
+    out = out.withColumn("multiplier", multiplier)
+    return out.drop(*(x for x in out.columns if x.startswith(("_f_", "_t_", "_r_", "_p"))))
+
+
+def convert_dated(frame: DataFrame, value: str, from_unit: str, to_unit: str, parameters: str, at: Column) -> DataFrame:
+    """frame with status, parameter, multiplier, converted: an activity's quantity at a date."""
+    return conversion_multiplier(frame, from_unit, to_unit, parameters, at).withColumn("converted", F.col(value).cast("double") * F.col("multiplier"))
+
+
+def convert_factor_expression(frame: DataFrame, value: str, from_unit: str, to_unit: str, parameters: str, at: Column) -> DataFrame:
+    """frame with status, parameter, converted: a factor of one unit expression as one of another.
+
+    Its numerator converts exactly or not at all; its denominator reciprocally,
+    by a dated parameter where it needs one; quantities of both denominators count.
+    """
+    c, d = F.col, lambda name: F.col(name).cast("double")
+    both = _ratio(_ratio(frame, from_unit, "_a"), to_unit, "_b")
+    same = (c("_a_numerator_dimension") == c("_b_numerator_dimension")) & (F.array_sort("_a_numerator_qualifiers") == F.array_sort("_b_numerator_qualifiers"))
+    out = conversion_multiplier(both, "_a_denominator", "_b_denominator", parameters, at)
+    exact = F.coalesce(same, F.lit(False))
+    scaled = d("_a_numerator_scale") / d("_b_numerator_scale") * d("_b_den_quantity") / d("_a_den_quantity") / c("multiplier")
+    out = out.withColumns({"status": F.when(exact, c("status")).otherwise("incompatible"), "parameter": F.when(exact, c("parameter")), "converted": F.when(exact, d(value) * scaled)})
+    return out.drop("multiplier", *(x for x in out.columns if x.startswith(("_a_", "_b_"))))
+
+
+def _unit_text(c: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "₂₃₄²³", "23423"), r"\s+", " ")))
+
+
+def inventory_activity_unit(source: Column) -> tuple[Column, Column]:
+    """The unit of an inventory's activity data, a power of ten before it included, and how many of it one is; null where unknown."""
+    text = F.replace(_unit_text(source), F.lit(" "))
+    power = F.regexp_extract(text, r"^10\^([0-9]+)(.+)$", 1)
+    bare = F.when(power != "", F.regexp_extract(text, r"^10\^([0-9]+)(.+)$", 2)).otherwise(text)
+    unit, scale = F, F
+    for alias, (code, times) in ACTIVITY_ALIASES.items():
+        unit, scale = unit.when(bare == alias, code), scale.when(bare == alias, times)
+    return unit.otherwise(None), scale.otherwise(None) * F.when(power != "", F.pow(F.lit(10.0), power.cast("double"))).otherwise(1.0)
+
+
+def inventory_component(value: Column, unit: Column, label: Column, gas: Column, activity_unit: Column) -> Column:
+    """A reported component in kg per activity unit: struct of gas, value, unit, reason; carbon and
+    nitrogen become CO2 and N2O by their masses, and reason says why a component has no value."""
+    u, l, v = _unit_text(unit), _unit_text(label), value.cast("double")
+    own, scale = inventory_activity_unit(activity_unit)
+    made = lambda g, x, a: F.struct(g.cast("string").alias("gas"), x.alias("value"), a.cast("string").alias("unit"), F.lit(None).cast("string").alias("reason"))
+    failed = lambda why: F.struct(F.lit(None).cast("string").alias("gas"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(why).alias("reason"))
+    out = F
+    for name, own_gas, times, target in INVENTORY_UNITS[:5]:
+        out = out.when(u == name, made(F.lit(own_gas) if own_gas else gas, v * times, F.lit(target)))
+    out = out.when(F.contains(u, F.lit("t co2-c")) & F.endswith(u, F.lit("/t")), made(F.lit("CO2"), v * (44 / 12), F.lit("kg")))
+    for name, own_gas, times, target in INVENTORY_UNITS[5:7]:
+        out = out.when(u == name, made(F.lit(own_gas) if own_gas else gas, v * times, F.lit(target)))
+    nitrogen = F.lit("kg n2o-n/kg n")
+    out = out.when(F.contains(u, nitrogen) | F.contains(l, nitrogen), made(F.lit("N2O"), v * (44 / 28), F.lit("kg_nitrogen")))
+    for name, own_gas, times, target in INVENTORY_UNITS[7:8]:
+        out = out.when(u == name, made(gas, v * times, F.lit(target)))
+    out = out.when(F.contains(u, F.lit("kg n2o-n/ha")), made(F.lit("N2O"), v * (44 / 28), F.lit("ha")))
+    for name, own_gas, times, target in INVENTORY_UNITS[8:]:
+        out = out.when(u == name, made(gas, v * times, F.lit(target)))
+    per_unit, tonnes = F.startswith(u, F.lit("kg/unit")), u == "t/activity data unit"
+    out = out.when((per_unit | tonnes) & own.isNull(), failed("missing_activity_unit"))
+    found = out.when(per_unit, made(gas, v / scale, own)).when(tonnes, made(gas, v * 1000 / scale, own)).otherwise(failed("unsupported_unit"))
+    known = found["gas"].isin("CO2", "CH4", "N2O")
+    return F.when(found["reason"].isNull() & ~F.coalesce(known, F.lit(False)), failed("unsupported_gas")).otherwise(found)
+
+
+def mass_component(value: Column, unit: Column) -> Column:
+    """A published component, a mass per denominator, in kg per registry unit: struct of unit, value; null where its unit isn't known."""
+    words = F.split(F.lower(F.trim(F.regexp_replace(F.split_part(unit, F.lit("/"), F.lit(1)), r"\s+", " "))), " ")
+    below = F.lower(F.trim(F.regexp_replace(F.regexp_replace(unit, "^[^/]*/", ""), r"\s+", " ")))
+    below = F.regexp_replace(below, r"\s+(fuel|feed|dry matter)$", "")
+    mass = F
+    for name, kg in MASS_TO_KG.items():
+        mass = mass.when(words[0] == name, float(kg))
+    target, per = F, F
+    for name, code, times in COMPONENT_DENOMINATORS:
+        target, per = target.when(below == name, code), per.when(below == name, float(times))
+    scaled = value.cast("double") * mass.otherwise(None) / per.otherwise(None)
+    return F.when(F.contains(unit, F.lit("/")) & scaled.isNotNull(), F.struct(target.otherwise(None).alias("unit"), scaled.alias("value")))
+
+
+def french_factor_unit(label: Column) -> Column:
+    """The unit that a label like kgCO2e/litre stands for: struct of status, code, label; partial
+    where the label says more than the code. Other labels than kgCO2e ones are unresolved."""
+    prefix = "kgCO2e/"
+    below = F.when(F.startswith(label, F.lit(prefix)), F.substr(label, F.lit(len(prefix) + 1)))
+    code, more = F, below.isin(*(name for name, _, qualified in FRENCH_UNITS if qualified))
+    for name, to, _ in FRENCH_UNITS:
+        code = code.when(below == name, to)
+    code = code.otherwise(below)
+    aliases = sorted({" ".join(a.lower().split()) for u in units() for a in (u.code, *u.aliases)})
+    known = F.array_contains(F.array(*map(F.lit, aliases)), alias_form(code))
+    status = F.when(below.isNull() | ~known, "unresolved").when(more, "partial").otherwise("matched")
+    return F.struct(status.alias("status"), F.when(status != "unresolved", code).alias("code"), below.alias("label"))

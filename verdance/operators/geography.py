@@ -73,3 +73,39 @@ def fit_coverage(fits: DataFrame, names: list[str], spark: SparkSession) -> Data
     order = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "fit string, position int")
     counts = fits.groupBy("fit").agg(F.count("*").alias("n"))
     return order.join(counts, "fit", "left").select("fit", "position", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# Places of a French source that aren't countries: label, code, level, fit.
+FRENCH_PLACES = [("France continentale", "FR", "country", "country_specific"), ("Outre-mer", "FR_OVERSEAS", "region", "regional"), ("Europe", "EUROPE", "continent", "continental"), ("Monde", "GLOBAL", "global", "global")]
+
+
+def source_geography(rows: DataFrame, place: str, sub_place: str, aliases: DataFrame) -> DataFrame:
+    """rows with geo_code, geography_level, fit of a French source: its own places, or another
+    country by an alias (label, code) of its sub-place; null where neither is known."""
+    names = F.broadcast(rows.sparkSession.createDataFrame(FRENCH_PLACES, "_place string, _code string, _level string, _fit string"))
+    known = aliases.select(F.col("label").alias("_label"), F.col("code").alias("_alias"))
+    out = rows.join(names, F.col(place) == F.col("_place"), "left").join(known, (F.col(place) == "Autre pays du monde") & (F.col(sub_place) == F.col("_label")), "left")
+    other = F.col("_alias").isNotNull()
+    made = {"geo_code": F.coalesce("_code", "_alias"), "geography_level": F.coalesce("_level", F.when(other, "country")), "fit": F.coalesce("_fit", F.when(other, "country_specific"))}
+    return out.withColumns(made).drop("_place", "_code", "_level", "_fit", "_label", "_alias")
+
+
+def bound_country(resolved: DataFrame, place: str, sub_place: str, mainland: str = "France continentale") -> DataFrame:
+    """rows with geo_code and geo_status (as resolve_code gives them) whose source means less than
+    the country: partial where a sub-place is stated or the place is the mainland."""
+    narrower = (F.trim(F.coalesce(sub_place, F.lit(""))) != "") | (F.col(place) == mainland)
+    return resolved.withColumn("geo_status", F.when((F.col("geo_status") == "resolved") & narrower, "partial").otherwise(F.col("geo_status")))
+
+
+def label_registry(countries: DataFrame, translations: DataFrame, aliases: DataFrame) -> DataFrame:
+    """code, language, label, kind, normalized: names of countries (code, name, official, common), their
+    translations (code, language, label) and aliases (code, label); one for each code, language and normal form, kinds in this order."""
+    kinds = [(countries.select("code", F.lit("").alias("language"), F.col("code").alias("label")), "code")]
+    kinds += [(countries.select("code", F.lit("en").alias("language"), F.col(c).alias("label")), kind) for c, kind in (("name", "canonical"), ("official", "official"), ("common", "common"))]
+    kinds += [(translations.select("code", "language", "label"), "translation"), (aliases.select("code", F.lit("").alias("language"), "label"), "alias")]
+    out = None
+    for k, (frame, kind) in enumerate(kinds):
+        frame = frame.where(F.trim(F.coalesce("label", F.lit(""))) != "").select("code", "language", "label", F.lit(kind).alias("kind"), F.lit(k).alias("_order"), words_form(F.col("label")).alias("normalized"))
+        out = frame if out is None else out.unionByName(frame)
+    first = out.groupBy("code", "language", "normalized").agg(F.min(F.struct("_order", "label", "kind")).alias("f"))
+    return first.select("code", "language", "f.label", "f.kind", "normalized")

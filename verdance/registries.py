@@ -200,3 +200,84 @@ def units() -> list[Unit]:
         code, dimension, scale, qualifiers, aliases = ([p.strip() for p in line.split("|")] + ["", ""])[:5]
         out.append(Unit(code, dimension, Decimal(scale), tuple(q for q in qualifiers.split(",") if q), tuple(a.strip() for a in aliases.split(",") if a)))
     return out
+
+
+# Activity families: code | concept | terms | terms of factors, where they differ | role | basis | scope | scope 3 categories | qualifiers that scope 3 requires.
+FAMILIES_TEXT = """
+gasoline | energy.gasoline | gasoline,motor gasoline,petrol,motor petrol,benzin,motor benzini,ottokraftstoff,essence,gasolina | motor gasoline,motor petrol | stationary_combustion | energy | scope_1 | 3 |
+natural_gas | energy.natural_gas | natural gas,natural_gas,doğalgaz,doğal gaz,erdgas,gaz naturel | | stationary_combustion | energy | scope_1 | 3 |
+diesel | energy.diesel | diesel,motorin,mazot,gas oil,gas_oil | diesel,motorin,mazot,distillate fuel oil no. 1,distillate fuel oil no. 2 | stationary_combustion | energy | scope_1 | 3 |
+electricity | energy.electricity | electricity,electric,elektrik,grid electricity,grid_mix | | purchased_electricity | energy | scope_2 | 3 |
+refrigerants | refrigerants | refrigerant,refrigerants,soğutucu,r134a,r410a,r32,hfc,hcfc | | fugitive_emissions | mass | scope_1 | |
+road_freight | transport.freight.road | road freight,trucking,truck,hgv,kamyon,karayolu,tonne.km,ton-mile | | freight_transport | transport_work | scope_3 | 4,9 |
+air_travel | transport.passenger.air | air travel,flight,aviation,uçuş,passenger flight,domestic flight | | business_travel | passenger_distance | scope_3 | 6 | haul
+waste | waste | waste,disposal,landfill,recycling,atık,bertaraf,compost | | waste_treatment | mass | scope_3 | 5,12 | material,treatment
+purchased_services | spend.services | service,services,education,training,consulting,hizmet,eğitim,spend,usd,eur,try | | purchased_service | spend | scope_3 | 1 |
+"""
+
+# Economic sectors of purchased services, and those that words of a query hint at.
+SERVICE_SECTORS = ["51", "52", "53", "54", "55", "56", "61", "62", "71", "72", "81", "92"]
+SECTOR_HINTS = [("education", "61"), ("training", "61"), ("consulting", "5416"), ("legal", "5411"), ("accounting", "5412"), ("software", "51"), ("financial", "52"), ("insurance", "524")]
+
+# Authority of a source, the smaller the better, in general and by country; sources of official figures.
+AUTHORITY = {"ETKB": 0, "IPCC": 1, "GHG_PROTOCOL": 1, "DEFRA": 2, "EPA": 3, "EMBER": 3, "OPEN_CEDA": 4, "UNFCCC_TUIK": 5}
+AUTHORITY_BY_COUNTRY = {
+    "TR": {"ETKB": 0, "GHG_PROTOCOL": 1, "IPCC": 1, "EMBER": 2, "DEFRA": 8, "EPA": 8},
+    "US": {"EPA": 0, "GHG_PROTOCOL": 1, "IPCC": 1, "DEFRA": 8, "ETKB": 8},
+    "GB": {"DEFRA": 0, "GHG_PROTOCOL": 1, "IPCC": 1, "EPA": 8, "ETKB": 8},
+    "CA": {"CANADA": 0, "GHG_PROTOCOL": 1, "IPCC": 1},
+    "FR": {"ADEME": 0, "AIB": 1, "GHG_PROTOCOL": 2, "IPCC": 2},
+    "DE": {"AIB": 0, "GHG_PROTOCOL": 1, "IPCC": 1},
+    "NL": {"AIB": 0, "GHG_PROTOCOL": 1, "IPCC": 1},
+    "SE": {"AIB": 0, "GHG_PROTOCOL": 1, "IPCC": 1},
+}
+OFFICIAL_SOURCES = ["ADEME", "AIB", "CANADA", "DEFRA", "EPA", "ETKB"]
+
+# Fallback tiers in order, and whether one is a proxy.
+TIERS = [("country_official", False), ("country_modelled", False), ("regional", False), ("global", False), ("foreign_proxy", True)]
+
+# Weights of the search score, in hundredths.
+SEARCH_WEIGHTS = {"semantic": 40, "context": 20, "geography": 20, "year": 10, "unit": 10}
+
+# Mass numerators in kg; denominators of published components, their unit and how many of it they are.
+MASS_TO_KG = {"mg": "0.000001", "g": "0.001", "kg": "1", "t": "1000", "tonne": "1000"}
+COMPONENT_DENOMINATORS = [
+    ("mj", "GJ", "0.001"), ("gj", "GJ", "1"), ("tj", "GJ", "1000"), ("kwh", "GJ", "0.0036"), ("mwh", "GJ", "3.6"), ("m3", "m3", "1"), ("m³", "m3", "1"),
+    ("l", "m3", "0.001"), ("litre", "m3", "0.001"), ("liter", "m3", "0.001"), ("kg", "kg", "1"), ("t", "tonne", "1"), ("tonne", "tonne", "1"),
+]
+
+# Inventory units: unit | gas where the unit itself names it | multiplier to kg per the unit that follows | unit. 44/12 and 44/28 turn carbon and nitrogen to CO2 and N2O.
+INVENTORY_UNITS = [
+    ("t/tj", None, 1.0, "GJ"), ("kg/tj", None, 0.001, "GJ"), ("t c/tj", "CO2", 44 / 12, "GJ"), ("t/t", None, 1.0, "kg"), ("kg/t", None, 0.001, "kg"),
+    ("kg ch4/head/yr", "CH4", 1.0, "head.year"), ("g/m2", None, 0.001, "m2"), ("kg/t dm", None, 0.001, "kg_dry_matter"), ("t/t waste", None, 1.0, "kg_waste"), ("kg/t waste", None, 0.001, "kg_waste"),
+]
+ACTIVITY_ALIASES = {"m^3": ("m3", 1), "m3": ("m3", 1), "ha": ("ha", 1), "t": ("kg", 1000), "head": ("head", 1)}
+
+# French labels of units, their code, and whether they say more than the code.
+FRENCH_UNITS = [
+    ("tonne", "t", False), ("tonne de déchets", "t", True), ("litre", "L", False), ("kg de poids net", "kg", True), ("kg de poids vif", "kg", True),
+    ("kWh PCI", "kWh", True), ("kWh PCS", "kWh", True), ("GJ PCI", "GJ", True), ("GJ PCS", "GJ", True),
+]
+
+
+@dataclass(frozen=True)
+class Family:
+    code: str
+    concept: str
+    terms: tuple[str, ...]
+    factor_terms: tuple[str, ...]
+    role: str
+    basis: str
+    scope: str
+    categories: tuple[int, ...]
+    required: tuple[str, ...]
+
+
+def families() -> list[Family]:
+    """The activity families in their own order."""
+    out = []
+    for line in FAMILIES_TEXT.strip().splitlines():
+        code, concept, terms, own, role, basis, scope, categories, required = (p.strip() for p in line.split("|"))
+        split = lambda s: tuple(x.strip() for x in s.split(",") if x.strip())
+        out.append(Family(code, concept, split(terms), split(own) or split(terms), role, basis, scope, tuple(map(int, split(categories))), split(required)))
+    return out

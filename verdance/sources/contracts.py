@@ -94,6 +94,36 @@ def matrix_rows(matrix: DataFrame, ids: list[str], columns: list[str], name: str
     return matrix.unpivot(ids, columns, name, value).where(F.col(value).isNotNull())
 
 
+def parameter_matrix(cells: DataFrame, header_row: int, id_columns: dict[str, int], first_column: int, kind: str) -> DataFrame:
+    """parameter_type, ids, reference_year, value of a landed matrix (sheet, row, col, text): years
+    stand in header_row from first_column up to the first blank one; an unreadable year is an error, an empty cell no row."""
+    header = cells.where((F.col("row") == header_row) & (F.col("col") >= first_column))
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    ends = header.groupBy("sheet").agg(F.min(F.when(blank, F.col("col"))).alias("_end"), F.max("col").alias("_last"))
+    years = header.join(ends, "sheet").where(F.col("col") < F.coalesce("_end", F.col("_last") + 1))
+    year = F.col("text").try_cast("int")
+    years = years.select("sheet", "col", F.when(year.isNull(), F.raise_error(F.concat(F.lit("not a year: "), F.coalesce("text", F.lit(""))))).otherwise(year).alias("reference_year"))
+    body = cells.where(F.col("row") > header_row)
+    ids = body.where(F.col("col").isin(*id_columns.values())).groupBy("sheet", "row").agg(*(F.max(F.when(F.col("col") == at, F.col("text"))).alias(name) for name, at in id_columns.items()))
+    first = next(iter(id_columns))
+    values = body.join(years, ["sheet", "col"]).where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    out = values.join(ids.where(F.col(first).isNotNull()), ["sheet", "row"])
+    return out.select(F.lit(kind).alias("parameter_type"), *id_columns, "reference_year", F.col("text").try_cast("double").alias("value"))
+
+
+def checked_matrix(matrix: DataFrame, geography: str, columns: list[str], unit: str, expected_unit: str, geographies: int) -> DataFrame:
+    """A matrix whose unit column holds one unit alone and which has so many geographies, each once, or an error."""
+    missing = [c for c in columns if c not in matrix.columns]
+    if missing:
+        raise ContractError(f"columns are missing: {missing}")
+    found = matrix.agg(F.count("*").alias("n"), F.count_distinct(geography).alias("g"), F.count_if(~F.col(unit).eqNullSafe(expected_unit)).alias("bad")).first()
+    if found["bad"]:
+        raise ContractError(f"{found['bad']} rows of another unit than {expected_unit}")
+    if found["n"] != geographies or found["g"] != geographies:
+        raise ContractError(f"{found['n']} rows of {found['g']} geographies instead of {geographies}")
+    return matrix
+
+
 def carried_forward(cells: DataFrame, group: str, order: list[str], value: Column, name: str) -> DataFrame:
     """cells with the last value stated at or before each row of its group."""
     frame = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
