@@ -123,7 +123,11 @@ def test_contract_scan(spark, tmp_path):
 
 def test_windows_1252(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("id;name\n1;€uro\n".encode("windows-1252"))
+    with pytest.raises(S.ContractError):
+        S.delimited(spark, str(tmp_path / "a.csv"), ["id", "name"], encoding="windows-1252")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     assert S.delimited(spark, str(tmp_path / "a.csv"), ["id", "name"], encoding="windows-1252").first()["name"] == "€uro"
+    spark.conf.unset("spark.sql.legacy.javaCharsets")
 
 
 def test_ndjson_round_trip(spark, tmp_path):

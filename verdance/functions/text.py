@@ -79,6 +79,12 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, cut)))
 
 
+def short_grams(c: Column, size: int = 3) -> Column:
+    """Distinct substrings of a text of up to so many characters."""
+    cut = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*(cut(n) for n in range(1, size + 1))))
+
+
 def lexical_score(query: Column, text: Column) -> Column:
     """100 if equal, 90 if contained, else 80 by the share of the query's tokens, rounded half to even."""
     q, t = words_form(query), words_form(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdance.functions.text import words_form
+from verdance.functions.text import short_grams
 
 
 def taxonomy_concepts(factors: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -15,17 +15,19 @@ def taxonomy_concepts(factors: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.join(known, ["source_code", "_taxonomy"]).select("factor_id", "concept", F.lit("taxonomy").alias("relation")).distinct()
 
 
-def pattern_concepts(factors: DataFrame, labels: DataFrame) -> DataFrame:
-    """factor_id, concept, relation of approved labels (concept, label) that a factor's texts hold, letter case aside.
+def contained(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """text, part: the distinct texts that hold a part anywhere, by the part's first three
+    characters; each pair is compared once, so neither all texts nor all parts meet."""
+    by_gram = texts.select("text").distinct().select("text", F.explode(short_grams(F.col("text"))).alias("gram"))
+    asked = parts.select("part").distinct().where("part <> ''").select("part", F.substring("part", 1, 3).alias("gram"))
+    return by_gram.join(asked, "gram").where(F.contains("text", "part")).select("text", "part")
 
-    Distinct texts meet the labels by the label's first word, and each pair is
-    compared once, so neither all texts nor all labels meet.
-    """
+
+def pattern_concepts(factors: DataFrame, labels: DataFrame) -> DataFrame:
+    """factor_id, concept, relation of approved labels (concept, label) that a factor's texts hold, letter case aside."""
     texts = factors.select("factor_id", F.lower(F.concat_ws(" ", "name", "taxonomy_code", "activity_type")).alias("text"))
-    words = F.array_distinct(F.split(words_form(F.col("text")), " "))
-    by_word = texts.select("text").distinct().select("text", F.explode(words).alias("word"))
-    asked = labels.select("concept", F.lower("label").alias("label"), F.split_part(words_form(F.col("label")), F.lit(" "), F.lit(1)).alias("word")).where("word <> ''").distinct()
-    found = by_word.join(asked, "word").where(F.contains("text", "label")).select("text", "concept").distinct()
+    known = labels.select("concept", F.lower("label").alias("part")).distinct()
+    found = contained(texts, known).join(known, "part").select("text", "concept").distinct()
     return texts.join(found, "text").select("factor_id", "concept", F.lit("primary").alias("relation")).distinct()
 
 

@@ -64,8 +64,9 @@ def dataset_gates(counts: DataFrame, policy: DataFrame, key: str) -> DataFrame:
 def schema_coverage(schemas: DataFrame, first: int, last: int) -> DataFrame:
     """Years of a range that not exactly one schema covers, with the number that do."""
     years = schemas.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
-    hit = years.join(F.broadcast(schemas), (F.col("year") >= F.col("start_year")) & (F.col("year") <= F.col("end_year")), "left")
-    return hit.groupBy("year").agg(F.count("start_year").alias("n")).where("n <> 1")
+    hit = schemas.where((F.col("start_year") <= last) & (F.col("end_year") >= first) & (F.col("start_year") <= F.col("end_year")))
+    covered = hit.select(F.explode(F.sequence(F.greatest("start_year", F.lit(first)), F.least("end_year", F.lit(last)))).alias("year")).groupBy("year").agg(F.count("*").alias("n"))
+    return years.join(covered, "year", "left").select("year", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
 
 
 def text_flags(rows: DataFrame, label: str, english: str) -> DataFrame:

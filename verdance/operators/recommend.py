@@ -42,13 +42,6 @@ def grade(tier: Column) -> Column:
     return F.when(tier == 0, "A").when(tier <= 2, "B").otherwise("D")
 
 
-def authority_rank(source: Column, ranks: dict[str, int], default: int = 50) -> Column:
-    out = F
-    for name, rank in ranks.items():
-        out = out.when(source == name, rank)
-    return out.otherwise(default) if ranks else F.lit(default)
-
-
 def proxy_override(rows: DataFrame, allowed: Column) -> DataFrame:
     """An explicit foreign proxy: eligible, score 35 at most, rank 10000."""
     used = allowed & ~F.col("eligible")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verdance.functions import policy as Y
 from verdance.functions.scores import fit_score, unit_score, year_score
 from verdance.functions.text import lexical_score, words_form
+from verdance.operators.index import contained
 from verdance.operators.matching import hard_rejected, ranked
 from verdance.registries import AUTHORITY_BY_COUNTRY, SEARCH_WEIGHTS, TIERS, families
 
@@ -53,15 +54,12 @@ def term_candidates(requests: DataFrame, factors: DataFrame) -> DataFrame:
     array) in their taxonomy, type or name, letter case aside.
 
     Terms are few and repeat, so the distinct ones meet the distinct texts
-    once, by their first word; both sides join back on the pairs found.
+    once; both sides join back on the pairs found.
     """
-    terms = requests.select("request_id", F.explode(F.array_distinct("terms")).alias("term")).where(F.trim("term") != "")
+    terms = requests.select("request_id", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("part")).where(F.trim("part") != "")
     texts = factors.select("factor_id", F.lower(F.concat_ws("\n", "taxonomy_code", "activity_type", "name")).alias("text"))
-    distinct = texts.select("text").distinct()
-    by_word = distinct.select("text", F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "), " "))).alias("word")).where("word <> ''")
-    asked = terms.select("term").distinct().select("term", F.lower("term").alias("t"), F.split_part(words_form(F.col("term")), F.lit(" "), F.lit(1)).alias("word"))
-    found = asked.join(by_word, "word").where(F.contains("text", "t")).select("term", "text").distinct()
-    return terms.join(found, "term").join(texts, "text").select("request_id", "factor_id").distinct()
+    found = terms.join(contained(texts, terms), "part").select("request_id", "text").distinct()
+    return found.join(texts, "text").select("request_id", "factor_id")
 
 
 def first_of(*frames: DataFrame, key: list[str]) -> DataFrame:

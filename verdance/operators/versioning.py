@@ -55,7 +55,7 @@ def activate(current: DataFrame, snapshot: DataFrame, at: Column, keys: tuple[st
     for m in match[1:]:
         condition = condition & m
     years = snapshot.select(F.col("source_code").alias("_source"), F.col("reference_year").alias("_year")).where("_year is not null").distinct()
-    joined = current.join(successors, condition, "left").join(F.broadcast(years), (F.col("source_code") == F.col("_source")) & (F.col("reference_year") == F.col("_year")), "left")
+    joined = current.join(successors, condition, "left").join(years, (F.col("source_code") == F.col("_source")) & (F.col("reference_year") == F.col("_year")), "left")
     closes = (F.col("version_status") == "current") & (F.col("_successor").isNotNull() | F.col("_year").isNotNull())
     closed = joined.select(
         *(c for c in current.columns if c not in ("version_status", "system_effective_to")),
@@ -74,7 +74,7 @@ def activate(current: DataFrame, snapshot: DataFrame, at: Column, keys: tuple[st
 def reject(versions: DataFrame, datasets: DataFrame) -> DataFrame:
     """versions, those of the given dataset versions rejected."""
     gone = datasets.select("dataset_version_id").distinct().withColumn("_rejected", F.lit(True))
-    out = versions.join(F.broadcast(gone), "dataset_version_id", "left")
+    out = versions.join(gone, "dataset_version_id", "left")
     return out.withColumn("version_status", F.when(F.col("_rejected"), "rejected").otherwise(F.col("version_status"))).drop("_rejected")
 
 

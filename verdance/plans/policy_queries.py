@@ -213,12 +213,12 @@ def _lexical_sql(c: str) -> str:
 
 @query(
     f"""WITH {FV_SQL}, q AS (SELECT DISTINCT lower(p_name) || ' ' || lower(p_type) AS q FROM part WHERE p_partkey % 50 = 0), qq AS (SELECT q, list_distinct(string_split(q, ' ')) AS qw, string_split(q, ' ')[3] AS concept FROM q),
-f AS (SELECT *, {_WORDS.format(c="taxonomy_code || ' ' || activity_type || ' ' || name")} AS fw, {_WORDS.format(c="concept_code || ' ' || taxonomy_code || ' ' || activity_type || ' ' || name")} AS all_words FROM fv WHERE published AND version_status = 'current'),
+f AS (SELECT *, lower(taxonomy_code || chr(10) || activity_type || chr(10) || name) AS ft, {_WORDS.format(c="concept_code || ' ' || taxonomy_code || ' ' || activity_type || ' ' || name")} AS all_words FROM fv WHERE published AND version_status = 'current'),
 s AS (SELECT q, factor_id, CASE WHEN entity_type <> 'emission_factor' OR factor_value_kind <> 'co2e_total' OR intended_use <> 'inventory' THEN 1 ELSE 0 END AS hard,
   40 * greatest(greatest({_lexical_sql("name")}, {_lexical_sql("taxonomy_code")}, {_lexical_sql("activity_type")}, {_lexical_sql("concept_code")}), CASE WHEN list_contains(all_words, concept) OR contains(array_to_string(all_words, ' '), concept) THEN 100 ELSE 0 END)
   + 20 * 100 + 20 * CASE fit WHEN 'country_specific' THEN 100 WHEN 'regional' THEN 75 ELSE 50 END
   + 10 * CASE WHEN abs(1998 - reference_year) <= 2 OR (abs(1998 - reference_year) <= 5 AND data_quality = 'official annual statistics') THEN 100 WHEN abs(1998 - reference_year) = 3 THEN 85 ELSE greatest(0, 70 - 5 * abs(1998 - reference_year)) END
-  + 10 * CASE activity_unit WHEN 'kg' THEN 100 WHEN 'tonne' THEN 100 ELSE 60 END AS score FROM qq JOIN f ON list_has_any(fw, qw)),
+  + 10 * CASE activity_unit WHEN 'kg' THEN 100 WHEN 'tonne' THEN 100 ELSE 60 END AS score FROM qq JOIN f ON len(list_filter(qw, lambda w: contains(ft, w))) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, factor_id) AS rank FROM s WHERE hard = 0)
 SELECT p_partkey AS query_id, factor_id, CAST(rank AS INTEGER) AS rank, CAST(score AS BIGINT) AS score FROM part JOIN r ON lower(p_name) || ' ' || lower(p_type) = q WHERE p_partkey % 50 = 0 AND rank <= 5"""
 )

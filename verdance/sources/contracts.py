@@ -14,9 +14,9 @@ class ContractError(ValueError):
 def delimited(spark: SparkSession, path: str, headers: list[str], separator: str = ";", encoding: str = "UTF-8", expected_rows: int | None = None) -> DataFrame:
     """A delimited file whose header is exactly headers, in order; all columns
     strings, blank rows skipped. Other headers, missing or excess columns, or
-    another row count are errors. windows-1252 needs spark.sql.legacy.javaCharsets."""
-    if encoding.lower() == "windows-1252":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    another row count are errors. windows-1252 needs a session with spark.sql.legacy.javaCharsets."""
+    if encoding.lower() == "windows-1252" and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+        raise ContractError("windows-1252 needs spark.sql.legacy.javaCharsets to be true in the session")
     schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
     reader = spark.read.options(sep=separator, quote='"', escape='"', multiLine=True, encoding=encoding)
     found = reader.csv(path).limit(1).collect()
@@ -135,7 +135,7 @@ def crosstab_rows(cells: DataFrame, header_row: int, key_column: int) -> DataFra
     headers = cells.where(F.col("row") == header_row).select("sheet", "col", F.col("text").alias("header"))
     keys = cells.where((F.col("col") == key_column) & (F.col("row") > header_row)).select("sheet", "row", F.col("text").alias("key"))
     values = cells.where((F.col("row") > header_row) & (F.col("col") != key_column)).select("sheet", "row", "col", F.col("text").alias("value"))
-    return values.join(F.broadcast(headers), ["sheet", "col"]).join(keys, ["sheet", "row"]).select("sheet", "row", "key", "header", "value")
+    return values.join(headers, ["sheet", "col"]).join(keys, ["sheet", "row"]).select("sheet", "row", "key", "header", "value")
 
 
 def discovered_header(cells: DataFrame, required: list[str], within: int = 20) -> DataFrame:
