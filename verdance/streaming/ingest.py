@@ -15,20 +15,30 @@ from pyspark.sql.streaming import DataStreamWriter
 from verdance.operators.versioning import activate
 
 
+#: Parts of a ledger by a hash of the identity.
+LEDGER_BUCKETS = 64
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def new_rows(stream: DataFrame, identity: list[str], ledger: str, checkpoint: str) -> DataStreamWriter:
-    """Append rows of unseen identity to a ledger table; known ones change nothing."""
+    """Append rows of unseen identity to a ledger table; known ones change nothing.
+
+    The ledger is partitioned by a hash of the identity, so a batch reads the
+    identities of its own buckets only.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark, fresh = batch.sparkSession, batch.dropDuplicates(identity)
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates(identity).withColumn("bucket", F.pmod(F.xxhash64(*identity), F.lit(LEDGER_BUCKETS)).cast("int"))
         if _exists(spark, ledger):
-            known = spark.read.parquet(ledger).where(F.col("batch_id") != batch_id)
-            fresh = fresh.join(known.select(*identity), identity, "left_anti")
-        fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(ledger)
+            own = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
+            known = spark.read.parquet(ledger).where(F.col("bucket").isin(own) & (F.col("batch_id") != batch_id))
+            fresh = fresh.join(known.select("bucket", *identity), ["bucket", *identity], "left_anti")
+        fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(ledger)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
