@@ -2,7 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame with the columns of
 docs, the last one the encoded documents. Stages other than the last keep
-clean documents as they came. Null and empty texts pass all stages.
+clean documents as they came.
+
+Defined results, of every stage: null and empty texts pass all stages and have
+no ids; a null doc_id is an id of its own, larger than all others; rows that
+repeat doc_id and text are kept or dropped alike, near duplicates among them
+too; of copies the document of the smallest id stays; a score, similarity or
+count that is a threshold exactly counts as reaching it; texts of any length
+are read whole; columns beside doc_id and text are unchanged, whatever their
+names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verdance.llm import decontamination, line_templates, near_duplicates, piece_codec, toxicity
-from verdance.llm.common import stored, table
+from verdance.llm.common import remove, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +64,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
