@@ -7,6 +7,7 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
+from verdance.llm import toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -26,6 +27,10 @@ def test_stages(spark, tmp_path):
         out.write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         rows = {r["doc_id"]: r for r in docs.collect()}
+        if name == "toxicity":
+            labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+            model = toxicity.train(spark.read.parquet(f"{FOLDER}/documents.parquet"), labels)
+            assert set(rows) == {i for i, t in before.items() if model.score(t) < toxicity.THRESHOLD}
         if name == "line_templates":
             for i, r in rows.items():
                 kept, own = r["text"].split("\n"), before[i].split("\n")
@@ -55,3 +60,19 @@ def test_stages(spark, tmp_path):
                 assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         else:
             previous = {i: r["text"] for i, r in rows.items()}
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing names of columns, and no rows at all."""
+    long = " ".join(f"w{k}" for k in range(40_000))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "One two three."), (4, "One two three."), (None, "no id here"), (None, None), (5, long), (6, long), (7, "x" * 200_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "a", 2, 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _id string, _hash int, drop_at int")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, FOLDER)
+        got = [r["doc_id"] for r in out.select("doc_id").collect()]
+        if name in ("line_templates", "near_duplicates"):
+            assert sorted(got, key=str) == sorted((i for i, _ in rows if i != 6), key=str)
+        else:
+            assert len(got) == len(rows)
+        assert name == "piece_codec" or out.columns == docs.columns
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
