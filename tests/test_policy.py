@@ -148,3 +148,9 @@ def test_small_helpers(spark, tmp_path):
         spark.range(1).select(N.per_reference_quantity(F.lit(1.0), F.lit(0.0)).alias("x")).collect()
     left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([("a",), ("b",), (None,)], "v string")
     assert sorted(map(tuple, C.missing_pairs(left, right, spark.createDataFrame([(1, "a")], "k int, v string"), ["k", "v"]).collect())) == [(1, "b"), (2, "a"), (2, "b")]
+
+
+def test_links_of_list_items(spark):
+    page = "<ul><li><a href=\"/a\">One</a></li><LI class=x>\n<a class='y' href='/b?c=1'>Two <b>words</b>\n</a> more</LI><li>none</li><li><a name=z>Three</a></li><li><a href=/d>Four</a></li></ul>"
+    rows = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id int, html string")
+    assert [tuple(r) for r in S.html_list_items(rows).orderBy("position").collect()] == [(1, 0, "/a", "One"), (1, 1, "/b?c=1", "Two words"), (1, 2, None, "Three"), (1, 3, "/d", "Four")]

@@ -152,10 +152,14 @@ def unique_or_error(rows: DataFrame, key: str) -> DataFrame:
 
 
 def html_list_items(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, position, link, text of each list item link of a page."""
-    items = F.regexp_extract_all(F.col(html), F.lit(r'<li><a href="([^"]*)">[^<]*</a></li>'), F.lit(1))
-    texts = F.regexp_extract_all(F.col(html), F.lit(r'<li><a href="[^"]*">([^<]*)</a></li>'), F.lit(1))
-    return pages.select(key, F.posexplode(F.arrays_zip(items.alias("link"), texts.alias("text"))).alias("position", "i")).select(key, "position", "i.link", "i.text")
+    """key, position, link, text of each link that opens a list item of a page, whatever its
+    attributes and inner markup; a link without an address has a null one."""
+    anchors = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<li\b[^>]*>\s*(<a\b[^>]*>.*?)</a\s*>"), F.lit(1))
+    found = pages.select(key, F.posexplode(anchors).alias("position", "a"))
+    quoted = F.regexp_extract("a", r"(?is)^<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 0)
+    link = F.regexp_replace(F.regexp_replace(quoted, r"(?is)^.*?\bhref\s*=\s*", ""), "^[\"']|[\"']$", "")
+    text = F.trim(F.regexp_replace(F.regexp_replace("a", "<[^>]*>", ""), r"\s+", " "))
+    return found.select(key, "position", F.when(quoted != "", link).alias("link"), text.alias("text"))
 
 
 def html_table_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
