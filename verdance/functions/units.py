@@ -291,3 +291,22 @@ def french_factor_unit(label: Column) -> Column:
     known = F.array_contains(F.array(*map(F.lit, aliases)), alias_form(code))
     status = F.when(below.isNull() | ~known, "unresolved").when(more, "partial").otherwise("matched")
     return F.struct(status.alias("status"), F.when(status != "unresolved", code).alias("code"), below.alias("label"))
+
+
+# Simple scales of published units: unit, the unit it becomes, how many of it one is.
+SIMPLE_SCALES = [("gCO2/kWh", "kgCO2/kWh", 0.001), ("gCO2e/kWh", "kgCO2e/kWh", 0.001), ("gCO2e/MJ", "kgCO2e/MJ", 0.001), ("g", "kg", 0.001), ("kgCO2e/short ton", "kgCO2e/tonne", 1 / 0.90718474)]
+
+
+def simple_scale(value: Column, unit: Column) -> Column:
+    """struct of value, unit: a published value in kg; other units stay as they are."""
+    scaled, named = F, F
+    for a, b, times in SIMPLE_SCALES:
+        scaled, named = scaled.when(unit == a, value * times), named.when(unit == a, b)
+    return F.struct(scaled.otherwise(value).alias("value"), named.otherwise(unit).alias("unit"))
+
+
+def known_units(frame: DataFrame, unit: str) -> DataFrame:
+    """frame with the registry code of a unit or alias, or an error at run time where there is none."""
+    alias = F.broadcast(alias_table(frame.sparkSession).select(F.col("alias").alias("_alias"), F.col("code").alias("unit_code")))
+    out = frame.join(alias, alias_form(F.col(unit)) == F.col("_alias"), "left").drop("_alias")
+    return out.withColumn("unit_code", F.when(F.col("unit_code").isNull(), F.raise_error(F.concat(F.lit("unknown unit: "), F.coalesce(unit, F.lit("null"))))).otherwise(F.col("unit_code")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdance.functions.scores import fit_score
-from verdance.functions.text import words_form
+from verdance.functions.text import folded_form, words_form
 
 
 def closure(spark: SparkSession, tree: DataFrame, proxies: DataFrame | None = None, max_depth: int = 8) -> DataFrame:
@@ -44,10 +44,10 @@ def best_fit(requests: DataFrame, factors: DataFrame, closed: DataFrame) -> Data
 
 
 def resolve_code(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
-    """rows with geo_code and geo_status by a label table (code, label): resolved, ambiguous, unknown."""
-    table = labels.select(words_form(F.col("label")).alias("_label"), "code").unionByName(labels.select(words_form(F.col("code")).alias("_label"), "code"))
+    """rows with geo_code and geo_status by a label table (code, label), accents and letter case aside: resolved, ambiguous, unknown."""
+    table = labels.select(folded_form(F.col("label")).alias("_label"), "code").unionByName(labels.select(folded_form(F.col("code")).alias("_label"), "code"))
     table = table.groupBy("_label").agg(F.count_distinct("code").alias("_n"), F.min("code").alias("_code"))
-    out = rows.withColumn("_form", words_form(F.col(column))).join(table, F.col("_form") == F.col("_label"), "left")
+    out = rows.withColumn("_form", folded_form(F.col(column))).join(table, F.col("_form") == F.col("_label"), "left")
     status = F.when(F.col("_n").isNull(), "unknown").when(F.col("_n") > 1, "ambiguous").otherwise("resolved")
     return out.withColumn("geo_status", status).withColumn("geo_code", F.when(F.col("_n") == 1, F.col("_code"))).drop("_form", "_label", "_n", "_code")
 
@@ -109,3 +109,21 @@ def label_registry(countries: DataFrame, translations: DataFrame, aliases: DataF
         out = frame if out is None else out.unionByName(frame)
     first = out.groupBy("code", "language", "normalized").agg(F.min(F.struct("_order", "label", "kind")).alias("f"))
     return first.select("code", "language", "f.label", "f.kind", "normalized")
+
+
+def coverage_by_country(countries: DataFrame, factors: DataFrame, closed: DataFrame, names: list[str]) -> DataFrame:
+    """country, fit, position, n: the factors that each country's chain reaches, by fit in
+    fallback order, zeros included. Factors are counted for each code and fit first."""
+    counts = factors.groupBy("geo_code", "fit").agg(F.count("*").alias("n"))
+    reached = countries.join(closed, F.col("country") == F.col("requested")).join(counts, F.col("candidate") == F.col("geo_code")).groupBy("country", "fit").agg(F.sum("n").alias("n"))
+    all_ = countries.select("country", F.posexplode(F.array(*map(F.lit, names))).alias("position", "fit"))
+    return all_.join(reached, ["country", "fit"], "left").select("country", "fit", "position", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def evaluated_fit(pairs: DataFrame) -> DataFrame:
+    """pairs of request and factor (depth of the code in the request's chain, or null; fit) with
+    eligible, exact, fallback_rank, geographic_score and a warning where a fallback was taken."""
+    depth = F.col("depth")
+    score = F.when(depth.isNotNull(), fit_score(F.col("fit"))).otherwise(0)
+    warning = F.when(depth.isNull(), "geography_not_covered").when(depth > 0, "geography_fallback")
+    return pairs.withColumns({"eligible": depth.isNotNull(), "exact": F.coalesce(depth == 0, F.lit(False)), "fallback_rank": depth, "geographic_score": score, "geography_warning": warning})

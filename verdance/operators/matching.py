@@ -153,3 +153,18 @@ def fused(*scored: DataFrame) -> DataFrame:
     for more in scored[1:]:
         out = out.unionByName(more.select("query_id", "item_id", "score"))
     return out.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+
+
+def concept_lists(matches: DataFrame, keep: int = 20) -> DataFrame:
+    """query_id, concepts: each query's matches as a list, best first, then by code; keep is the list's length."""
+    best = ranked(matches, [F.col("confidence").desc(), F.col("concept")], keep, "query_id")
+    return best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "concept", "confidence"))).alias("_c")).select("query_id", F.transform("_c", lambda x: F.struct(x["concept"].alias("concept"), x["confidence"].alias("confidence"))).alias("concepts"))
+
+
+def batch_match(requests: DataFrame, scored: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """One row for each request: status, the selected factor, and how many alternatives and soft rejections it has."""
+    hits = match(scored, shown).groupBy("request_id").agg(F.max(F.when(F.col("rank") == 1, F.col("factor_id"))).alias("selected"), (F.count("*") - 1).alias("alternatives"))
+    soft = rejected(scored).groupBy("request_id").agg(F.count("*").alias("rejected"))
+    out = requests.select("request_id").join(hits, "request_id", "left").join(soft, "request_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("request_id", F.when(F.col("selected").isNull(), "no_calculation_eligible_candidate").otherwise("matched").alias("status"), "selected", zero("alternatives"), zero("rejected"))

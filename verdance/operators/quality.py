@@ -80,3 +80,38 @@ def record_invariants(checksum: Column, row: Column, identifier: Column) -> Colu
     """Names of the invariants that a parsed record breaks."""
     broken = F.array(F.when(~checksum.rlike("^[0-9a-f]{64}$"), "checksum"), F.when(row < 1, "row"), F.when((F.trim(identifier) == "") | identifier.rlike(r"\p{Cntrl}"), "identifier"))
     return F.filter(broken, lambda b: b.isNotNull())
+
+
+def role_findings(rows: DataFrame) -> DataFrame:
+    """factor_id, rule, severity of the geographies (structs of role, level, code) of factors against
+    their origin (struct) and applicable codes (array): missing ones, repeated roles, and roles that differ from what is declared."""
+    role = lambda name: F.transform(F.filter("geographies", lambda g: g["role"] == name), lambda g: g["code"])
+    origin, applicable = role("origin"), role("applicable")
+    declared = F.coalesce("applicable_codes", F.array().cast("array<string>"))
+    rules = [
+        _finding(F.col("origin_code").isNull(), "geography.origin_missing", "REVIEW"),
+        _finding(F.size(declared) == 0, "geography.applicability_missing", "REVIEW"),
+        _finding((F.size(origin) != F.size(F.array_distinct(origin))) | (F.size(applicable) != F.size(F.array_distinct(applicable))), "geography.role_duplicate", "FAIL"),
+        _finding(F.array_distinct(origin) != F.filter(F.array("origin_code"), lambda c: c.isNotNull()), "geography.origin_role_mismatch", "FAIL"),
+        _finding(F.array_sort(F.array_distinct(applicable)) != F.array_sort(F.array_distinct(declared)), "geography.applicability_role_mismatch", "FAIL"),
+    ]
+    each = rows.select("factor_id", F.explode(F.filter(F.array(*rules), lambda f: f.isNotNull())).alias("_f"))
+    return each.select("factor_id", "_f.rule", "_f.severity")
+
+
+def contract_findings(rows: DataFrame, key: str, required: list[str], decimals: list[str], valid: Column) -> DataFrame:
+    """key, rule of each broken contract of parsed rows: a required field that is blank, a number that
+    isn't a decimal with a comma or point, and a valid key that stands in several rows."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    rules = [F.when(blank(F.col(c)), f"required:{c}") for c in required]
+    rules += [F.when(~blank(F.col(c)) & ~F.trim(F.col(c)).rlike(r"^[+-]?[0-9]+(?:[.,][0-9]+)?(?:[eE][+-]?[0-9]+)?$"), f"decimal:{c}") for c in decimals]
+    own = rows.select(key, F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("rule"))
+    repeated = rows.where(valid).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.lit("repeated_id").alias("rule"))
+    return own.unionByName(repeated)
+
+
+def schema_for(rows: DataFrame, year: str, schemas: DataFrame) -> DataFrame:
+    """rows with schema: the name of the schema (name, start_year, end_year) that covers a row's year,
+    of several the one that starts last, null where none does. Schemas are spread over their years, so the join is on equal years."""
+    spread = schemas.select("name", "start_year", F.explode(F.sequence("start_year", "end_year")).alias("_year")).groupBy("_year").agg(F.max_by("name", F.struct("start_year", "name")).alias("schema"))
+    return rows.join(spread, F.col(year) == F.col("_year"), "left").drop("_year")

@@ -194,3 +194,28 @@ def fallback_policy(spark: SparkSession, profiles: list[str]) -> DataFrame:
     """profile, country, family, tier, rank, proxy, requires_acceptance: every combination of the policy's registries."""
     rows = [(p, c, f.code, t, k, proxy, proxy) for p in profiles for c in ("*", *sorted(AUTHORITY_BY_COUNTRY)) for f in families() for k, (t, proxy) in enumerate(TIERS)]
     return spark.createDataFrame(rows, "profile string, country string, family string, tier string, rank int, proxy boolean, requires_acceptance boolean")
+
+
+#: Families whose candidates are narrowed by their classification or their words.
+NARROWED = ["air_travel", "purchased_services", "refrigerants", "waste"]
+
+
+def recommendation_candidates(requests: DataFrame, factors: DataFrame, closed: DataFrame, keep: int = 2_000) -> DataFrame:
+    """request_id, factor_id, position: a request's candidates of its family (applicable factors) in the codes of its
+    country's chain; in some families those of a hinted classification, or, without hints, those whose
+    name holds one of its words. Of each logical id the version nearest to the year stays; the first keep by specificity, year and id are the list.
+
+    Requests with equal family, country, words, hints and year ask once.
+    """
+    c = F.col
+    kinds = ["want_family", "country", "tokens", "hints", "year"]
+    asked = requests.select(*kinds).distinct().withColumn("_kind", F.xxhash64(*kinds))
+    pairs = asked.join(closed, c("country") == c("requested")).join(factors, (c("want_family") == c("family")) & (c("candidate") == c("geo_code")))
+    hinted = F.exists("hints", lambda h: F.startswith(F.lower("taxonomy_code"), F.lower(h)))
+    worded = F.exists("tokens", lambda t: F.contains(F.lower("name"), t)) | (F.size("tokens") == 0)
+    pairs = pairs.where(~c("want_family").isin(*NARROWED) | F.when(F.size("hints") > 0, hinted).otherwise(worded))
+    apart = F.when(c("year").isNull() | c("reference_year").isNull(), F.lit(0)).otherwise(F.abs(c("year") - c("reference_year")))
+    nearest = F.min_by(F.struct("factor_id", "specificity", "reference_year"), F.struct(apart.alias("a"), (-F.coalesce("reference_year", F.lit(0))).alias("y"), c("factor_id")))
+    one = pairs.groupBy("_kind", "logical_id").agg(nearest.alias("f"))
+    listed = ranked(one.select("_kind", "logical_id", "f.*"), [c("specificity").desc(), c("reference_year").desc_nulls_last(), c("logical_id")], keep, "_kind")
+    return requests.withColumn("_kind", F.xxhash64(*kinds)).select("request_id", "_kind").join(listed, "_kind").select("request_id", "factor_id", c("rank").alias("position"))

@@ -115,3 +115,27 @@ def changed_sources(checks: DataFrame, ledger: DataFrame) -> DataFrame:
     """checks with outcome changed or no_change against each source's latest revision."""
     last = ledger.groupBy("source_code").agg(F.max_by("revision", "created_at").alias("_last"))
     return checks.join(last, "source_code", "left").withColumn("outcome", F.when(F.col("revision").eqNullSafe(F.col("_last")), "no_change").otherwise("changed")).drop("_last")
+
+
+def seeded(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """A registry after seeding: keys of both, attributes of the new rows where there are some,
+    those stamped with the version; a key that new rows repeat is an error."""
+    w = Window.partitionBy(*keys)
+    marked = new.withColumn("_n", F.count("*").over(w))
+    first = marked.withColumn(keys[0], F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.to_json(F.struct(*keys))))).otherwise(F.col(keys[0]))).drop("_n")
+    kept = old.join(new.select(*keys), keys, "left_anti")
+    return kept.unionByName(first.withColumn("registry_version", F.lit(version)))
+
+
+def latest_versions(versions: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """Of each dataset the version of the latest release year, then publication, then effect, missing ones last."""
+    last = lambda c: F.struct(F.col(c).isNotNull().alias("known"), F.col(c).alias("value"))
+    order = F.struct(*(last(c).alias(c) for c in ("release_year", "published_at", "effective_at")), "version")
+    return versions.groupBy(dataset).agg(F.max_by("version", order).alias("version"))
+
+
+def semantic_revision(rows: DataFrame, key: str, volatile: list[str]) -> DataFrame:
+    """key, n, revision: a digest of each source's data whatever its order, without volatile columns."""
+    columns = sorted(c for c in rows.columns if c not in (key, *volatile))
+    hashed = F.xxhash64(F.to_json(F.struct(*columns))).cast("decimal(38,0)")
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(hashed).cast("string").alias("revision"))

@@ -195,3 +195,16 @@ def validity_slices(rows: DataFrame, keys: list[str], year: str, value: str) ->
     run = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
     out = run.groupBy(*keys, "_run").agg(F.first(value).alias(value), F.min(year).alias("a"), F.max(year).alias("b"))
     return out.select(*keys, value, F.make_date("a", F.lit(1), F.lit(1)).alias("valid_from"), F.make_date(F.col("b") + 1, F.lit(1), F.lit(1)).alias("valid_to"))
+
+
+def grid_intensity(rows: DataFrame, value: str) -> DataFrame:
+    """Grams per kWh of grids as kg per kWh; a negative one is a reference value, a missing one no row."""
+    known = rows.where(F.col(value).isNotNull())
+    return known.withColumns({"factor_value": F.col(value) / 1000, "factor_unit": F.lit("kgCO2e/kWh"), "factor_value_kind": F.when(F.col(value) < 0, "reference_value").otherwise("co2e_total")})
+
+
+def value_types(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """rows once for each value that they state: connection_level and factor_value, by column."""
+    each = F.array(*(F.struct(F.lit(level).alias("connection_level"), F.col(c).alias("factor_value")) for level, c in columns.items()))
+    kept = [c for c in rows.columns if c not in columns.values()]
+    return rows.select(*kept, F.inline(F.filter(each, lambda x: x["factor_value"].isNotNull())))
