@@ -9,11 +9,13 @@ from verdance.functions import policy as Y
 from verdance.functions import scores
 from verdance.functions import units as U
 from verdance.operators import catalog as C
+from verdance.operators import geography as G
 from verdance.operators import index as I
 from verdance.operators import labels as L
 from verdance.operators import matching as M
 from verdance.operators import recommend as R
 from verdance.operators import search as E
+from verdance.operators import versioning as V
 from verdance.registries import families
 from verdance.sources import contracts as S
 from verdance.sources import normalizers as N
@@ -154,3 +156,28 @@ def test_links_of_list_items(spark):
     page = "<ul><li><a href=\"/a\">One</a></li><LI class=x>\n<a class='y' href='/b?c=1'>Two <b>words</b>\n</a> more</LI><li>none</li><li><a name=z>Three</a></li><li><a href=/d>Four</a></li></ul>"
     rows = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id int, html string")
     assert [tuple(r) for r in S.html_list_items(rows).orderBy("position").collect()] == [(1, 0, "/a", "One"), (1, 1, "/b?c=1", "Two words"), (1, 2, None, "Three"), (1, 3, "/d", "Four")]
+
+
+def test_registries_and_revisions(spark):
+    old = spark.createDataFrame([("a", 1, "1"), ("b", 2, "1")], "k string, v int, registry_version string")
+    new = spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int")
+    assert sorted(map(tuple, V.seeded(old, new, ["k"], "2").collect())) == [("a", 1, "1"), ("b", 3, "2"), ("c", 4, "2")]
+    with pytest.raises(Exception, match="repeated key"):
+        V.seeded(old, new.unionAll(new), ["k"], "2").collect()
+    rows = spark.createDataFrame([("s", 1, "x"), ("s", 2, "y"), ("t", 1, "x")], "source string, v int, fetched string")
+    again = rows.withColumn("fetched", F.lit("later")).orderBy(F.desc("v"))
+    revision = lambda frame: sorted(map(tuple, V.semantic_revision(frame, "source", ["fetched"]).collect()))
+    assert revision(rows) == revision(again) != revision(rows.withColumn("v", F.col("v") + 1))
+
+
+def test_units_are_known_or_errors(spark):
+    rows = spark.createDataFrame([(" Litres ",), ("GJ",)], "u string")
+    assert [r["unit_code"] for r in U.known_units(rows, "u").collect()] == ["l", "GJ"]
+    with pytest.raises(Exception, match="unknown unit: furlong"):
+        U.known_units(spark.createDataFrame([("furlong",)], "u string"), "u").collect()
+
+
+def test_fits_are_evaluated(spark):
+    rows = spark.createDataFrame([(0, "country_specific"), (2, "global"), (None, "regional")], "depth int, fit string")
+    got = [(r["eligible"], r["exact"], r["geographic_score"], r["geography_warning"]) for r in G.evaluated_fit(rows).collect()]
+    assert got == [(True, True, 100, None), (True, False, 50, "geography_fallback"), (False, False, 0, "geography_not_covered")]

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdance.functions import policy as Y
 from verdance.functions import units as U
 from verdance.operators import geography as G
 from verdance.operators import matching as M
 from verdance.operators import quality as Q
+from verdance.operators import search as E
 from verdance.operators import versioning as V
 from verdance.plans.catalogue import ACT_SQL, CHAIN_SQL, FV_SQL, activities, factor_versions, geography_tree, table
-from verdance.plans.policy_queries import _APPLICABLE_SQL, _factors
-from verdance.plans.queries import _PAIRS_SQL, _match_pairs, query
+from verdance.plans.policy_queries import _APPLICABLE_SQL, _REQUESTS_SQL, _factors, _requests
+from verdance.plans.queries import _PAIRS_SQL, _TRIGRAM_SQL, _match_pairs, query
 from verdance.registries import FIT_SCORES, families
 from verdance.sources import normalizers as N
 
@@ -129,3 +131,43 @@ def contract_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 700).alias("id"), F.when(size % 5 != 0, F.col("p_name")).otherwise(" ").alias("name"), F.when(size % 7 == 0, "1 to 2").otherwise(F.concat(size.cast("string"), F.lit(",5"))).alias("total"), "p_size")
     return Q.contract_findings(rows, "id", ["name"], ["total"], size % 2 == 0)
+
+
+_NAME_GRAMS = _TRIGRAM_SQL.format(c="name")
+
+
+@query(
+    f"""WITH i AS (SELECT name, w, {_NAME_GRAMS} AS g FROM (SELECT DISTINCT lower(p_name) AS name, string_split(lower(p_name), ' ') AS w FROM part)), q AS (SELECT * FROM i WHERE name IN (SELECT lower(p_name) FROM part WHERE p_partkey % 50 = 0)),
+s AS (SELECT q.name AS query_id, i.name AS item_id, greatest(CASE WHEN (contains(q.name, i.name) OR contains(i.name, q.name)) AND list_has_any(q.w, i.w) THEN 1.0 ELSE 0 END, CASE WHEN list_has_all(i.w, q.w) THEN 0.9 ELSE 0 END,
+  CASE WHEN len(list_intersect(q.g, i.g)) / (len(q.g) + len(i.g) - len(list_intersect(q.g, i.g))) >= 0.3 THEN len(list_intersect(q.g, i.g)) / (len(q.g) + len(i.g) - len(list_intersect(q.g, i.g))) ELSE 0 END) AS score FROM q, i),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS n FROM s WHERE score > 0) SELECT query_id, item_id, round(CAST(score AS DOUBLE), 9) AS score FROM r WHERE n <= 5"""
+)
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of the parts whose key is divisible by 50, among all names: the best of concept, full text and trigram scores."""
+    part = table(spark, sf_dir, "part")
+    items = part.select(F.lower("p_name").alias("item_id")).distinct().withColumn("text", F.col("item_id"))
+    queries = part.where("p_partkey % 50 = 0").select(F.lower("p_name").alias("query_id")).distinct().withColumn("query", F.col("query_id"))
+    labels = items.select(F.col("text").alias("label"), F.col("text").alias("position"), F.col("text").alias("concept"))
+    concept = M.concept_matches(queries, labels).where("confidence >= 85").select("query_id", F.col("concept").alias("item_id"), F.lit(1.0).alias("score"))
+    text = M.full_text_candidates(queries, items).select("query_id", "item_id", F.lit(0.9).alias("score"))
+    grams = M.trigram_candidates(queries, items, 0.3).select("query_id", "item_id", F.col("similarity").alias("score"))
+    best = M.ranked(M.fused(concept, text, grams), [F.col("score").desc(), F.col("item_id")], 5, "query_id")
+    return best.select("query_id", "item_id", F.round("score", 9).alias("score"))
+
+
+@query(
+    f"""WITH {_APPLICABLE_SQL}, {_REQUESTS_SQL}, {CHAIN_SQL}, k AS (SELECT DISTINCT wf, country, text, needle FROM rx WHERE wf <> 'unknown'),
+p AS (SELECT wf, country, text, factor_id, logical_id, fx.reference_year AS y, CASE fit WHEN 'country_specific' THEN 3 WHEN 'regional' THEN 2 ELSE 0 END AS sp FROM k JOIN chain ON country = requested JOIN fx ON family = wf AND geo_code = candidate
+  WHERE wf NOT IN ('air_travel', 'purchased_services', 'refrigerants', 'waste') OR CASE WHEN wf = 'purchased_services' THEN false ELSE len(list_filter(string_split(k.needle, ' '), lambda t: len(t) >= 3 AND contains(lower(fx.name), t))) > 0 END),
+o AS (SELECT wf, country, text, logical_id, arg_min(factor_id, (-y, factor_id)) AS factor_id, arg_min(y, (-y, factor_id)) AS y, arg_min(sp, (-y, factor_id)) AS sp FROM p GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY wf, country, text ORDER BY sp DESC, y DESC, logical_id) AS position FROM o)
+SELECT request_id, factor_id, CAST(position AS INTEGER) AS position FROM rx JOIN r USING (wf, country, text) WHERE position <= 3"""
+)
+def recommendation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each request the first candidates of its family that its country's chain reaches."""
+    asked = E.intents(_requests(spark, sf_dir)).where("want_family <> 'unknown'").withColumn("plain", Y.plain_form(F.col("text")))
+    hints = Y.classification_hints(F.col("want_family"), F.col("plain"), F.create_map().cast("map<string,string>"))
+    asked = asked.select("request_id", "want_family", "country", F.filter(F.split("plain", " "), lambda t: F.length(t) >= 3).alias("tokens"), hints.alias("hints"), F.lit(None).cast("int").alias("year"))
+    factors = _factors(spark, sf_dir).withColumn("specificity", F.when(F.col("fit") == "country_specific", 3).when(F.col("fit") == "regional", 2).otherwise(0))
+    closed = F.broadcast(G.closure(spark, geography_tree(spark, sf_dir), max_depth=3).select("requested", "candidate"))
+    return E.recommendation_candidates(asked, factors, closed, keep=3)
