@@ -12,13 +12,14 @@ from html import unescape
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from verdance.llm import decontamination, html_content, line_templates, near_duplicates, piece_codec, quality_rules, registry, secret_scan, token_files, toxicity, url_lists
+from verdance.llm import common, decontamination, html_content, line_templates, near_duplicates, piece_codec, quality_rules, registry, secret_scan, token_files, toxicity, url_lists
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, kept int, words string, key string, at string, spans string"
@@ -490,3 +491,28 @@ def test_bad_hosts_go(spark):
     rows = spark.createDataFrame([(i, t, "bad" if i < 41 or i == 50 else "fine") for i, t in docs], "doc_id long, text string, source string")
     got = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(rows).collect()}
     assert got[50] is False and got[60] is True
+
+
+def test_batches_are_bounded(spark):
+    rows = spark.range(1500, numPartitions=1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "m": [b.nbytes]}) for b in batches)
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    for given, most in (("64m", 4 << 20), ("1m", 1 << 20)):
+        spark.conf.set(keys[1], given)
+        got = common.in_arrow(rows, sizes, "n long, m long").collect()
+        assert sum(r["n"] for r in got) == 1500 and max(r["m"] for r in got) < most + 50_000
+    for k, value in zip(keys, before, strict=True):
+        spark.conf.set(k, value)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            found = {"spark.master": "spark://host:7077"}
+            get = staticmethod(lambda key, default=None: Session.conf.found.get(key, default))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+    Session.conf.found["spark.checkpoint.dir"] = "s3a://bucket/checkpoints/"
+    assert common.shared_dir(Session) == "s3a://bucket/checkpoints"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -87,11 +88,8 @@ def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     """
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        try:
-            given = int(conf.get(key))
-        except (TypeError, ValueError):
-            given = 0
-        if not 0 < given <= most:
+        given = re.fullmatch(r"([0-9]+)([kmg]?)b?", conf.get(key).lower())
+        if not given or not 0 < int(given[1]) * 1024 ** " kmg".index(given[2] or " ") <= most:
             conf.set(key, str(most))
 
     def freed(batches):
