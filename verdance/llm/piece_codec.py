@@ -40,7 +40,7 @@ from .common import in_arrow, table
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of remembered parts (those of late, and as many older ones) and of pairs in one Python worker, and the longest such part.
-PARTS, PAIRS, PART_LENGTH = 32 << 20, 32 << 20, 48
+PARTS, PAIRS, PART_LENGTH = 96 << 20, 96 << 20, 48
 #: What an entry takes beside its characters and ids.
 ENTRY = 280
 
