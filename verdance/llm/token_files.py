@@ -44,7 +44,7 @@ VOCABULARY = "byte_bpe_50k.json"
 SEQUENCE, BATCH = 2048, 128
 END_ID = 0
 #: Bytes of remembered words in one Python worker, and of as many older ones; what a word takes beside its letters and ids.
-KNOWN, ENTRY = 32 << 20, 200
+KNOWN, ENTRY = 96 << 20, 200
 
 
 def _byte_letters() -> dict[int, str]:
