@@ -40,9 +40,9 @@ from .common import in_arrow, table
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of remembered parts (those of late, and as many older ones) and of pairs in one Python worker, and the longest such part.
-PARTS, PAIRS, PART_LENGTH = 96 << 20, 96 << 20, 48
-#: What an entry takes beside its characters and ids.
-ENTRY = 280
+PARTS, PAIRS, PART_LENGTH = 96 << 20, 160 << 20, 48
+#: What an entry takes beside its characters and ids; a pair's pieces are the vocabulary's own strings.
+ENTRY, PAIR_ENTRY = 280, 180
 
 
 class PieceEncoder:
@@ -89,7 +89,7 @@ class PieceEncoder:
         """Whether the pair encodes its own concatenation; left may be empty."""
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) >= PAIRS // ENTRY:
+            if len(self.pairs) >= PAIRS // PAIR_ENTRY:
                 self.pairs.clear()
             found = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return found
