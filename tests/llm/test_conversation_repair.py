@@ -154,3 +154,15 @@ def _written(spark, tmp_path, rows):
     at = tmp_path / "dropped"
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(at / "conversations.parquet"))
     return str(at)
+
+
+def test_short_patterns():
+    """align() against the folded states, which take all lengths at once."""
+    for size in range(7):
+        for pattern in itertools.product("uasxU-" if size < 6 else "uas-", repeat=size):
+            costs = [cr.np.array(cr.ENDED, cr.np.int64)]
+            for kind in reversed(pattern):
+                costs.append(cr._before(kind, 0, costs[-1]))
+            costs.reverse()
+            audit, _ = cr._block_audit(list(pattern), [0] * size, costs, cr.START, True)
+            assert cr.align("".join(pattern)) == (costs[0][cr.START], audit)

@@ -132,6 +132,7 @@ def align(pattern: str) -> tuple[int, str]:
             changed[at - low :] = rest[i + 1, at - 1 : high - 1] + more + np.where(keeps, KEEP, REROLE)
             cost = np.minimum(cost, changed)
         rest[i, low:high] = np.minimum.accumulate(cost - steps[low:high]) + steps[low:high]
+        low, high = max(0, low - 1), max(1, high - 1)  # with the s, a symbol more is left
         first[i, low:high] = first[i + 1, low:high] + DELETE
         if kind in "sS":
             first[i, low:high] = np.minimum(first[i, low:high], rest[i + 1, low:high] + TRUNCATED * kind.isupper())
