@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, decontamination, html_content, line_templates, near_duplicates, phrases, piece_codec, quality_rules, secret_scan, token_files, toxicity, url_lists
+from . import conversation_repair, decontamination, html_content, line_templates, near_duplicates, personal_data, phrases, piece_codec, quality_rules, secret_scan, token_files, toxicity, url_lists
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_content": html_content.op8_html_content,
         "op9_token_files": token_files.op9_token_files,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_personal_data": personal_data.op11_personal_data,
         "op12_phrases": phrases.op12_phrases,
         "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     }
