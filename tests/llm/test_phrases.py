@@ -71,10 +71,13 @@ def test_hashes_are_sparks(spark):
 
 
 def test_bitmap(spark):
-    rows = spark.createDataFrame([("en", f"w{i}".encode()) for i in range(500)], "lang string, phrase binary")
+    rows = spark.createDataFrame([("en", f"w{i}".encode(), 1) for i in range(500)], "lang string, phrase binary, size int")
     found = phrases.bitmap(rows)
     assert found.holds(phrases._hashes([f"w{i}".encode() for i in range(500)], b"en")).all()
     assert found.holds(phrases._hashes([f"v{i}".encode() for i in range(5_000)], b"en")).mean() < 0.01
+    pairs = phrases.bitmap(spark.createDataFrame([("en", f"w{i} é{i + 1}".encode(), 2) for i in range(500)], "lang string, phrase binary, size int"))
+    mixed = phrases._mixed(phrases._hashes([f"w{i}".encode() for i in range(500)], b"en"), phrases._hashes([f"é{i + 1}".encode() for i in range(500)], b"en"))
+    assert pairs.holds(mixed).all() and pairs.holds(mixed[::-1] + phrases.np.uint64(1)).mean() < 0.01
 
 
 def test_empty_table(spark, tmp_path):

@@ -1,15 +1,15 @@
 """Phrase collocations by Toivonen's sampling: a sample proposes, a full pass
 counts what it proposes and its negative border, failures of the border open
-further passes.
+a further pass.
 
 The sample's frequent words and pairs become two bitmaps of fixed size. A full
 pass counts every word, every pair of two words of the first bitmap and every
 triple of two pairs of the second one; those that aren't frequent in the
 sample are the negative border. Where a word or pair outside the bitmaps turns
 out frequent, the bitmaps are made anew from the exact counts, and a further
-pass counts what they let in and no earlier pass has counted. No phrase can be
-frequent whose parts aren't, so at most two further passes close the search. A
-bitmap may let in phrases too many, never too few: they are counted exactly
+pass counts what they let in and the first pass hasn't counted. Triples may
+then also hold pairs that this pass counts itself, so that it closes the
+search: no phrase is frequent whose parts aren't. A bitmap may let in phrases too many, never too few: they are counted exactly
 like all others. Counts are added up in tasks, then by partial aggregates, so
 one phrase may hold any share of the words.
 
@@ -38,11 +38,12 @@ SAMPLE_ONE_IN, SAMPLE_COUNT = 4, 2
 #: Bits of a bitmap for each phrase in it, and their bounds: 128 KB to 32 MB.
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 #: Words that a worker gathers before it counts, and bytes of words it remembers meanwhile.
-BUFFER_WORDS, WORD_BYTES = 3_000_000, 64 << 20
+BUFFER_WORDS, WORD_BYTES = 2_000_000, 64 << 20
 #: Counts of parts are broadcast up to so many phrases, else each is dealt out over SALTS tasks.
 BROADCAST_PARTS, SALTS = 200_000, 16
 
-_SIGNS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
+#: Breaks become points, which no word holds.
+_SIGNS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
 _BREAK = -1
 
 
@@ -58,12 +59,12 @@ class Bitmap:
 
 
 def bitmap(phrases: DataFrame) -> Bitmap:
-    """A bitmap of the (lang, phrase) rows, put together from 4 KB pieces."""
+    """A bitmap of (lang, phrase, size) rows of one size, put together from 4 KB pieces."""
     bits = LEAST_BITS
     many = phrases.count()
     while bits < MOST_BITS and bits < many * BITS_EACH:
         bits *= 2
-    at = F.xxhash64("lang", "phrase").bitwiseAND(F.lit(bits - 1))
+    at = _hash().bitwiseAND(F.lit(bits - 1))
     pieces = phrases.select(F.floor(at / 32768).alias("piece"), (at % 32768).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
     for piece, held in pieces.toLocalIterator():
@@ -71,6 +72,13 @@ def bitmap(phrases: DataFrame) -> Bitmap:
     return Bitmap(out)
 
 
+def _hash() -> Column:
+    """As the hash of a word in tasks; a pair's is mixed from its words'."""
+    first, second = (F.xxhash64("lang", F.split_part(F.col("phrase").cast("string"), F.lit(" "), F.lit(i)).cast("binary")) for i in (1, 2))
+    mixed = first.bitwiseXOR(F.shiftleft(second, 23).bitwiseOR(F.shiftrightunsigned(second, 41)))
+    return F.when(F.col("size") == 1, F.xxhash64("lang", "phrase")).otherwise(mixed)
+
+
 class Vocabulary(dict):
     """Ids of words in the order in which they came."""
 
@@ -88,8 +96,7 @@ class Vocabulary(dict):
 
 def pieces_of(text: str, known: Vocabulary) -> np.ndarray:
     """Ids of a text's words, with breaks between its pieces."""
-    raw = text.encode("utf-8", "surrogatepass").lower().translate(_SIGNS).replace(b"\n", b" \n ")
-    found = [w for w in raw.split(b" ") if w]
+    found = text.encode("utf-8", "surrogatepass").lower().translate(_SIGNS).replace(b".", b" . ").split()
     return np.fromiter(map(known.__getitem__, found), np.int32, len(found))
 
 
@@ -103,57 +110,63 @@ def _joined(words: pa.Array, *ids: np.ndarray) -> pa.Array:
     return pc.binary_join_element_wise(*(words.take(pa.array(i)) for i in ids), pa.scalar(b" ", pa.large_binary()))
 
 
-def _counted(lang: str, ids: np.ndarray, words: pa.Array, now, earlier: list, with_words: bool) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """Phrases and counts of a buffer: those that `now` lets in and nothing earlier has let in.
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The hash of a pair from those of its words."""
+    return first ^ (second << np.uint64(23) | second >> np.uint64(41))
+
+
+def _counted(lang: str, ids: np.ndarray, words: pa.Array, now, earlier, with_words: bool) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Phrases and counts of a buffer.
 
-    `now` and `earlier` are (words, pairs) bitmaps; None lets all pairs in and no triple.
+    `now` and `earlier` are (words, pairs) bitmaps. Without `now`, all pairs
+    count and no triple. Without `earlier`, pairs of two words of `now` and
+    triples of two pairs of `now` do. With it, of these only those that it
+    doesn't let in, and triples of such new pairs.
     """
-    many, code = len(words), lang.encode()
+    many = len(words)
     counts = np.bincount(ids[ids >= 0], minlength=many)
     present = np.flatnonzero(counts)
     if with_words:
         yield words.take(pa.array(present)), counts[present]
         yield pa.array([b""], pa.large_binary()), np.array([counts.sum()])
-    hashed = np.zeros(many, np.uint64)
-    hashed[present] = _hashes(words.take(pa.array(present)).to_pylist(), code)
-
-    def let(filters) -> np.ndarray:
-        allowed = np.zeros(many + 1, bool)  # the last one stands for breaks
-        allowed[:-1] = True if filters is None else filters[0].holds(hashed)
-        return allowed
-
-    words_now, words_before = let(now), [let(f) for f in earlier]
-    whole = (ids[:-1] >= 0) & (ids[1:] >= 0)
-    at = np.flatnonzero(whole & words_now[ids[:-1]] & words_now[ids[1:]])
-    pairs, which, counts = np.unique(ids[at].astype(np.int64) * many + ids[at + 1], return_inverse=True, return_counts=True)
-    left, right = pairs // many, pairs % many
-    before = [w[left] & w[right] for w in words_before]
-    fresh = ~np.logical_or.reduce(before) if before else np.ones(len(pairs), bool)
-    yield _joined(words, left[fresh], right[fresh]), counts[fresh]
-    if now is None or not len(pairs):
+    hashed = np.zeros(many + 1, np.uint64)  # the last one stands for breaks
+    if now is not None:
+        hashed[present] = _hashes(words.take(pa.array(present)).to_pylist(), lang.encode())
+
+    def word_pairs(filters) -> np.ndarray:
+        known = np.zeros(many + 1, bool)
+        known[:-1] = True if filters is None else filters[0].holds(hashed[:-1])
+        each = known[ids]
+        return each[:-1] & each[1:]
+
+    let = word_pairs(now)
+    old = np.zeros(len(let), bool) if earlier is None else word_pairs(earlier)
+    fresh = np.flatnonzero(let & ~old)
+    pairs, counts = np.unique(ids[fresh].astype(np.int64) * many + ids[fresh + 1], return_counts=True)
+    yield _joined(words, pairs // many, pairs % many), counts
+    if now is None:
         return
-    hashed = _hashes(_joined(words, left, right).to_pylist(), code)
-    pair_now, pair_before = now[1].holds(hashed), [b & f[1].holds(hashed) for b, f in zip(before, earlier, strict=True)]
-    placed = np.full(len(ids), -1, np.int64)
-    placed[at] = which
-    first, second = placed[:-2], placed[1:-1]
-    at = np.flatnonzero((first >= 0) & (second >= 0))
-    at = at[pair_now[first[at]] & pair_now[second[at]]]
-    for p in pair_before:
-        at = at[~(p[first[at]] & p[second[at]])]
-    triples, counts = np.unique(first[at] * many + ids[at + 2], return_counts=True)
-    first, last = triples // many, triples % many
-    yield _joined(words, left[first], right[first], last), counts
-
-
-def _pass(docs: DataFrame, now, earlier: list, with_words: bool) -> DataFrame:
+    at = np.flatnonzero(let[:-1] & let[1:])
+    both = np.flatnonzero(let)
+    mixed, known, counted = _mixed(hashed[ids[both]], hashed[ids[both + 1]]), np.zeros(len(let), bool), np.zeros(len(let), bool)
+    known[both] = now[1].holds(mixed)
+    if earlier is not None:
+        known |= let & ~old
+        counted[both] = earlier[1].holds(mixed)
+        counted &= old
+    at = at[known[at] & known[at + 1] & ~(counted[at] & counted[at + 1])]
+    triples, counts = np.unique((ids[at].astype(np.int64) * many + ids[at + 1]) * many + ids[at + 2], return_counts=True)
+    yield _joined(words, triples // many // many, triples // many % many, triples % many), counts
+
+
+def _pass(docs: DataFrame, now, earlier, with_words: bool) -> DataFrame:
     """lang, phrase and count of all that one pass over docs counts."""
     held = docs.sparkSession.sparkContext.broadcast((now, earlier))
 
     def function(batches):
         now, earlier = held.value
         known, buffers, size = Vocabulary(), {}, 0
-        mark = known[b"\n"]
+        mark = known[b"."]
 
         def counted():
             words = pa.array(known.words, pa.large_binary())
@@ -173,7 +186,7 @@ def _pass(docs: DataFrame, now, earlier: list, with_words: bool) -> DataFrame:
                 if size >= BUFFER_WORDS or known.held >= WORD_BYTES:
                     yield from counted()
                     known, buffers, size = Vocabulary(), {}, 0
-                    mark = known[b"\n"]
+                    mark = known[b"."]
         yield from counted()
 
     rows = in_arrow(docs.select("text", "lang"), function, "lang string, phrase binary, n bigint")
@@ -191,25 +204,17 @@ def frequent(docs: DataFrame, least: int = MIN_COUNT) -> tuple[DataFrame, DataFr
     spark = docs.sparkSession
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_ONE_IN)) == 0)
-    proposed = _pass(sample, None, [], True).where((F.col("n") >= SAMPLE_COUNT) & (F.length("phrase") > 0))
+    proposed = _pass(sample, None, None, True).where((F.col("n") >= SAMPLE_COUNT) & (F.length("phrase") > 0))
     proposed, sample_at = stored(proposed.withColumn("size", _size(F.col("phrase"))), "phrases-sample")
     filters = tuple(bitmap(proposed.where(F.col("size") == size)) for size in (1, 2))
     remove(spark, sample_at)
-    earlier, found, totals = [], None, None
-    while True:
-        counted = _pass(docs, filters, earlier, not earlier).where((F.col("n") >= least) | (F.length("phrase") == 0))
-        counted, _ = stored(counted.withColumn("size", F.when(F.length("phrase") == 0, 0).otherwise(_size(F.col("phrase")))), "phrases-pass")
-        if totals is None:
-            totals = counted.where("size = 0").select("lang", F.col("n").alias("total"))
-        fresh = counted.where("size > 0")
-        found = fresh if found is None else found.unionByName(fresh)
-        earlier.append(filters)
-        if len(earlier) == 1:
-            if not _outside(fresh, filters):
-                break
-        elif fresh.where("size = 2").isEmpty():
-            break
-        filters = tuple(bitmap(found.where(F.col("size") == size)) for size in (1, 2))
+    counted, _ = stored(_pass(docs, filters, None, True).where((F.col("n") >= least) | (F.length("phrase") == 0)).withColumn("size", _size(F.col("phrase"))), "phrases-pass")
+    totals = counted.where("length(phrase) = 0").select("lang", F.col("n").alias("total"))
+    found = counted.where("length(phrase) > 0")
+    if _outside(found, filters):
+        known = tuple(bitmap(found.where(F.col("size") == size)) for size in (1, 2))
+        more, _ = stored(_pass(docs, known, filters, False).where(F.col("n") >= least).withColumn("size", _size(F.col("phrase"))), "phrases-further")
+        found = found.unionByName(more)
     return found, totals
 
 
@@ -225,7 +230,7 @@ def _outside(phrases: DataFrame, filters: tuple[Bitmap, Bitmap]) -> bool:
                 if missed.any():
                     yield pa.RecordBatch.from_arrays([pa.array([int(missed.sum())])], ["missed"])
 
-    return not in_arrow(phrases.where("size < 3").select(F.xxhash64("lang", "phrase").alias("h"), "size"), function, "missed bigint").isEmpty()
+    return not in_arrow(phrases.where("size < 3").select(_hash().alias("h"), "size"), function, "missed bigint").isEmpty()
 
 
 def scored(docs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
