@@ -6,47 +6,112 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdance.functions import policy as Y
-from verdance.functions.scores import fit_score, unit_score, year_score
-from verdance.functions.text import lexical_score, words_form
+from verdance.functions import units as U
+from verdance.functions.scores import fit_score, not_natural_gas, unit_score, year_score
+from verdance.functions.text import words_form
+from verdance.operators.classes import classes, opened
 from verdance.operators.index import contained
-from verdance.operators.matching import hard_rejected, ranked
+from verdance.operators.matching import ranked
 from verdance.registries import AUTHORITY_BY_COUNTRY, SEARCH_WEIGHTS, TIERS, families
 
 
-def search_scores(pairs: DataFrame) -> DataFrame:
-    """pairs of query and factor with lexical, concept_score and the search score in hundredths.
+#: The columns of a factor that are its text.
+TEXTS = ["name", "description", "taxonomy_code", "activity_type", "concept_code", "application"]
+#: The columns that tell factors of one text apart.
+KINDS = ["geo_code", "fit", "reference_year", "data_quality", "activity_unit", "is_primary", "is_derived"]
 
-    Queries: query, query_concepts (array), year, unit_status. Factors: name,
-    taxonomy_code, activity_type, concept_code, reference_year, data_quality,
-    fit; and reasons, the array of what speaks against calculating with it.
+
+def with_text_id(factors: DataFrame) -> DataFrame:
+    """factors with text_id, a digest of all their texts."""
+    return factors.withColumn("text_id", F.md5(F.to_json(F.array(*(F.coalesce(c, F.lit("\0")) for c in TEXTS)))))
+
+
+def text_scores(asked: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """ask, text_id, lexical, semantic: each pair of found (ask, text_id) scored once.
+
+    asked: ask, query, query_concepts; texts: text_id and TEXTS. The lexical
+    score compares the query with one text joined of name, description,
+    taxonomy and type. A concept counts where the texts hold it, or, if they
+    hold none, where they hold a last part of one. Pairs of natural gas and
+    something else are left out. Normal forms are made once a query and a text.
     """
     c = F.col
-    text = words_form(F.concat_ws(" ", "concept_code", "taxonomy_code", "activity_type", "name"))
-    lexical = F.greatest(*(lexical_score(c("query"), c(x)) for x in ("name", "taxonomy_code", "activity_type", "concept_code")))
-    held = F.exists("query_concepts", lambda q: F.contains(text, words_form(q)))
-    tails = F.transform("query_concepts", lambda q: F.element_at(F.split(q, r"\."), -1))
-    concept = F.when(held | F.arrays_overlap(tails, F.split(text, " ")), 100).otherwise(0)
-    out = pairs.select("*", F.coalesce(lexical, F.lit(0)).alias("lexical"), F.coalesce(concept, F.lit(0)).alias("concept_score"))
+    words = lambda text: F.array_distinct(F.filter(F.split(text, " "), lambda w: w != ""))
+    forms = asked.select(
+        "ask",
+        words_form(c("query")).alias("q"),
+        F.transform("query_concepts", words_form).alias("whole"),
+        F.transform("query_concepts", lambda q: F.element_at(F.split(q, r"\."), -1)).alias("tails"),
+        F.array_contains("query_concepts", F.lit("energy.natural_gas")).alias("gas"),
+    ).withColumn("qw", words(c("q")))
+    known = texts.select(
+        "text_id",
+        words_form(F.concat_ws(" ", "name", "description", "taxonomy_code", "activity_type")).alias("t"),
+        words_form(F.concat_ws(" ", "concept_code", "taxonomy_code", "activity_type", "name")).alias("held"),
+        not_natural_gas(*(words_form(F.coalesce(c(x), F.lit(""))) for x in ("taxonomy_code", "activity_type", "name", "application"))).alias("no_gas"),
+    ).withColumns({"tw": words(c("t")), "hw": words(c("held"))})
+    pairs = found.join(forms, "ask").join(known, "text_id").where(~(c("gas") & c("no_gas")))
+    share = F.bround(80 * F.size(F.array_intersect("qw", "tw")) / F.when(F.size("qw") > 0, F.size("qw")), 0).cast("int")
+    lexical = F.when(c("q") == c("t"), 100).when((c("q") != "") & F.contains("t", "q"), 90).otherwise(F.coalesce(share, F.lit(0)))
+    concept = F.exists("whole", lambda q: F.contains(c("held"), q)) | F.arrays_overlap("tails", "hw")
+    return pairs.select("ask", "text_id", lexical.alias("lexical"), F.when(concept, 100).otherwise(lexical).alias("semantic"))
+
+
+def search(requests: DataFrame, factors: DataFrame, closed: DataFrame, keep: int) -> DataFrame:
+    """The first rows of each request: request_id, factor_id, rank, score (in hundredths), lexical, reasons.
+
+    requests: request_id, query, terms, query_concepts, unit, year, country,
+    allow_conditional. A null country asks for all geographies, a null unit or
+    year for all. factors: those that the profile admits, with factor_id, TEXTS
+    and KINDS. closed: requested, candidate, depth. The nearest geography goes
+    first, then the greatest score, the smallest id. A conditional unit is a
+    reason to ask for a parameter, or, where the profile doesn't allow it,
+    rejects; so does an incompatible one. If a factor shown is derived from the
+    primary source and none of that source is shown, its best one replaces the
+    last, where keep is over one.
+
+    Requests of equal text are scored against distinct texts once, then meet
+    classes of factors (see classes).
+    """
+    c = F.col
+    rows = with_text_id(factors)
+    text_of = rows.groupBy("text_id").agg(*(F.first(x).alias(x) for x in TEXTS))
+    asks = ["query", "terms", "query_concepts"]
+    named = requests.withColumn("ask", F.md5(F.to_json(F.struct(*asks))))
+    asked = named.groupBy("ask").agg(*(F.first(x).alias(x) for x in asks))
+    terms = asked.select(c("ask").alias("request_id"), "terms")
+    found = term_candidates(terms, text_of.withColumnRenamed("text_id", "factor_id")).select(c("request_id").alias("ask"), c("factor_id").alias("text_id"))
+    scores = text_scores(asked, text_of, found)
+    known = classes(rows, ["text_id", *KINDS], "factor_id", keep)
+    anywhere = rows.select(c("geo_code").alias("candidate")).distinct().select(F.lit("*").alias("requested"), "candidate", F.lit(0).alias("depth"))
+    chain = closed.select("requested", "candidate", "depth").unionByName(anywhere)
+    context = named.select("request_id", "ask", "unit", "year", "country", "allow_conditional", F.coalesce("country", F.lit("*")).alias("requested"))
+    pairs = context.join(F.broadcast(chain), "requested").join(scores, "ask").join(known, (scores["text_id"] == known["text_id"]) & (c("candidate") == c("geo_code"))).drop(known["text_id"])
+    pairs = U.conversion_status(pairs, "unit", "activity_unit")
+    pairs = pairs.drop(*(x for x in pairs.columns if x.startswith(("_f_", "_t_")))).withColumn("unit_status", F.when(c("unit").isNotNull(), c("status")))
+    conditional = F.coalesce(c("unit_status") == "conditional_conversion", F.lit(False))
+    pairs = pairs.where(c("unit_status").isNull() | (c("unit_status") == "exact_conversion") | (conditional & c("allow_conditional")))
     parts = {
-        "semantic": F.greatest("lexical", "concept_score"),
-        "context": F.when(F.size("reasons") == 0, 100).otherwise(0),
-        "geography": F.coalesce(fit_score(c("fit")), F.lit(100)),
+        "semantic": c("semantic"),
+        "context": F.lit(100),
+        "geography": F.when(c("country").isNull(), 100).otherwise(fit_score(c("fit"))),
         "year": year_score(c("year"), c("reference_year"), c("data_quality")),
         "unit": unit_score(c("unit_status")),
     }
     total = F.lit(0)
     for name, weight in SEARCH_WEIGHTS.items():
         total = total + weight * parts[name]
-    return out.withColumn("score", total)
-
-
-def search(scored: DataFrame, keep: int, include_ineligible: bool = False, key: str = "query_id") -> DataFrame:
-    """The first rows of each query: calculable ones before others, then the
-    nearest geography, the greatest score, the smallest id. Rows that fail
-    hard are never shown, others with a reason on request only."""
-    shown = scored.where(~hard_rejected(F.col("reasons")))
-    shown = shown if include_ineligible else shown.where(F.size("reasons") == 0)
-    return ranked(shown, [(F.size("reasons") > 0), F.coalesce("fallback_rank", F.lit(0)), F.col("score").desc(), F.col("factor_id")], keep, key)
+    reasons = F.when(conditional, F.array(F.lit("unit_conditional"), F.lit("unit_parameter_required"))).otherwise(F.array().cast("array<string>"))
+    scored = pairs.select("request_id", c("depth").alias("fallback_rank"), total.alias("score"), "lexical", reasons.alias("reasons"), "is_primary", "is_derived", "ids")
+    order = [c("fallback_rank"), c("score").desc()]
+    best = opened(scored, "request_id", order, keep, "factor_id")
+    if keep < 2:
+        return best.drop("fallback_rank", "is_primary", "is_derived")
+    lacking = best.groupBy("request_id").agg(F.max("is_derived").alias("d"), F.max("is_primary").alias("p"), F.max("rank").alias("_last")).where("d and not p").select("request_id", "_last")
+    primary = opened(scored.where("is_primary"), "request_id", order, 1, "factor_id").join(lacking, "request_id")
+    replaced = primary.select("request_id", c("_last").alias("_rank"), F.lit(True).alias("_swap"))
+    kept = best.join(replaced, (best["request_id"] == replaced["request_id"]) & (c("rank") == c("_rank")), "left_anti")
+    return kept.unionByName(primary.withColumn("rank", c("_last")).drop("_last")).drop("fallback_rank", "is_primary", "is_derived")
 
 
 def term_candidates(requests: DataFrame, factors: DataFrame) -> DataFrame:

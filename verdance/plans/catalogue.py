@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(index, values: list[str]):
+def pick(index, values: list[str]):
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
@@ -41,7 +41,7 @@ def factor_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey",
         year,
         (F.col("price") * F.lit("0.001").cast("decimal(4,3)")).alias("factor_value"),
-        _pick(p % 4, UNITS).alias("activity_unit"),
+        pick(p % 4, UNITS).alias("activity_unit"),
         F.col("p_name").alias("name"),
         F.replace(F.lower("p_type"), F.lit(" "), F.lit(".")).alias("taxonomy_code"),
         F.lower("p_brand").alias("activity_type"),
@@ -54,8 +54,8 @@ def factor_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Scope "), (p % 3 + 1).cast("string")).alias("scope"),
         F.when(s % 3 == 0, F.col("n_name")).when(s % 3 == 1, F.col("r_name")).otherwise("GLOBAL").alias("geo_code"),
         F.when(s % 3 == 0, "country_specific").when(s % 3 == 1, "regional").otherwise("global").alias("fit"),
-        _pick(s % 4, ["healthy", "warning", "stale", "failed"]).alias("source_health"),
-        _pick(p % 4, ["official annual statistics", "source derived", "default", "modelled"]).alias("data_quality"),
+        pick(s % 4, ["healthy", "warning", "stale", "failed"]).alias("source_health"),
+        pick(p % 4, ["official annual statistics", "source derived", "default", "modelled"]).alias("data_quality"),
         (p % 11 != 0).alias("published"),
         F.when(year == last, "current").otherwise("superseded").alias("version_status"),
     )
@@ -90,7 +90,7 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.alias("activity"),
         F.col("n_name").alias("country"),
         F.col("o_totalprice").cast("decimal(12,2)").alias("quantity"),
-        _pick(F.col("o_orderkey") % 4, REQUEST_UNITS).alias("unit"),
+        pick(F.col("o_orderkey") % 4, REQUEST_UNITS).alias("unit"),
         F.year("o_orderdate").alias("year"),
         F.when(segment == "BUILDING", "Cradle-to-gate").when(segment == "MACHINERY", "gate-to-gate").alias("boundary"),
         F.when(priority == "1", "GHG Protocol").when(priority == "2", "iso 14064").alias("methodology"),

@@ -10,7 +10,7 @@ from verdance.functions import units as U
 from verdance.operators import catalog as C
 from verdance.operators import geography as G
 from verdance.operators import search as E
-from verdance.plans.catalogue import CHAIN_SQL, FV_SQL, factor_versions, geography_tree, table
+from verdance.plans.catalogue import CHAIN_SQL, FV_SQL, REQUEST_UNITS, factor_versions, geography_tree, pick, table
 from verdance.plans.queries import query
 from verdance.registries import AUTHORITY, families
 
@@ -203,37 +203,47 @@ def spend_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- ranked search
 
-_WORDS = "list_filter(string_split(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> '')"
-
-
-def _lexical_sql(c: str) -> str:
-    t = f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-    return f"CASE WHEN q = {t} THEN 100 WHEN contains({t}, q) THEN 90 ELSE CAST(round_even(80 * len(list_intersect(qw, string_split({t}, ' '))) / len(qw), 0) AS INTEGER) END"
+def _norm_sql(c: str) -> str:
+    return f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
 @query(
-    f"""WITH {FV_SQL}, q AS (SELECT DISTINCT lower(p_name) || ' ' || lower(p_type) AS q FROM part WHERE p_partkey % 50 = 0), qq AS (SELECT q, list_distinct(string_split(q, ' ')) AS qw, string_split(q, ' ')[3] AS concept FROM q),
-f AS (SELECT *, lower(taxonomy_code || chr(10) || activity_type || chr(10) || name) AS ft, {_WORDS.format(c="concept_code || ' ' || taxonomy_code || ' ' || activity_type || ' ' || name")} AS all_words FROM fv WHERE published AND version_status = 'current'),
-s AS (SELECT q, factor_id, CASE WHEN entity_type <> 'emission_factor' OR factor_value_kind <> 'co2e_total' OR intended_use <> 'inventory' THEN 1 ELSE 0 END AS hard,
-  40 * greatest(greatest({_lexical_sql("name")}, {_lexical_sql("taxonomy_code")}, {_lexical_sql("activity_type")}, {_lexical_sql("concept_code")}), CASE WHEN list_contains(all_words, concept) OR contains(array_to_string(all_words, ' '), concept) THEN 100 ELSE 0 END)
-  + 20 * 100 + 20 * CASE fit WHEN 'country_specific' THEN 100 WHEN 'regional' THEN 75 ELSE 50 END
-  + 10 * CASE WHEN abs(1998 - reference_year) <= 2 OR (abs(1998 - reference_year) <= 5 AND data_quality = 'official annual statistics') THEN 100 WHEN abs(1998 - reference_year) = 3 THEN 85 ELSE greatest(0, 70 - 5 * abs(1998 - reference_year)) END
-  + 10 * CASE activity_unit WHEN 'kg' THEN 100 WHEN 'tonne' THEN 100 ELSE 60 END AS score FROM qq JOIN f ON len(list_filter(qw, lambda w: contains(ft, w))) > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, factor_id) AS rank FROM s WHERE hard = 0)
-SELECT p_partkey AS query_id, factor_id, CAST(rank AS INTEGER) AS rank, CAST(score AS BIGINT) AS score FROM part JOIN r ON lower(p_name) || ' ' || lower(p_type) = q WHERE p_partkey % 50 = 0 AND rank <= 5"""
+    f"""WITH {FV_SQL}, {CHAIN_SQL},
+q AS (SELECT p_partkey, lower(p_name) || ' ' || lower(p_type) AS q, lower(p_type) AS concept, CASE p_partkey % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'kg' WHEN 2 THEN 'MJ' ELSE 'm3' END AS unit, CAST(1998 - p_size % 5 AS INTEGER) AS year, n_name AS country, p_size % 3 <> 0 AS allow_conditional
+  FROM part LEFT JOIN nation ON n_nationkey = p_size % 30 WHERE p_partkey % 50 = 0),
+t AS (SELECT *, {_norm_sql("name || ' ' || taxonomy_code || ' ' || activity_type")} AS t, {_norm_sql("concept_code || ' ' || taxonomy_code || ' ' || activity_type || ' ' || name")} AS held, lower(taxonomy_code || chr(10) || activity_type || chr(10) || name) AS ft
+  FROM (SELECT DISTINCT name, taxonomy_code, activity_type, concept_code FROM fv)),
+s AS (SELECT DISTINCT q, concept, name, taxonomy_code, activity_type, concept_code, CASE WHEN contains(held, {_norm_sql("concept")}) OR list_contains(string_split(held, ' '), concept) THEN 100 ELSE lex END AS semantic, lex FROM (
+  SELECT *, CASE WHEN q = t THEN 100 WHEN contains(t, q) THEN 90 ELSE CAST(round_even(80 * len(list_intersect(qw, string_split(t, ' '))) / len(qw), 0) AS INTEGER) END AS lex
+  FROM (SELECT DISTINCT q, concept, list_distinct(string_split(q, ' ')) AS qw FROM q) JOIN t ON len(list_filter(qw, lambda w: contains(ft, w))) > 0)),
+a AS (SELECT p_partkey, factor_id, unit, activity_unit, fit, country, lex, coalesce(depth, 0) AS depth, semantic, year, reference_year, data_quality, allow_conditional, s_primary, s_derived,
+    CASE WHEN (unit IN ('g', 'kg') AND activity_unit IN ('kg', 'tonne')) OR (unit = 'MJ' AND activity_unit = 'kWh') OR (unit = 'm3' AND activity_unit = 'l') THEN 'exact'
+      WHEN (unit IN ('g', 'kg', 'm3') AND activity_unit = 'kWh') OR (unit IN ('g', 'kg') AND activity_unit = 'l') OR (unit = 'm3' AND activity_unit IN ('kg', 'tonne')) THEN 'conditional' ELSE 'incompatible' END AS status
+  FROM q JOIN s USING (q, concept) JOIN (SELECT *, l_suppkey % 9 = 0 AS s_primary, l_suppkey % 2 = 1 AS s_derived FROM fv WHERE published AND version_status = 'current' AND entity_type = 'emission_factor' AND factor_value_kind = 'co2e_total' AND intended_use = 'inventory') f USING (name, taxonomy_code, activity_type, concept_code)
+  LEFT JOIN chain ON country = requested AND geo_code = candidate WHERE country IS NULL OR depth IS NOT NULL),
+b AS (SELECT *, 40 * semantic + 2000 + 20 * CASE WHEN country IS NULL THEN 100 ELSE CASE fit WHEN 'country_specific' THEN 100 WHEN 'regional' THEN 75 ELSE 50 END END
+    + 10 * CASE WHEN abs(year - reference_year) <= 2 OR (abs(year - reference_year) <= 5 AND data_quality = 'official annual statistics') THEN 100 WHEN abs(year - reference_year) = 3 THEN 85 ELSE greatest(0, 70 - 5 * abs(year - reference_year)) END
+    + 10 * CASE status WHEN 'exact' THEN 100 ELSE 60 END AS score FROM a WHERE status = 'exact' OR (status = 'conditional' AND allow_conditional)),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY depth, score DESC, factor_id) AS rank FROM b),
+x AS (SELECT *, bool_or(rank <= 5 AND s_derived) OVER w AS d, bool_or(rank <= 5 AND s_primary) OVER w AS p, min(CASE WHEN s_primary THEN rank END) OVER w AS first_p, least(max(rank) OVER w, 5) AS l FROM r WINDOW w AS (PARTITION BY p_partkey))
+SELECT p_partkey AS query_id, factor_id, CAST(least(rank, l) AS INTEGER) AS rank, CAST(score AS BIGINT) AS score, lex AS lexical, CASE WHEN status = 'conditional' THEN 'unit_conditional,unit_parameter_required' ELSE '' END AS reasons
+FROM x WHERE CASE WHEN d AND NOT p AND first_p IS NOT NULL THEN rank < l OR rank = first_p ELSE rank <= 5 END"""
 )
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The names and types of the parts whose key is divisible by 50, searched among all published current factors."""
-    part = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("query"), F.lower("p_type").alias("concept"))
-    asked = part.select("query", "concept").distinct().withColumn("terms", F.split("query", " "))
-    factors = C.published_and_current(factor_versions(spark, sf_dir))
-    reasons = F.filter(F.array(F.when(F.col("entity_type") != "emission_factor", "entity_type_denied"), F.when(F.col("factor_value_kind") != "co2e_total", "factor_kind_denied"), F.when(F.col("intended_use") != "inventory", "intended_use_denied")), lambda r: r.isNotNull())
-    factors = factors.withColumn("reasons", reasons).where(F.size("reasons") == 0)
-    found = E.term_candidates(asked.select(F.col("query").alias("request_id"), "terms"), factors)
-    pairs = found.join(factors, "factor_id").join(asked, F.col("request_id") == F.col("query"))
-    pairs = U.conversion_status(pairs.withColumns({"unit": F.lit("kg"), "year": F.lit(1998), "query_concepts": F.array("concept"), "fallback_rank": F.lit(0)}), "unit", "activity_unit").withColumnRenamed("status", "unit_status")
-    best = E.search(E.search_scores(pairs), 5, key="query").select("query", "factor_id", "rank", F.col("score").cast("long").alias("score"))
-    return part.join(best, "query").select(F.col("p_partkey").alias("query_id"), "factor_id", "rank", "score")
+    """The names and types of the parts whose key is divisible by 50, with units, years and countries of their own, searched among all published current factors."""
+    c = F.col
+    part = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").join(F.broadcast(table(spark, sf_dir, "nation")), c("n_nationkey") == c("p_size") % 30, "left")
+    query_text = F.lower(F.concat_ws(" ", "p_name", "p_type"))
+    asked = part.select(
+        c("p_partkey").alias("request_id"), query_text.alias("query"), F.split(query_text, " ").alias("terms"), F.array(F.lower("p_type")).alias("query_concepts"), pick(c("p_partkey") % 4, REQUEST_UNITS).alias("unit"),
+        (1998 - c("p_size") % 5).cast("int").alias("year"), c("n_name").alias("country"), (c("p_size") % 3 != 0).alias("allow_conditional"),
+    )
+    factors = C.published_and_current(factor_versions(spark, sf_dir)).where(C.match_eligible() & (c("entity_type") == "emission_factor"))
+    none = F.lit(None).cast("string")
+    factors = factors.withColumns({"description": none, "application": none, "is_primary": c("l_suppkey") % 9 == 0, "is_derived": c("l_suppkey") % 2 == 1})
+    closed = G.closure(spark, geography_tree(spark, sf_dir), max_depth=3)
+    found = E.search(asked, factors, closed, 5)
+    return found.select(c("request_id").alias("query_id"), "factor_id", "rank", c("score").cast("long").alias("score"), "lexical", F.array_join("reasons", ",").alias("reasons"))
 
 
 # ---- dated conversions
