@@ -30,8 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates and recurring runs of lines stay in the
-    first of their documents only; a document that consists of such alone goes."""
-    return line_templates.without_recurring(docs, drop_emptied=True, with_runs=True)
+    first of their documents only; a document that consists of such alone goes. A
+    near copy as a whole stays as it is: the next stage judges it."""
+    return line_templates.without_recurring(docs, drop_emptied=True, with_runs=True, keep_copies=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
