@@ -79,16 +79,6 @@ def test_factors_convert_numerators_too(spark):
     assert got["kgCO2e/kg", "kgCO2/kg"] is None and got["kgCO2e/kg", "what"] is None
 
 
-def test_alternatives_equal_all_pairs(spark):
-    rows = [(f"f{k:03d}", "ab"[k % 2], "kg", 1990 + (k * 7) % 12) for k in range(80)] + [("alone", "c", "kg", 2000)]
-    factors = spark.createDataFrame(rows, "factor_id string, taxonomy_code string, activity_unit string, reference_year int")
-    want = {i: [j for _, j in sorted((abs(y - z), j) for j, u, _, z in rows if u == t and j != i)[:3]] for i, t, _, y in rows}
-    got = {}
-    for r in sorted(R.alternatives(factors).collect(), key=lambda r: r["rank"]):
-        got.setdefault(r["factor_id"], []).append(r["alternative_id"])
-    assert got == {i: js for i, js in want.items() if js}
-
-
 def test_trigrams_equal_all_pairs(spark):
     words = ["small ring", "smal ring", "red widget", "red widgets", "x", "", "ring small"]
     grams = {w: {f"  {p} "[i : i + 3] for p in w.split() for i in range(len(p) + 1)} for w in words}

@@ -7,21 +7,29 @@ from pyspark.sql import functions as F
 
 from verdance.functions import scores
 from verdance.functions.text import trigrams, words_form
+from verdance.operators.index import contained
 from verdance.registries import HARD_REASONS
 
 SHOWN, REJECTED = 4, 20
+#: An activity score below this refuses a factor.
+MISMATCH = 60
 
 
 def scored_candidates(pairs: DataFrame) -> DataFrame:
     """pairs of request and factor columns with each score and the final one in hundredths.
 
-    Requests: activity, unit_status, year, boundary, methodology. Factors:
-    taxonomy_code, activity_type, name, concept_code, reference_year,
-    data_quality, source_health, fit, factor_boundary, factor_methodology.
+    Requests: activity, unit_status, year, boundary, methodology; and, where
+    they were resolved (see resolved_activities), resolved_concept,
+    resolved_terms, resolved_confidence. Factors: taxonomy_code, activity_type,
+    name, concept_code, reference_year, data_quality, source_health, fit,
+    factor_boundary, factor_methodology; application if there is one. Where
+    pairs have reasons, an activity that scores below 60 adds one.
     """
     c = F.col
+    known = {"resolved": "resolved_concept", "terms": "resolved_terms", "confidence": "resolved_confidence", "application": "application"}
+    resolved = {k: c(v) for k, v in known.items() if v in pairs.columns}
     parts = {
-        "activity": scores.activity_score(c("activity"), c("taxonomy_code"), c("activity_type"), c("name"), c("concept_code"), **({"resolved": c("resolved_concept")} if "resolved_concept" in pairs.columns else {})),
+        "activity": scores.activity_score(c("activity"), c("taxonomy_code"), c("activity_type"), c("name"), c("concept_code"), **resolved),
         "unit": scores.unit_score(c("unit_status")),
         "geography": scores.fit_score(c("fit")),
         "year": scores.year_score(c("year"), c("reference_year"), c("data_quality")),
@@ -31,6 +39,8 @@ def scored_candidates(pairs: DataFrame) -> DataFrame:
         "data_quality": scores.quality_score(c("data_quality")),
     }
     out = pairs.select("*", *(v.alias(f"score_{k}") for k, v in parts.items()))
+    if "reasons" in pairs.columns:
+        out = out.withColumn("reasons", F.when(c("score_activity") < MISMATCH, F.array_append("reasons", F.lit("activity_concept_mismatch"))).otherwise(c("reasons")))
     return out.withColumn("score", scores.match_score({k: c(f"score_{k}") for k in parts}))
 
 
@@ -98,15 +108,35 @@ def concept_matches(queries: DataFrame, labels: DataFrame) -> DataFrame:
     """query_id, concept, confidence, position: equal labels 100, labels that
     hold the query's text or the other way round 85, shared words 60.
 
-    A label scores only if it shares a word, so words are the join's key; the
-    texts themselves are compared once for each pair that shares some.
+    Pairs come from shared words and from texts that hold one another, whole
+    words or not; each distinct pair of texts is compared once.
     """
     asked = queries.select("query_id", words_form(F.col("query")).alias("q")).where("q <> ''").distinct()
     known = labels.select("concept", "position", words_form(F.col("label")).alias("l")).where("l <> ''").distinct()
+    q_texts, l_texts = asked.select("q").distinct(), known.select("l").distinct()
     by_word = lambda rows, text: rows.select("*", F.explode(F.array_distinct(F.split(text, " "))).alias("word"))
-    pairs = by_word(asked, "q").join(by_word(known, "l"), "word").drop("word").distinct()
+    shared = by_word(q_texts, "q").join(by_word(l_texts, "l"), "word").select("q", "l")
+    holding = contained(l_texts.withColumnRenamed("l", "text"), q_texts.withColumnRenamed("q", "part")).select(F.col("part").alias("q"), F.col("text").alias("l"))
+    held = contained(q_texts.withColumnRenamed("q", "text"), l_texts.withColumnRenamed("l", "part")).select(F.col("text").alias("q"), F.col("part").alias("l"))
+    pairs = shared.unionByName(holding).unionByName(held).distinct()
     score = F.when(F.col("q") == F.col("l"), 100).when(F.contains("q", "l") | F.contains("l", "q"), 85).otherwise(60)
-    return pairs.groupBy("query_id", "concept").agg(F.max(score).alias("confidence"), F.min("position").alias("position"))
+    scored = pairs.withColumn("confidence", score)
+    return asked.join(scored, "q").join(known, "l").groupBy("query_id", "concept").agg(F.max("confidence").alias("confidence"), F.min("position").alias("position"))
+
+
+def resolved_activities(requests: DataFrame, labels: DataFrame) -> DataFrame:
+    """requests (activity) with resolved_concept, resolved_confidence and
+    resolved_terms: the first best concept of labels (concept, label, position)
+    and its labels; without one, no concept, 0 and the text itself.
+
+    Distinct texts are resolved once.
+    """
+    texts = requests.select(F.col("activity").alias("query_id"), F.col("activity").alias("query")).distinct()
+    best = resolved_concept(concept_matches(texts, labels))
+    terms = labels.groupBy("concept").agg(F.array_sort(F.collect_set(words_form(F.col("label")))).alias("resolved_terms"))
+    found = best.join(terms, "concept").select(F.col("query_id").alias("_text"), F.col("concept").alias("resolved_concept"), F.col("confidence").alias("resolved_confidence"), "resolved_terms")
+    out = requests.join(found, F.col("activity") == F.col("_text"), "left").drop("_text")
+    return out.withColumns({"resolved_confidence": F.coalesce("resolved_confidence", F.lit(0)), "resolved_terms": F.coalesce("resolved_terms", F.array(words_form(F.col("activity"))))})
 
 
 def resolved_concept(matches: DataFrame) -> DataFrame:

@@ -80,38 +80,6 @@ def unit_compatibility(factors: DataFrame) -> DataFrame:
     return factors.select("factor_id", "activity_unit").join(lists, "activity_unit").select("factor_id", "kind", "units")
 
 
-def variants(activities: DataFrame, changes: list[dict[str, str]]) -> DataFrame:
-    """Each activity once for each variant: variant number, and columns replaced by literals."""
-    columns = sorted({c for v in changes for c in v})
-    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("variant"), *(F.lit(v.get(c)).cast("string").alias(c) for c in columns)) for i, v in enumerate(changes))))
-    spread = activities.withColumn("_v", rows)
-    return spread.withColumns({"variant": F.col("_v.variant"), **{c: F.coalesce(F.col(f"_v.{c}"), F.col(c)) for c in columns}}).drop("_v")
-
-
-def alternatives(factors: DataFrame, keep: int = 3) -> DataFrame:
-    """factor_id, alternative_id, rank: factors of the same taxonomy and unit, nearest in year, itself left out.
-
-    The nearest of a factor are among the smallest keep + 1 ids of each year of
-    its group, so only those lists, a bounded number an id, meet a factor; the
-    lists are built by partial aggregation, whatever a group's size.
-    """
-    key = ["taxonomy_code", "activity_unit"]
-    ids = factors.select(*key, "reference_year", "factor_id")
-    w = Window.partitionBy(*key, "reference_year", "part").orderBy("factor_id")
-    dealt = ids.withColumn("part", F.pmod(F.xxhash64("factor_id"), F.lit(64)))  # first within parts of a group, then among those that are left
-    some = dealt.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep + 1).drop("r", "part")
-    first = Window.partitionBy(*key, "reference_year").orderBy("factor_id")
-    least = some.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep + 1)
-    years = least.groupBy(*key).agg(F.collect_list(F.struct(F.col("reference_year").alias("year"), F.col("factor_id").alias("id"))).alias("offers"))
-    distinct = ids.select(*key, "reference_year").distinct().join(years, key)
-    # Of each group and year the nearest keep + 1: one of them may be the factor itself.
-    ordered = F.slice(F.array_sort(F.transform("offers", lambda o: F.struct(F.abs(o["year"] - F.col("reference_year")).alias("apart"), o["id"].alias("id")))), 1, keep + 1)
-    near = distinct.select(*key, "reference_year", ordered.alias("near"))
-    chosen = F.slice(F.filter("near", lambda o: o["id"] != F.col("factor_id")), 1, keep)
-    out = ids.join(near, [*key, "reference_year"]).select("factor_id", F.posexplode(chosen).alias("at", "o"))
-    return out.select("factor_id", F.col("o.id").alias("alternative_id"), (F.col("at") + 1).alias("rank"))
-
-
 def regression_summary(cases: DataFrame) -> DataFrame:
     """One row: passed, changed, failed and the run's status."""
     n = lambda s: F.count_if(F.col("status") == s)

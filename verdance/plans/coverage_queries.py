@@ -73,7 +73,7 @@ def simple_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH c AS (SELECT DISTINCT lower(p_name) AS label FROM part), q AS (SELECT DISTINCT lower(p_name) || ' ' || lower(p_type) AS q FROM part WHERE p_partkey % 50 = 0),
-s AS (SELECT q, label, CASE WHEN q = label THEN 100 WHEN contains(q, label) OR contains(label, q) THEN 85 ELSE 60 END AS conf FROM q JOIN c ON list_has_any(string_split(q, ' '), string_split(label, ' '))),
+s AS (SELECT q, label, CASE WHEN q = label THEN 100 WHEN contains(q, label) OR contains(label, q) THEN 85 ELSE 60 END AS conf FROM q JOIN c ON contains(q, label) OR contains(label, q) OR list_has_any(string_split(q, ' '), string_split(label, ' '))),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY conf DESC, label) AS n FROM s) SELECT q AS query_id, string_agg(label || ':' || conf, ',' ORDER BY n) AS concepts FROM r WHERE n <= 20 GROUP BY 1"""
 )
 def concept_match_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

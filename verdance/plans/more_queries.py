@@ -35,20 +35,6 @@ def projection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.projection_counts(R.applicability(factor_versions(spark, sf_dir), _FAMILIES), ["small_goods", "fixings", "widgets", "energy"])
 
 
-@query(
-    f"""WITH {FV_SQL}, c AS (SELECT * FROM fv WHERE version_status = 'current'), p AS (SELECT a.factor_id, b.factor_id AS alternative_id, row_number() OVER (PARTITION BY a.factor_id ORDER BY abs(a.reference_year - b.reference_year), b.factor_id) AS rank
-FROM c a JOIN c b USING (taxonomy_code, activity_unit) WHERE a.factor_id <> b.factor_id) SELECT factor_id, alternative_id, CAST(rank AS INTEGER) AS rank FROM p WHERE rank <= 3"""
-)
-def factor_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.alternatives(factor_versions(spark, sf_dir).where("version_status = 'current'"))
-
-
-@query("SELECT o_orderkey, variant, CASE variant WHEN 1 THEN 'TR' ELSE o_orderstatus END AS country, CASE variant WHEN 2 THEN 'kWh' ELSE o_orderpriority END AS unit FROM orders, (SELECT unnest([0, 1, 2]) AS variant)")
-def compare_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("country"), F.col("o_orderpriority").alias("unit"))
-    return R.variants(rows, [{}, {"country": "TR"}, {"unit": "kWh"}]).select("o_orderkey", "variant", "country", "unit")
-
-
 @query(
     f"""WITH {FV_SQL} SELECT factor_id, kind, len(string_split(units, ',')) AS n FROM (SELECT factor_id, k.kind, k.units FROM fv JOIN (VALUES ('kg', 'direct', 'Gg,Mt,g,kg,kt,lb,mg,short_ton,tonne'), ('tonne', 'direct', 'Gg,Mt,g,kg,kt,lb,mg,short_ton,tonne'), ('l', 'direct', 'l,m3,ml,scf'), ('kWh', 'direct', 'GJ,J,MJ,MWh,TJ,Wh,kWh'),
 ('kg', 'parameterized', '1,2,3,4,5'), ('tonne', 'parameterized', '1,2,3,4,5'), ('l', 'parameterized', '1,2,3,4,5,6,7,8,9'), ('kWh', 'parameterized', '1,2,3,4,5,6,7,8,9,10,11,12,13,14')) k(u, kind, units) ON activity_unit = u)"""

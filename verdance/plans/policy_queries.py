@@ -39,19 +39,19 @@ def _family_sql(source: str, of_factor: bool) -> str:
   FROM (SELECT DISTINCT needle FROM {source}), (VALUES {_terms_sql(of_factor)}) t(code, term) GROUP BY needle, code) WHERE score > 0 GROUP BY needle"""
 
 
-def _phrase() -> F.Column:
+def phrase() -> F.Column:
     return F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("p_size") % len(PHRASES) + 1).cast("int"))
 
 
 @query(f"WITH q AS (SELECT p_partkey, {_plain_sql(_PHRASE_SQL + " || ' ' || p_name")} AS needle FROM part), f AS ({_family_sql('q', False)}) SELECT p_partkey, coalesce(family, 'unknown') AS family FROM q LEFT JOIN f USING (needle)")
 def family_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey", Y.plain_form(F.concat_ws(" ", _phrase(), "p_name")).alias("text"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", Y.plain_form(F.concat_ws(" ", phrase(), "p_name")).alias("text"))
     return E.with_family(rows, "text", "family").select("p_partkey", "family")
 
 
 def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published current factors in the policy's words, with what it makes of them."""
-    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_part"), _phrase().alias("phrase"))
+    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_part"), phrase().alias("phrase"))
     rows = C.published_and_current(factor_versions(spark, sf_dir)).join(sizes, F.col("l_partkey") == F.col("_part"))
     rows = rows.withColumns({"name": F.concat_ws(" ", "phrase", "name"), "activity_type": F.when(F.col("l_partkey") % 13 == 0, "transport energy").otherwise(F.col("activity_type")), "geography_level": F.when(F.col("fit") == "country_specific", "country").when(F.col("fit") == "regional", "region").otherwise("global"), "scope": F.when(F.col("l_partkey") % 2 == 0, F.col("scope"))})
     names = [*AUTHORITY, "ADEME", "AIB"]
@@ -100,7 +100,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as recommendation requests about the part of their smallest line key, in words of it or of the largest."""
     orders, customer, nation, line, part = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "lineitem", "part"))
     parts = line.groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"), F.max("l_partkey").alias("other"))
-    named = part.select("p_partkey", _phrase().alias("phrase"))
+    named = part.select("p_partkey", phrase().alias("phrase"))
     rows = orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey"))
     asked = F.when(F.col("o_orderstatus") == "P", F.col("other")).otherwise(F.col("part"))
     rows = rows.withColumn("_asked", asked).join(named, F.col("_asked") == F.col("p_partkey"))
@@ -197,7 +197,7 @@ FROM q LEFT JOIN f USING (needle)"""
 )
 def spend_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.create_map(F.lit("naics"), (F.col("p_partkey") % 90 + 10).cast("string"))
-    rows = E.with_family(table(spark, sf_dir, "part").withColumn("text", Y.plain_form(_phrase())), "text", "family")
+    rows = E.with_family(table(spark, sf_dir, "part").withColumn("text", Y.plain_form(phrase())), "text", "family")
     return rows.select("p_partkey", F.array_join(Y.classification_hints(F.col("family"), F.col("text"), code), "|").alias("hints"))
 
 

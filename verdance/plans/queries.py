@@ -689,7 +689,7 @@ def full_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH c AS (SELECT DISTINCT lower(p_name) AS label FROM part), q AS (SELECT p_partkey AS query_id, lower(p_name) || ' ' || lower(p_type) AS q FROM part WHERE p_partkey % 50 = 0),
-s AS (SELECT query_id, label, CASE WHEN q = label THEN 100 WHEN NOT list_has_any(string_split(q, ' '), string_split(label, ' ')) THEN NULL WHEN contains(q, label) OR contains(label, q) THEN 85 ELSE 60 END AS conf FROM q, c)
+s AS (SELECT query_id, label, CASE WHEN q = label THEN 100 WHEN contains(q, label) OR contains(label, q) THEN 85 WHEN list_has_any(string_split(q, ' '), string_split(label, ' ')) THEN 60 END AS conf FROM q, c)
 SELECT query_id, label AS concept, conf AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY conf DESC, label) AS r FROM s WHERE conf IS NOT NULL) WHERE r = 1"""
 )
 def concept_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
