@@ -66,14 +66,14 @@ def plain_lines(texts):
                 for at in range(a, b + 1):
                     lost.setdefault(at, set()).add(min(run_docs[key]))
         lines, kept = (text or "").split("\n"), None
-        if lost and any(w and at not in lost for at, w in enumerate(cut[i])):
+        if lost and any(line.strip() for at, line in enumerate(lines) if at not in lost):
             worth = {}
             for at, firsts in lost.items():
                 for f in firsts:
-                    worth[f] = worth.get(f, 0) + len(cut[i][at])
+                    worth[f] = worth.get(f, 0) + 1
             of = max(worth, key=lambda f: (worth[f], f))
             a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (re.split(r"[ \t\n\r\x0b\f]+", texts[j].lower().strip(" \t\n\r\x0b\f")) for j in (i, of)))
-            if 10 * worth[of] >= sum(map(len, cut[i])) and a and b and 100 * len(a & b) >= 80 * len(a | b):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
                 kept = text
         kept = kept if kept is not None else "\n".join(line for at, line in enumerate(lines) if at not in lost)
         if not lost or kept.strip():

@@ -117,31 +117,11 @@ def _often(counted: DataFrame, name: str) -> tuple[DataFrame, str]:
     return F.broadcast(often) if often.count() <= BROADCAST_TEMPLATES else often, path
 
 
-def _near_copies(documents: DataFrame, found: DataFrame, hit: DataFrame) -> DataFrame:
-    """copy, copy_hash: the documents that are near copies, as a whole, of the
-    one that first said most of the lines they would lose.
-
-    A tenth of a document's tokens must be lost to one other document, which is
-    the only one it is compared with, on full sets of COPY_WORDS-word shingles.
-    """
-    sized = hit.distinct().join(found.groupBy("id", "hash", "at").agg(F.max("n").alias("n")).select(*(F.col(c).alias(f"{c}_") for c in ("id", "hash", "at", "n"))), F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")) & (F.col("at") == F.col("at_")))
-    lost = sized.groupBy("id", "hash", "first").agg(F.sum("n_").alias("lost")).groupBy("id", "hash").agg(F.max_by("first", F.struct("lost", "first")).alias("of"), F.max("lost").alias("lost"))
-    whole = found.select("id", "hash", "at", "n").distinct().groupBy("id", "hash").agg(F.sum("n").alias("all"))
-    asked = lost.join(whole.select(*(F.col(c).alias(f"{c}_") for c in ("id", "hash", "all"))), F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_"))).where(10 * F.col("lost") >= F.col("all_")).select(F.col("id").alias("copy"), F.col("hash").alias("copy_hash"), "of")
-    words = F.array_remove(F.split(F.lower("text"), r"[ \t\n\r\x0b\f]+"), "")
-    texts = documents.select(F.col("doc_id").cast("long").alias("text_id"), F.xxhash64("text").alias("text_hash"), words.alias("w")).where(F.size("w") >= COPY_WORDS)
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - COPY_WORDS + 1), lambda i: F.xxhash64(F.slice("w", i, COPY_WORDS))))
-    sets = texts.select("text_id", "text_hash", shingles.alias("s")).dropDuplicates(["text_id", "text_hash"])
-    own = asked.join(sets, F.col("copy").eqNullSafe(F.col("text_id")) & (F.col("copy_hash") == F.col("text_hash"))).select("copy", "copy_hash", "of", "s")
-    both = own.join(sets.select(F.col("text_id").alias("of_"), F.col("s").alias("o")), F.col("of") == F.col("of_"))
-    shared = F.size(F.array_intersect("s", "o"))
-    return both.where(100 * shared >= COPY_SIMILARITY * (F.size("s") + F.size("o") - shared)).select("copy", "copy_hash").distinct()
-
-
-def dropped_lines(documents: DataFrame, with_runs: bool = False, keep_copies: bool = False) -> DataFrame:
-    """id, hash, drop: the places of the lines to drop of each document and text."""
+def dropped_lines(documents: DataFrame, with_runs: bool = False) -> DataFrame:
+    """id, hash, drop, of: the places of the lines to drop of each document and
+    text, and the document that said most of them first."""
     spark = documents.sparkSession
-    found, lines_path = stored(lines(documents, 1 if with_runs or keep_copies else MIN_TOKENS), "lines")
+    found, lines_path = stored(lines(documents, 1 if with_runs else MIN_TOKENS), "lines")
     often, often_path = _often(recurring(found), "templates")
     paths, elsewhere = [lines_path, often_path], ~F.col("id").eqNullSafe(F.col("first"))
     single = found.where(F.col("n") >= MIN_TOKENS).select("id", "hash", "at", F.explode("templates").alias("template"))
@@ -152,23 +132,30 @@ def dropped_lines(documents: DataFrame, with_runs: bool = False, keep_copies: bo
         held = each.join(often_runs, "run").where(elsewhere)
         hit = hit.unionByName(held.select("id", "hash", F.explode(F.sequence("start", "stop")).alias("at"), "first"))
         paths += [runs_path, often_runs_path]
-    drop = F.collect_set("at").alias("drop")
-    if keep_copies:
-        hit, hit_path = stored(hit.distinct(), "hits")
-        paths.append(hit_path)
-        copies = _near_copies(documents, found, hit)
-        # What loses all of its lines is an exact copy, or made of such: it goes as without keep_copies.
-        gone = hit.select("id", "hash", "at").distinct().select(*(F.col(c).alias(f"{c}_") for c in ("id", "hash", "at")))
-        left = found.select("id", "hash", "at").join(gone, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")) & (F.col("at") == F.col("at_")), "left_anti").select("id", "hash").distinct()
-        spared = copies.join(left, F.col("copy").eqNullSafe(F.col("id")) & (F.col("copy_hash") == F.col("hash")), "left_semi")
-        judged = hit.join(spared, F.col("id").eqNullSafe(F.col("copy")) & (F.col("hash") == F.col("copy_hash")), "left_anti")
-        drops, _ = stored(judged.groupBy("id", "hash").agg(drop), "drops")
-    else:
-        drops, _ = stored(hit.groupBy("id", "hash").agg(drop), "drops")
+    by_first = hit.groupBy("id", "hash", "first").agg(F.collect_set("at").alias("places"))
+    drop = F.array_distinct(F.flatten(F.collect_list("places"))).alias("drop")
+    drops, _ = stored(by_first.groupBy("id", "hash").agg(drop, F.max_by("first", F.struct(F.size("places"), "first")).alias("of")), "drops")
     remove(spark, *paths)
     return drops
 
 
+def _shingles(text: Column) -> Column:
+    words = F.array_remove(F.split(F.lower(text), r"[ \t\n\r\x0b\f]+"), "")
+    each = F.transform(F.sequence(F.lit(1), F.size(words) - COPY_WORDS + 1), lambda i: F.xxhash64(F.slice(words, i, COPY_WORDS)))
+    return F.when(F.size(words) >= COPY_WORDS, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _near_copies(fragments: DataFrame, documents: DataFrame) -> DataFrame:
+    """copy, copy_hash of the fragments (copy, copy_hash, of, text) whose text as
+    a whole is a near copy of that of the document `of`, the only one it is
+    compared with, on full sets of COPY_WORDS-word shingles."""
+    wanted = fragments.select(F.col("of").alias("of_id")).distinct()
+    others = documents.select(F.col("doc_id").cast("long").alias("of_id"), F.col("text").alias("of_text")).join(wanted, "of_id", "left_semi")
+    sets = fragments.join(others, F.col("of") == F.col("of_id")).select("copy", "copy_hash", _shingles(F.col("text")).alias("s"), _shingles(F.col("of_text")).alias("o"))
+    shared = F.size(F.array_intersect("s", "o"))
+    return sets.where((shared > 0) & (100 * shared >= COPY_SIMILARITY * (F.size("s") + F.size("o") - shared))).select("copy", "copy_hash").distinct()
+
+
 def without_recurring(documents: DataFrame, drop_emptied: bool = False, with_runs: bool = False, keep_copies: bool = False) -> DataFrame:
     """documents, all rows and columns, its texts without recurring lines and,
     with_runs, without recurring runs of lines. With keep_copies, a near copy
@@ -179,14 +166,19 @@ def without_recurring(documents: DataFrame, drop_emptied: bool = False, with_run
     too; one that came so stays.
     n_chars, where there is such a column, is left as it came.
     """
-    own, of_text, drop = unused(documents, "drop_id", "drop_hash", "drop_at")
-    drops = dropped_lines(documents, with_runs, keep_copies).select(F.col("id").alias(own), F.col("hash").alias(of_text), F.col("drop").alias(drop))
+    own, of_text, drop, of = unused(documents, "drop_id", "drop_hash", "drop_at", "drop_of")
+    drops = dropped_lines(documents, with_runs).select(F.col("id").alias(own), F.col("hash").alias(of_text), F.col("drop").alias(drop), F.col("of").alias(of))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(of_text))
-    joined = documents.join(drops, same, "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col(drop), i))
     text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    left = text.rlike(r"\S")
+    if keep_copies:
+        fragments = documents.select("doc_id", "text").join(drops, same).where(left).select(F.col(own).alias("copy"), F.col(of_text).alias("copy_hash"), F.col(of).alias("of"), "text")
+        copies, _ = stored(_near_copies(fragments, documents), "copies")
+        drops = drops.join(copies, F.col(own).eqNullSafe(F.col("copy")) & (F.col(of_text) == F.col("copy_hash")), "left_anti")
+    joined = documents.join(drops, same, "left")
     if drop_emptied:
-        joined = joined.where(F.col(drop).isNull() | text.rlike(r"\S"))
+        joined = joined.where(F.col(drop).isNull() | left)
     return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in documents.columns))
 
 
