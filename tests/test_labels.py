@@ -7,10 +7,7 @@ from verdance.operators import matching as M
 from verdance.operators import recommend as R
 
 
-def test_resolver_scores_and_fuzzy(spark):
-    rows = spark.createDataFrame([("Gas", "gas", True, True), ("energie", "Énergie", False, False), ("gas natural", "natural gas", False, False), ("gas", "natural gas", False, True), ("x", "y", False, True)], "q string, l string, p boolean, s boolean")
-    got = [r["x"] for r in rows.select(L.resolver_score(F.col("q"), F.col("l"), F.col("p"), F.col("s")).alias("x")).collect()]
-    assert got == [100, 91, 90, 87, None]
+def test_fuzzy_scores(spark):
     pairs = spark.createDataFrame([("electricity", "electricty"), ("coal", "gas"), ("same", "same")], "a string, b string")
     fuzzy = {r["a"]: r["fuzzy"] for r in pairs.select("a", L.fuzzy_score(F.col("a"), F.col("b")).alias("fuzzy")).collect()}
     assert fuzzy == {"electricity": 69, "coal": None, "same": 78}

@@ -108,13 +108,6 @@ def sample_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.sample_names(table(spark, sf_dir, "part"), "p_brand", "p_name", "p_size").select("p_brand", F.array_join("names", "|").alias("names"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 100 WHEN n_nationkey % 3 = 1 THEN 96 ELSE CASE WHEN contains(n_name, ' ') THEN 87 END END AS score FROM nation")
-def resolver_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_nationkey") % 3
-    q = F.when(n == 2, F.when(F.contains(F.col("n_name"), F.lit(" ")), F.split_part("n_name", F.lit(" "), F.lit(1))).otherwise("zzz")).otherwise(F.lower("n_name"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", L.resolver_score(q, F.col("n_name"), n == 0, n == 2).alias("score"))
-
-
 @query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 4 = 0 THEN 'repeated_token' END, CASE WHEN p_partkey % 3 = 0 THEN 'unchanged' END, CASE WHEN p_partkey % 5 = 0 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS flags FROM part")
 def translation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
