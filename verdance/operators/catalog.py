@@ -74,6 +74,25 @@ def nearest_year(versions: DataFrame, requested: Column, keys: list[str], tie: l
     return versions.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
+def nearest_year_of(requests: DataFrame, versions: DataFrame) -> DataFrame:
+    """requests (logical_id, year, any others) with factor_id and reference_year
+    of the version nearest to each one's own year, in the order of nearest_year;
+    null where the logical id has none.
+
+    Years are few, so both sides come down to one row for each id and year
+    first, whatever share of the rows an id holds, and only those meet.
+    """
+    c = F.col
+    offers = versions.groupBy("logical_id", "reference_year").agg(F.min("factor_id").alias("factor_id"))
+    asked = requests.select(c("logical_id").alias("_id"), c("year").alias("_year")).distinct()
+    apart = F.abs(c("reference_year") - c("_year"))
+    known = lambda x: F.struct(x.isNull().alias("none"), x.alias("v"))
+    order = F.struct(c("reference_year").isNull().alias("a"), known(apart).alias("b"), known((c("reference_year") > c("_year")).cast("int")).alias("c"), known(-c("reference_year")).alias("d"), "factor_id")
+    best = asked.join(offers, c("_id") == c("logical_id")).groupBy("_id", "_year").agg(F.min_by(F.struct("factor_id", "reference_year"), order).alias("_best"))
+    found = best.select("_id", "_year", c("_best.factor_id").alias("factor_id"), c("_best.reference_year").alias("reference_year"))
+    return requests.join(found, (c("logical_id") == c("_id")) & c("year").eqNullSafe(c("_year")), "left").drop("_id", "_year")
+
+
 def latest_snapshot(versions: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """versions with is_latest: the first of its keys in a given order."""
     return versions.withColumn("is_latest", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)

@@ -139,3 +139,33 @@ def semantic_revision(rows: DataFrame, key: str, volatile: list[str]) -> DataFra
     columns = sorted(c for c in rows.columns if c not in (key, *volatile))
     hashed = F.xxhash64(F.to_json(F.struct(*columns))).cast("decimal(38,0)")
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(hashed).cast("string").alias("revision"))
+
+
+def assigned_ids(rows: DataFrame, keys: list[str], registry: DataFrame, folder: str, id_column: str = "logical_number") -> DataFrame:
+    """registry (keys, id_column) with a number for each key of rows that it lacks.
+
+    New keys are numbered on from the greatest number, in their order, without
+    gaps: they are sorted over partitions and written to folder, each partition
+    counts its own, and a key's number is the counts before its partition and
+    its place there. Nothing passes the driver but one count a partition. With
+    no new keys the registry is unchanged, so a second run assigns none. Null
+    keys are keys of their own.
+    """
+    spark, c = rows.sparkSession, F.col
+    renamed = registry.select(*(c(k).alias(f"_{k}") for k in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & c(k).eqNullSafe(c(f"_{k}"))
+    fresh = rows.select(*keys).distinct().join(renamed, same, "left_anti")
+    fresh.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(folder)
+    placed = spark.read.parquet(folder).withColumns({"_part": F.shiftright("_at", 33), "_place": c("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    if not counts:
+        return registry
+    first, starts = (registry.agg(F.max(id_column).alias("m")).first()["m"] or 0) + 1, []
+    for part, n in counts:
+        starts.append((part, first))
+        first += n
+    offsets = F.broadcast(spark.createDataFrame(starts, "_part long, _start long"))
+    numbered = placed.join(offsets, "_part").select(*keys, (c("_start") + c("_place")).alias(id_column))
+    return registry.select(*keys, id_column).unionByName(numbered)
