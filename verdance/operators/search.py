@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdance.functions import policy as Y
 from verdance.functions import units as U
 from verdance.functions.scores import fit_score, not_natural_gas, unit_score, year_score
 from verdance.functions.text import words_form
-from verdance.operators.classes import classes, opened
+from verdance.operators.classes import classes
 from verdance.operators.index import contained
-from verdance.operators.matching import ranked
+from verdance.operators.matching import ranked, with_primary_source
 from verdance.registries import AUTHORITY_BY_COUNTRY, SEARCH_WEIGHTS, TIERS, families
 
 
@@ -104,14 +104,12 @@ def search(requests: DataFrame, factors: DataFrame, closed: DataFrame, keep: int
     reasons = F.when(conditional, F.array(F.lit("unit_conditional"), F.lit("unit_parameter_required"))).otherwise(F.array().cast("array<string>"))
     scored = pairs.select("request_id", c("depth").alias("fallback_rank"), total.alias("score"), "lexical", reasons.alias("reasons"), "is_primary", "is_derived", "ids")
     order = [c("fallback_rank"), c("score").desc()]
-    best = opened(scored, "request_id", order, keep, "factor_id")
-    if keep < 2:
-        return best.drop("fallback_rank", "is_primary", "is_derived")
-    lacking = best.groupBy("request_id").agg(F.max("is_derived").alias("d"), F.max("is_primary").alias("p"), F.max("rank").alias("_last")).where("d and not p").select("request_id", "_last")
-    primary = opened(scored.where("is_primary"), "request_id", order, 1, "factor_id").join(lacking, "request_id")
-    replaced = primary.select("request_id", c("_last").alias("_rank"), F.lit(True).alias("_swap"))
-    kept = best.join(replaced, (best["request_id"] == replaced["request_id"]) & (c("rank") == c("_rank")), "left_anti")
-    return kept.unionByName(primary.withColumn("rank", c("_last")).drop("_last")).drop("fallback_rank", "is_primary", "is_derived")
+    # The first classes of the primary source and of others hold whatever is shown or may replace it.
+    first = F.row_number().over(Window.partitionBy("request_id", "is_primary").orderBy(*order, c("ids")[0]))
+    few = scored.withColumn("_class", first).where(c("_class") <= keep).withColumn("factor_id", F.explode("ids")).drop("ids", "_class")
+    every = ranked(few, [*order, c("factor_id")], None)
+    shown = with_primary_source(every, keep) if keep > 1 else every.where("rank = 1")
+    return shown.drop("fallback_rank", "is_primary", "is_derived")
 
 
 def term_candidates(requests: DataFrame, factors: DataFrame) -> DataFrame:
