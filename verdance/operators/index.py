@@ -108,13 +108,17 @@ def parameters_for(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     """request_id, name, value: the best approved parameter of each name for a request's facility,
     country and date: the facility's own, then the country's, then the latest, then the smallest value.
 
-    Parameters join on the name of the facility or country, or on neither, so
-    a request meets its own and the general ones alone.
+    Of parameters of one name, facility, country and validity only the
+    smallest value can be it, and requests of one facility, country and date
+    ask once. What is left joins on the name of the facility or country, or on
+    neither, so a request meets its own and the general ones alone.
     """
     c = F.col
-    approved = catalogue.where("approved").select("name", "value", c("facility").alias("_facility"), c("country").alias("_country"), "valid_from", "valid_to")
+    approved = catalogue.where("approved").groupBy("name", c("facility").alias("_facility"), c("country").alias("_country"), "valid_from", "valid_to").agg(F.min("value").alias("value"))
+    asks = ["facility", "country", "date"]
+    named = requests.select("request_id", *asks)
+    asked = named.select(*asks).distinct()
     same = lambda a, b: F.coalesce(a, F.lit("")) == F.coalesce(b, F.lit(""))
-    asked = requests.select("request_id", "facility", "country", "date")
     kinds = []
     for own_facility, own_country in ((True, True), (True, False), (False, True), (False, False)):
         side = approved.where((c("_facility").isNotNull() == F.lit(own_facility)) & (c("_country").isNotNull() == F.lit(own_country)))
@@ -129,7 +133,10 @@ def parameters_for(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
         found = found.unionByName(more)
     found = found.where((c("valid_from").isNull() | (c("valid_from") <= c("date"))) & (c("valid_to").isNull() | (c("valid_to") >= c("date"))))
     order = F.struct(c("_facility").isNull().alias("a"), c("_country").isNull().alias("b"), F.coalesce(-F.unix_date("valid_from"), F.lit(10**9)).alias("c"), "value")
-    return found.groupBy("request_id", "name").agg(F.min_by("value", order).alias("value"))
+    best = found.groupBy(*asks, "name").agg(F.min_by("value", order).alias("value"))
+    told = best.select(*(c(x).alias(f"_{x}") for x in asks), "name", "value")
+    alike = c("facility").eqNullSafe(c("_facility")) & c("country").eqNullSafe(c("_country")) & c("date").eqNullSafe(c("_date"))
+    return named.join(told, alike).select("request_id", "name", "value")
 
 
 def reattached(candidates: DataFrame, raw: DataFrame) -> DataFrame:

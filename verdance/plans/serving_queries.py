@@ -26,9 +26,8 @@ i AS (SELECT factor_id, concept, 'taxonomy' AS relation FROM fv JOIN m USING (so
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     factors, part = factor_versions(spark, sf_dir), table(spark, sf_dir, "part")
-    known = [r[0] for r in part.select(F.lower("p_type")).distinct().collect()]  # a handful of types
-    mapping = table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(F.col("s_name").alias("source_code"), F.explode(F.array(*map(F.lit, sorted(known)))).alias("t"))
-    mapping = mapping.select("source_code", F.replace("t", F.lit(" "), F.lit(".")).alias("taxonomy_code"), F.concat(F.lit("type."), "t").alias("concept"))
+    trusted = table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(F.col("s_name").alias("source_code"))
+    mapping = factors.select("source_code", "taxonomy_code").distinct().join(trusted, "source_code").withColumn("concept", F.concat(F.lit("type."), F.replace("taxonomy_code", F.lit("."), F.lit(" "))))
     labels = part.where("p_size > 25").select(F.concat(F.lit("name."), F.replace(F.lower("p_name"), F.lit(" "), F.lit("_"))).alias("concept"), F.lower("p_name").alias("label")).distinct()
     return factors, I.concept_index(factors, mapping, labels)
 
