@@ -146,12 +146,20 @@ def policy_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.input_gates(E.intents(_requests(spark, sf_dir))).select("request_id", "want_family", "want_scope", "input_status", "want_category")
 
 
-def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ready requests with the factors of their part, and the gate that refuses each."""
+def _gated(spark: SparkSession, sf_dir: str, passing: bool = False) -> DataFrame:
+    """Ready requests with the factors of their part, and the gate that refuses each.
+
+    With passing, factors of another family or scope than a request's, which
+    would be refused, don't meet it.
+    """
     asked = E.input_gates(E.intents(_requests(spark, sf_dir))).where("input_status = 'ready'")
     closed = F.broadcast(G.closure(spark, geography_tree(spark, sf_dir), max_depth=3).select("requested", "candidate", "depth"))
     factors = _factors(spark, sf_dir).withColumnRenamed("qualifiers", "factor_qualifiers").drop("scope", "phrase")
-    pairs = asked.drop("qualifiers").join(factors, F.col("part") == F.col("l_partkey")).join(closed, (F.col("country") == F.col("requested")) & (F.col("geo_code") == F.col("candidate")), "left")
+    meets = F.col("part") == F.col("l_partkey")
+    if passing:
+        meets = meets & (F.col("want_family") == F.col("family")) & (F.col("want_scope").isNull() | (F.col("want_scope") == F.col("scope_category")))
+        factors = factors.where("family <> 'unknown'")
+    pairs = asked.drop("qualifiers").join(factors, meets).join(closed, (F.col("country") == F.col("requested")) & (F.col("geo_code") == F.col("candidate")), "left")
     pairs = U.conversion_status(pairs, "unit", "activity_unit")
     pairs = pairs.drop(*(c for c in pairs.columns if c.startswith(("_f_", "_t_")))).withColumnRenamed("status", "unit_status")
     pairs = pairs.withColumns({"eligible": F.col("depth").isNotNull(), "exact": F.coalesce(F.col("depth") == 0, F.lit(False)), "parameter_missing": F.col("unit_status") == "conditional_conversion"})
@@ -187,7 +195,7 @@ SELECT request_id, factor_id, CAST(rank AS INTEGER) AS rank, list_extract(['coun
   CASE WHEN tr = 4 THEN 'D' WHEN tr <= 1 AND qualifier_rank = 0 AND status = 'exact' THEN 'A' ELSE 'B' END AS grade, CASE WHEN status = 'conditional' THEN 'conversion_parameter_required' WHEN tr = 4 THEN 'proxy_recommended' ELSE 'recommended' END AS recommendation FROM pe WHERE rank <= 3"""
 )
 def policy_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.recommended(_gated(spark, sf_dir).where("gate is null")).select("request_id", "factor_id", "rank", "tier", "grade", "recommendation")
+    return E.recommended(_gated(spark, sf_dir, passing=True).where("gate is null")).select("request_id", "factor_id", "rank", "tier", "grade", "recommendation")
 
 
 @query(
