@@ -73,7 +73,7 @@ def plain_lines(texts):
                     worth[f] = worth.get(f, 0) + 1
             of = max(worth, key=lambda f: (worth[f], f))
             a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (re.split(r"[ \t\n\r\x0b\f]+", texts[j].lower().strip(" \t\n\r\x0b\f")) for j in (i, of)))
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            if text != texts[of] and a and b and 100 * len(a & b) >= 80 * len(a | b):
                 kept = text
         kept = kept if kept is not None else "\n".join(line for at, line in enumerate(lines) if at not in lost)
         if not lost or kept.strip():

@@ -139,21 +139,25 @@ def dropped_lines(documents: DataFrame, with_runs: bool = False) -> DataFrame:
     return drops
 
 
-def _shingles(text: Column) -> Column:
-    words = F.array_remove(F.split(F.lower(text), r"[ \t\n\r\x0b\f]+"), "")
-    each = F.transform(F.sequence(F.lit(1), F.size(words) - COPY_WORDS + 1), lambda i: F.xxhash64(F.slice(words, i, COPY_WORDS)))
-    return F.when(F.size(words) >= COPY_WORDS, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _near_copies(fragments: DataFrame, documents: DataFrame) -> DataFrame:
-    """copy, copy_hash of the fragments (copy, copy_hash, of, text) whose text as
-    a whole is a near copy of that of the document `of`, the only one it is
-    compared with, on full sets of COPY_WORDS-word shingles."""
-    wanted = fragments.select(F.col("of").alias("of_id")).distinct()
-    others = documents.select(F.col("doc_id").cast("long").alias("of_id"), F.col("text").alias("of_text")).join(wanted, "of_id", "left_semi")
-    sets = fragments.join(others, F.col("of") == F.col("of_id")).select("copy", "copy_hash", _shingles(F.col("text")).alias("s"), _shingles(F.col("of_text")).alias("o"))
-    shared = F.size(F.array_intersect("s", "o"))
-    return sets.where((shared > 0) & (100 * shared >= COPY_SIMILARITY * (F.size("s") + F.size("o") - shared))).select("copy", "copy_hash").distinct()
+def _near_copies(drops: DataFrame, documents: DataFrame) -> DataFrame:
+    """copy, copy_hash of the texts that lose lines and as a whole are near
+    copies, not exact ones, of the document that said most of those lines
+    first, the only one each is compared with, on full sets of
+    COPY_WORDS-word shingles. Only their texts and those documents' move."""
+    own, words = F.xxhash64("text"), lambda c: F.array_remove(F.split(F.lower(c), r"[ \t\n\r\x0b\f]+"), "")
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TEMPLATES else df
+    ids = documents.select(F.col("doc_id").cast("long").alias("of_id"), own.alias("of_hash"), "text")
+    asked, asked_path = stored(drops.select(F.col("id").alias("copy"), F.col("hash").alias("copy_hash"), "of").join(ids.select("of_id", "of_hash"), (F.col("of") == F.col("of_id")) & (F.col("copy_hash") != F.col("of_hash"))).select("copy", "copy_hash", "of", "of_hash"), "asked")
+    texts = ids.join(few(asked), F.col("of_id").eqNullSafe(F.col("copy")) & (ids["of_hash"] == F.col("copy_hash"))).select("copy", "copy_hash", "of", asked["of_hash"], words(F.col("text")).alias("w")).where(F.size("w") >= COPY_WORDS)
+    wanted = asked.select(F.col("of").alias("want"), F.col("of_hash").alias("want_hash")).distinct()
+    others = ids.join(few(wanted), (F.col("of_id") == F.col("want")) & (F.col("of_hash") == F.col("want_hash"))).select("want", "want_hash", words(F.col("text")).alias("v")).where(F.size("v") >= COPY_WORDS).dropDuplicates(["want", "want_hash"])
+    # Words are columns of their own: within the function they would be cut anew for each shingle.
+    shingles = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - COPY_WORDS + 1), lambda i: F.xxhash64(F.slice(c, i, COPY_WORDS))))
+    both = texts.join(others, (F.col("of") == F.col("want")) & (F.col("of_hash") == F.col("want_hash"))).select("copy", "copy_hash", shingles("w").alias("s"), shingles("v").alias("o"))
+    compared = both.select("copy", "copy_hash", F.size("s").alias("n"), F.size("o").alias("m"), F.size(F.array_intersect("s", "o")).alias("shared"))
+    found, _ = stored(compared.where(100 * F.col("shared") >= COPY_SIMILARITY * (F.col("n") + F.col("m") - F.col("shared"))).select("copy", "copy_hash").distinct(), "copies")
+    remove(documents.sparkSession, asked_path)
+    return found
 
 
 def without_recurring(documents: DataFrame, drop_emptied: bool = False, with_runs: bool = False, keep_copies: bool = False) -> DataFrame:
@@ -166,17 +170,18 @@ def without_recurring(documents: DataFrame, drop_emptied: bool = False, with_run
     too; one that came so stays.
     n_chars, where there is such a column, is left as it came.
     """
-    own, of_text, drop, of = unused(documents, "drop_id", "drop_hash", "drop_at", "drop_of")
-    drops = dropped_lines(documents, with_runs).select(F.col("id").alias(own), F.col("hash").alias(of_text), F.col("drop").alias(drop), F.col("of").alias(of))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(of_text))
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col(drop), i))
-    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    left = text.rlike(r"\S")
+    own, of_text, drop, whole = unused(documents, "drop_id", "drop_hash", "drop_at", "drop_whole")
+    found, flag = dropped_lines(documents, with_runs), F.lit(False)
     if keep_copies:
-        fragments = documents.select("doc_id", "text").join(drops, same).where(left).select(F.col(own).alias("copy"), F.col(of_text).alias("copy_hash"), F.col(of).alias("of"), "text")
-        copies, _ = stored(_near_copies(fragments, documents), "copies")
-        drops = drops.join(copies, F.col(own).eqNullSafe(F.col("copy")) & (F.col(of_text) == F.col("copy_hash")), "left_anti")
+        copies = _near_copies(found, documents)
+        found, flag = found.join(copies, F.col("id").eqNullSafe(F.col("copy")) & (F.col("hash") == F.col("copy_hash")), "left"), F.col("copy_hash").isNotNull()
+    drops = found.select(F.col("id").alias(own), F.col("hash").alias(of_text), F.col("drop").alias(drop), flag.alias(whole))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(of_text))
     joined = documents.join(drops, same, "left")
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col(drop), i))
+    rest = F.array_join(kept, "\n")
+    left = rest.rlike(r"\S")
+    text = F.when(F.col(drop).isNull() | (F.col(whole) & left), F.col("text")).otherwise(rest)
     if drop_emptied:
         joined = joined.where(F.col(drop).isNull() | left)
     return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in documents.columns))
