@@ -169,3 +169,33 @@ def assigned_ids(rows: DataFrame, keys: list[str], registry: DataFrame, folder:
     offsets = F.broadcast(spark.createDataFrame(starts, "_part long, _start long"))
     numbered = placed.join(offsets, "_part").select(*keys, (c("_start") + c("_place")).alias(id_column))
     return registry.select(*keys, id_column).unionByName(numbered)
+
+
+def canonical_json(text: Column, volatile: tuple[str, ...] = ()) -> Column:
+    """A JSON object as text with the keys of all levels in order, without the volatile fields.
+
+    volatile names fields of the object, or by dotted paths fields of objects
+    within it. Null where the text isn't an object.
+    """
+    heads, deeper = {v for v in volatile if "." not in v}, {}
+    for path in volatile:
+        head, _, rest = path.partition(".")
+        if rest and head not in heads:
+            deeper.setdefault(head, []).append(rest)
+    fields = F.map_filter(F.from_json(text, "map<string,variant>"), lambda k, v: ~k.isin(*heads) if heads else F.lit(True))
+
+    def value(k: Column, v: Column) -> Column:
+        out = F.to_json(v)
+        for head, rest in deeper.items():
+            out = F.when(k == head, F.coalesce(canonical_json(F.to_json(v), tuple(rest)), F.to_json(v))).otherwise(out)
+        return out
+
+    entries = F.array_sort(F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("k"), value(e["key"], e["value"]).alias("v"))))
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), F.regexp_replace(e["k"], r'(["\\\\])', r"\\$1"), F.lit('":'), F.coalesce(e["v"], F.lit("null")))), ","), F.lit("}"))
+
+
+def json_revision(rows: DataFrame, key: str, payload: str, volatile: tuple[str, ...] = ()) -> DataFrame:
+    """key, n, revision: a digest of each source's payloads, whatever the order of
+    rows and of keys at any depth, without volatile fields. Rows that repeat count."""
+    text = F.coalesce(canonical_json(F.col(payload), volatile), F.col(payload))
+    return semantic_revision(rows.select(key, text.alias("_payload")), key, [])
