@@ -248,6 +248,21 @@ def test_toxicity_learns_and_takes_odd_rows(spark):
     assert toxicity.without_toxic(frame(spark, ODD), model).columns == frame(spark, ODD).columns
 
 
+def test_toxicity_bins_are_those_of_all_ngrams():
+    """Each window of three to five code points of the lower-cased text between blanks, hashed one by one."""
+    word, odd = 1 << 32, [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1]
+    for text in ("", "a", "Über vile", "x\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16") + " yz"):
+        points, want = [ord(c) for c in f" {text.lower()} "] if text else [], []
+        for n in (3, 4, 5):
+            for i in range(len(points) - n + 1):
+                h = n * 0x51ED270B % word
+                for k in range(n):
+                    h = (h + points[i + k] * odd[k]) % word
+                    h = (h ^ h >> 15) * 0x2C1B3C6D % word
+                want.append(h >> 14)
+        assert toxicity.ngram_bins(text).tolist() == want
+
+
 def test_toxicity_equals_a_plain_fit(spark):
     """N-gram counts, ratios, choice of features and the regression, written out plainly."""
     draw = np.random.RandomState(4)
@@ -268,7 +283,7 @@ def test_toxicity_equals_a_plain_fit(spark):
     w, b, m, v = np.zeros(len(chosen)), math.log((n[1] + 1) / (n[0] + 1)), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for k in range(1, 151):
         error = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
-        grad = np.append(x.T @ error + 2e-3 * w / len(y) * 50, error.sum())
+        grad = np.append(x.T @ error + toxicity.DECAY * w / len(y) * 50, error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.02 * math.sqrt(1 - 0.999**k) / (1 - 0.9**k) * m / (np.sqrt(v) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
