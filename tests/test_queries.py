@@ -5,7 +5,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from verdance.plans import coverage_queries, matching_queries, more_queries, policy_queries, serving_queries  # noqa: F401
+from verdance.plans import coverage_queries, matching_queries, more_queries, policy_queries, serving_queries, source_queries  # noqa: F401
 from verdance.plans.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
