@@ -100,15 +100,19 @@ def superseding(stream: DataFrame, empty: DataFrame, table: str, checkpoint: str
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark, known = batch.sparkSession, _snapshots(batch.sparkSession, table)
-        if batch_id in known or batch.isEmpty():
+        if batch_id in known:
             return
-        before = _manifest(spark, table, known[-1]) if known else set()
         touched = {r["part"] for r in batch.select(_part().alias("part")).distinct().collect()}
+        if not touched:
+            return
+        before = _manifest(spark, table, known[-1]) if known else set()
         own = {f for f in before if f[0] == "current" and f[1] in touched}
         current = spark.read.schema(empty.schema).parquet(*(_folder(table, *f) for f in sorted(own))) if own else empty
         after = activate(current, batch, F.timestamp_seconds(F.lit(batch_id)))
         status = F.when(F.col("version_status") == "current", "current").otherwise("closed")
-        after.withColumns({"kept": status, "part": _part()}).write.mode("overwrite").partitionBy("kept", "part").parquet(f"{table}/data/version={batch_id}")
+        # A part's rows come together first: else each task writes a file into each part. Large parts are split again.
+        after = after.withColumns({"kept": status, "part": _part()}).hint("rebalance", "kept", "part")
+        after.write.mode("overwrite").partitionBy("kept", "part").parquet(f"{table}/data/version={batch_id}")
         written = {(k, p, batch_id) for k in ("current", "closed") for p in touched if _exists(spark, _folder(table, k, p, batch_id))}
         spark.createDataFrame(sorted((before - own) | written), "status string, part string, version long").coalesce(1).write.mode("overwrite").parquet(f"{table}/snapshots/id={batch_id}")
         _expire(spark, table, [*known, batch_id], keep)
