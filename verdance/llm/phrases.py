@@ -244,7 +244,8 @@ def scored(docs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     parts = found.where("size < 3").select("lang", F.col("phrase").alias("part"), F.col("a").alias("of_part"))
     few = parts.count() <= BROADCAST_PARTS
     salt = F.lit(0) if few else F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")
-    parts = F.broadcast(parts.withColumn("salt", F.lit(0))) if few else parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Spark sizes rows by what they are read from, before they are exploded, and would gather them in the driver.
+    parts = F.broadcast(parts.withColumn("salt", F.lit(0))) if few else parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     cuts = cuts.withColumn("salt", salt)
     for side, name in (("first", "l"), ("rest", "r")):
         cuts = cuts.join(parts.select("lang", "salt", F.col("part").alias(side), F.col("of_part").alias(name)), ["lang", "salt", side])
@@ -257,7 +258,7 @@ def scored(docs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
         .select("lang", "a", F.explode(F.array(cut(F.lit(1), F.lit(2)), cut(F.lit(2), F.lit(2)))).alias("phrase"))
         .groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     )
-    kept = best.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < 50 * F.col("a")))
+    kept = best.join(inside if few else inside.hint("merge"), ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < 50 * F.col("a")))
     return kept.join(F.broadcast(totals), "lang").select("lang", "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), F.col("total").alias("n"), F.col("best.score").alias("score"))
 
 
