@@ -30,13 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, remove, stored, table
+from .common import Bitmap, bitmap_of, in_arrow, remove, stored, table
 
 MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2_000
 #: One text in so many is sampled; what the sample holds so often is proposed.
 SAMPLE_ONE_IN, SAMPLE_COUNT = 4, 2
-#: Bits of a bitmap for each phrase in it, and their bounds: 128 KB to 32 MB.
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 #: Words that a worker gathers before it counts, and bytes of words it remembers meanwhile.
 BUFFER_WORDS, WORD_BYTES = 2_000_000, 64 << 20
 #: Counts of parts are broadcast up to so many phrases, else each is dealt out over SALTS tasks.
@@ -47,29 +45,9 @@ _SIGNS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
 _BREAK = -1
 
 
-class Bitmap:
-    """Hashes of phrases, one bit each."""
-
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & self.mask
-        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
 def bitmap(phrases: DataFrame) -> Bitmap:
-    """A bitmap of (lang, phrase, size) rows of one size, put together from 4 KB pieces."""
-    bits = LEAST_BITS
-    many = phrases.count()
-    while bits < MOST_BITS and bits < many * BITS_EACH:
-        bits *= 2
-    at = _hash().bitwiseAND(F.lit(bits - 1))
-    pieces = phrases.select(F.floor(at / 32768).alias("piece"), (at % 32768).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(bits // 8, np.uint8)
-    for piece, held in pieces.toLocalIterator():
-        out[piece * 4096 : (piece + 1) * 4096] = np.frombuffer(bytes(held), np.uint8)
-    return Bitmap(out)
+    """A bitmap of (lang, phrase, size) rows of one size."""
+    return bitmap_of(phrases, _hash())
 
 
 def _hash() -> Column:
